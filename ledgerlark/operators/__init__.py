@@ -1,0 +1 @@
+"""Operators of the retail and evidence engine."""

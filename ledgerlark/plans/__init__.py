@@ -1,0 +1 @@
+"""Plans of the retail and evidence engine."""

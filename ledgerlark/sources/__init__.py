@@ -1,0 +1 @@
+"""Sources of the retail and evidence engine."""

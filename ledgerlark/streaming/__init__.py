@@ -1,0 +1 @@
+"""Streaming of the retail and evidence engine."""
