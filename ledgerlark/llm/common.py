@@ -1,6 +1,6 @@
 """Helpers that the corpus operators share: scratch tables, text buffers, word hashes, gapless ranks.
 
-The numpy helpers work on one slice of an Arrow batch at a time (about two MB of
+The numpy helpers work on one slice of an Arrow batch at a time (about one MB of
 text, or one document if it is longer), so their memory does not grow with the input.
 """
 
@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Stands for a null id inside the operators; results keep the null.
 NULL_ID = -(2**63)
 
@@ -111,11 +111,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word, from one prefix sum over all bytes."""
-    power, inverse = _powers(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
-    h = (total[end] - total[start]) * inverse[start]
-    return mix(h + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return mix(range_hashes(_BYTE[data], start, end) + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def range_hashes(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A polynomial hash modulo 2**64 of each range [start, end) of random 64-bit values."""
+    power, inverse = _powers(len(values) + 1)
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * power[: len(values)], out=total[1:])
+    return (total[end] - total[start]) * inverse[start]
 
 
 _ODD = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)

@@ -7,8 +7,10 @@ length, until the asked length is reached: 5, 10 and 20 words for windows of 20.
   some whole window (about one word in nine). Equal whole windows share that place, so
   none is lost, and a ninth of the rows is shuffled.
 * Level 2 extends each surviving place to the right and to the left; a whole window
-  around it contains one of the two.
-* Level 3 extends to every whole window around a survivor and finds its first start.
+  around it contains one of the two. It also looks at the stretch that all whole windows
+  around the place cover: where an equal stretch starts earlier, all its windows do, and
+  they are settled there. The first start of any window is in no settled stretch.
+* Level 3 extends to every other whole window around a survivor and finds its first start.
 
 Each task sends a hash once for a block of its rows, so a passage that a third of the
 documents share reaches a reducer as often as there are blocks, not documents. Reducers
@@ -25,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, double, gram_hashes, id_key, list_array, mix, span_index, text_slices, word_bounds, word_hashes
+from .common import NULL_ID, double, gram_hashes, id_key, mix, range_hashes, span_index, text_slices, word_bounds, word_hashes
 
-_BLOCK = 1 << 20
+_BLOCK = 1 << 19
 _SENT = "key long, chk int, dk long, pos int, flag int"
-_PLACES = "dk long, places array<int>"
-FIRST, REPEATED, SETTLED = 0, 1, 2
+#: Kinds of rows: a window, one that its block repeats, a stretch around an anchor, and what a block settles alone.
+WINDOW, REPEATED, CONTEXT, SETTLED, SETTLED_CONTEXT = 0, 1, 2, 3, 4
 
 
 def _words(data: np.ndarray, offsets: np.ndarray):
@@ -71,30 +73,57 @@ class _Block:
     def __init__(self, final: bool) -> None:
         self.final, self.parts, self.rows = final, [], 0
 
-    def add(self, h: np.ndarray, chk: np.ndarray, dk: np.ndarray, pos: np.ndarray) -> None:
+    def add(self, h: np.ndarray, chk: np.ndarray, dk: np.ndarray, pos: np.ndarray, kind: int) -> None:
         if len(h):
-            self.parts.append((h.view(np.int64), chk, dk, pos))
+            self.parts.append((h.view(np.int64), chk, dk, pos, np.full(len(h), kind, np.int32)))
             self.rows += len(h)
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.rows:
             return
-        key, chk, dk, pos = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        key, chk, dk, pos, flag = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         self.parts, self.rows = [], 0
-        order = np.lexsort((pos, dk, chk, key))
-        key, chk, dk, pos = key[order], chk[order], dk[order], pos[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (chk[1:] != chk[:-1])
-        lead = np.flatnonzero(new)
-        size = np.diff(np.append(lead, len(key)))
-        flag = np.full(len(key), SETTLED, np.int32)
-        flag[lead] = FIRST if self.final else np.where(size > 1, REPEATED, FIRST)
-        own = np.repeat(lead, size)
-        same = (dk == dk[own]) & (pos == pos[own])
-        keep = new | ~same
-        spread = mix(dk.view(np.uint64) ^ np.uint64(0xA5A5)).view(np.int64)
-        key = np.where(flag == SETTLED, spread, key)
-        yield pa.record_batch([pa.array(key[keep]), pa.array(chk[keep], pa.int32()), pa.array(dk[keep]), pa.array(pos[keep], pa.int32()), pa.array(flag[keep], pa.int32())], names=["key", "chk", "dk", "pos", "flag"])
+        order = np.lexsort((pos, dk, chk, key, flag))
+        lead, size = _runs(flag[order], key[order], chk[order])
+        first = np.repeat(order[lead], size)
+        later = np.zeros(len(key), bool)
+        later[order] = (dk[order] != dk[first]) | (pos[order] != pos[first])
+        keep = later.copy()
+        keep[order[lead]] = True
+        keep |= flag == SETTLED
+        if not self.final:
+            again = order[lead[(size > 1) & (flag[order[lead]] == WINDOW)]]
+            flag[again] = REPEATED
+        later &= flag != SETTLED
+        flag[later & (flag == CONTEXT)] = SETTLED_CONTEXT
+        flag[later & (flag == WINDOW)] = SETTLED
+        chk[later] = 1
+        settled = flag >= SETTLED
+        key[settled] = mix(dk[settled].view(np.uint64) ^ np.uint64(0xA5A5)).view(np.int64)
+        kept = (x[keep] for x in (key, chk, dk, pos, flag))
+        yield pa.record_batch([pa.array(x) for x in kept], names=["key", "chk", "dk", "pos", "flag"])
+
+
+def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of rows with equal columns begin, and their sizes."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    lead = np.flatnonzero(new)
+    return lead, np.diff(np.append(lead, len(new)))
+
+
+def _places(batch: pa.RecordBatch, lo: int, hi: int, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The surviving places of the texts in a slice, as word numbers there, and the anchors whose stretch is settled."""
+    places = batch.column(batch.schema.get_field_index("places"))[lo:hi]
+    at = np.asarray(places.flatten()).astype(np.int64)
+    base = np.repeat(first[:-1], np.diff(np.asarray(places.offsets)))
+    return (at + base)[at >= 0], (-1 - at + base)[at < 0]
+
+
+def _stretch_hashes(words: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the words [low, high) around each anchor, and of the anchor's place among them."""
+    shape = (at - low).astype(np.uint64) * np.uint64(1 << 20) + (high - low).astype(np.uint64)
+    return tuple(mix(range_hashes(x, low, high) + shape * np.uint64(0x9FB21C651E98DF25)) for x in (words, mix(words ^ np.uint64(0x5BD1E995))))
 
 
 def _emit(level: int, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -108,29 +137,39 @@ def _emit(level: int, window: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
                 words, first, stop = _words(data, offsets)
                 if len(words) < window:
                     continue
+
+                def add(h, chk, at, kind, first=first, own=ids[lo:hi]):
+                    doc = _owner(first, at)
+                    block.add(h, chk, own[doc], (at - first[doc]).astype(np.int32), kind)
+
                 h = gram_hashes(words, base)
                 if level == 1:
                     at = _anchors(h, stop, base, window)
-                    found, chk = h[at], np.zeros(len(at), np.int32)
+                    add(h[at], np.zeros(len(at), np.int32), at, WINDOW)
                 else:
-                    places = batch.column(batch.schema.get_field_index("places"))[lo:hi]
-                    count = np.diff(np.asarray(places.offsets))
-                    at = np.asarray(places.flatten()).astype(np.int64) + np.repeat(first[:-1], count)
-                    begin = np.repeat(first[:-1], count)
-                    if level == 2:
-                        at = np.concatenate([at, (at - base)[at - base >= begin]])
-                        at = np.unique(at)
-                        at = at[at + 2 * base <= stop[at]]
-                        found, chk = double(h, at, base), np.zeros(len(at), np.int32)
-                    else:
-                        low = np.maximum(at - 2 * base, begin)
-                        at = np.unique(span_index(low, at - low + 1))
-                        at = at[at + window <= stop[at]]
-                        half = double(h, np.arange(max(0, len(h) - base)), base)
-                        found = double(half, at, 2 * base)
-                        chk = (mix(half[at] * np.uint64(0x9FB21C651E98DF25) ^ half[at + 2 * base]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                doc = _owner(first, at)
-                block.add(found, chk, ids[lo:hi][doc], (at - first[doc]).astype(np.int32))
+                    begin = np.repeat(first[:-1], np.diff(first))
+                    at, settled = _places(batch, lo, hi, first)
+                if level == 2:
+                    at = np.unique(at)
+                    long, check = _stretch_hashes(words, at, np.maximum(at - (window - base), begin[at]), np.minimum(at + window, stop[at]))
+                    add(long, (check >> np.uint64(32)).astype(np.uint32).view(np.int32), at, CONTEXT)
+                    at = np.unique(np.concatenate([at, (at - base)[at - base >= begin[at]]]))
+                    at = at[at + 2 * base <= stop[at]]
+                    add(double(h, at, base), np.zeros(len(at), np.int32), at, WINDOW)
+                elif level == 3:
+                    low, edge = np.maximum(settled - (window - base), begin[settled]), np.zeros(len(words) + 1, np.int32)
+                    np.add.at(edge, low, 1)
+                    np.add.at(edge, np.minimum(settled, stop[settled] - window) + 1, -1)
+                    done = np.cumsum(edge[:-1]) > 0
+                    lead, size = _runs(done, begin)
+                    size, lead = size[done[lead]], lead[done[lead]]
+                    add(np.zeros(len(lead), np.uint64), size.astype(np.int32), lead, SETTLED)
+                    low = np.maximum(at - 2 * base, begin[at])
+                    at = np.unique(span_index(low, at - low + 1))
+                    at = at[(at + window <= stop[at]) & ~done[at]]
+                    half = double(h, np.arange(max(0, len(h) - base)), base)
+                    chk = (mix(half[at] * np.uint64(0x9FB21C651E98DF25) ^ half[at + 2 * base]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                    add(double(half, at, 2 * base), chk, at, WINDOW)
                 if block.rows >= _BLOCK:
                     yield from block.flush()
         yield from block.flush()
@@ -138,85 +177,70 @@ def _emit(level: int, window: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return run
 
 
-def _grouped(dk: list[np.ndarray], pos: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    if dk:
-        d, p = np.concatenate(dk), np.concatenate(pos)
-        order = np.lexsort((p, d))
-        d, p = d[order], p[order]
-        lead = np.flatnonzero(np.append(True, d[1:] != d[:-1]))
-        sizes = np.diff(np.append(lead, len(d)))
-        yield pa.record_batch([pa.array(d[lead]), list_array(p, sizes, pa.int32())], names=["dk", "places"])
-
-
 def _judge(final: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Read rows sorted by hash; keep places whose hash repeats or, at the end, those that are not the first of their hash."""
+    """Read rows sorted by hash, and give places: of windows that repeat or, at the end, of those that are not the first of their hash.
+
+    A settled stretch is given as -1 minus its anchor.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dks, poss, held, tail = [], [], 0, None
+        tail = None
 
-        def take(key, chk, dk, pos, flag):
-            new = np.ones(len(key), bool)
-            new[1:] = (key[1:] != key[:-1]) | (chk[1:] != chk[:-1])
-            lead = np.flatnonzero(new)
-            size = np.diff(np.append(lead, len(key)))
+        def judged(cols, extra):
+            key, chk, dk, pos, flag = cols
+            lead, size = _runs(key, chk, flag == CONTEXT)
             own = np.repeat(lead, size)
-            if final:
-                hit = (dk != dk[own]) | (pos != pos[own])
-            else:
-                hit = (np.repeat(size, size) > 1) | (flag == REPEATED)
-            return dk[hit], pos[hit]
+            later = (dk != dk[own]) | (pos != pos[own])
+            window = flag != CONTEXT
+            hit = window & (later if final else (np.repeat(size, size) > 1) | (flag == REPEATED))
+            stretch = ~window & later
+            out = [np.concatenate([x[hit], x[stretch], y]) for x, y in ((dk, extra[2]), (pos, extra[3]))]
+            out[1][hit.sum() : hit.sum() + stretch.sum()] *= -1
+            out[1][hit.sum() : hit.sum() + stretch.sum()] -= 1
+            back = np.flatnonzero(extra[4] == SETTLED_CONTEXT) + int(hit.sum() + stretch.sum())
+            out[1][back] = -1 - out[1][back]
+            n = np.concatenate([np.ones(int(hit.sum() + stretch.sum()), np.int32), extra[1]])
+            return pa.record_batch([pa.array(out[0]), pa.array(out[1]), pa.array(n)], names=["dk", "pos", "n"])
 
         for batch in batches:
             cols = [np.asarray(c) for c in batch.columns]
-            settled = cols[4] == SETTLED
-            dks.append(cols[2][settled])
-            poss.append(cols[3][settled])
-            cols = [c[~settled] for c in cols]
+            settled = cols[4] >= SETTLED
+            extra, cols = [c[settled] for c in cols], [c[~settled] for c in cols]
             if tail is not None:
                 cols = [np.concatenate(x) for x in zip(tail, cols, strict=True)]
-            if len(cols[0]):
-                cut = int(np.searchsorted(cols[0], cols[0][-1], "left"))
-                tail = [c[cut:] for c in cols]
-                d, p = take(*(c[:cut] for c in cols))
-                dks.append(d)
-                poss.append(p)
-            held += len(dks[-1]) + int(settled.sum())
-            if held >= _BLOCK:
-                yield from _grouped(dks, poss)
-                dks, poss, held = [], [], 0
+            cut = int(np.searchsorted(cols[0], cols[0][-1], "left")) if len(cols[0]) else 0
+            tail = [c[cut:] for c in cols]
+            yield judged([c[:cut] for c in cols], extra)
         if tail is not None:
-            d, p = take(*tail)
-            dks.append(d)
-            poss.append(p)
-        yield from _grouped([x for x in dks if len(x)], [x for x in poss if len(x)])
+            yield judged(tail, [x[:0] for x in tail])
 
     return run
 
 
 def _survivors(sent: DataFrame, final: bool) -> DataFrame:
-    order = ["key", "chk", "dk", "pos"] if final else ["key"]
-    rows = sent.repartition("key").sortWithinPartitions(*order).mapInArrow(_judge(final), _PLACES)
-    return rows.groupBy("dk").agg(F.flatten(F.collect_list("places")).alias("places"))
+    rows = sent.repartition("key").sortWithinPartitions("key", "chk", "dk", "pos").mapInArrow(_judge(final), "dk long, pos int, n int")
+    if final:
+        return rows.groupBy("dk").agg(F.collect_list("pos").alias("places"), F.collect_list("n").alias("counts"))
+    return rows.groupBy("dk").agg(F.collect_list("pos").alias("places"))
 
 
 def _cut(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
-            places = batch.column(batch.schema.get_field_index("places"))
+            places, counts = (batch.column(batch.schema.get_field_index(x)) for x in ("places", "counts"))
             kept_text, n_words, n_removed = [], [], []
-            for text, at in zip(texts, places, strict=True):
+            for text, at, n in zip(texts, places, counts, strict=True):
                 words = (text.as_py() or "").encode().split()
                 gone = 0
                 if at.is_valid:
                     edge = np.zeros(len(words) + window + 1, np.int32)
-                    starts = np.unique(np.asarray(at.values))
-                    edge[starts] += 1
-                    edge[starts + window] -= 1
-                    stays = np.cumsum(edge)[: len(words)] == 0
-                    n = len(words)
-                    words = [words[i] for i in np.flatnonzero(stays)]
-                    gone = n - len(words)
+                    starts = np.asarray(at.values)
+                    np.add.at(edge, starts, 1)
+                    np.add.at(edge, starts + np.asarray(n.values) + window - 1, -1)
+                    stays = np.flatnonzero(np.cumsum(edge)[: len(words)] == 0)
+                    gone = len(words) - len(stays)
+                    words = [words[i] for i in stays]
                 n_words.append(len(words) + gone)
                 n_removed.append(gone)
                 kept_text.append(b" ".join(words).decode())
