@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
+from .packing import op2_best_fit_packing
 from .simhash import op6_simhash_near_dedup
 from .substring_dedup import op10_substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
+    "op2_best_fit_packing": op2_best_fit_packing,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
