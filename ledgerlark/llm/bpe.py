@@ -24,7 +24,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import list_array, scratch_path, span_index, text_slices
+from .common import list_array, scratch_path, small_batches, span_index, text_slices
 
 #: Fixed values of the byte-level vocabulary: its splitting pattern and its end token.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -109,6 +109,7 @@ def compile_words(words: Iterable[bytes], ids_of) -> bytes:
     earlier one is that one. Layout: five lengths, then keys (state * 256 + byte, sorted),
     targets, words before each arc, finality of states, id offsets, ids.
     """
+    small_batches(encoded.sparkSession)
     words = sorted(set(words))
     register: dict[tuple, int] = {}
     arcs: list[tuple] = []
@@ -245,6 +246,7 @@ class Encoder:
 @lru_cache(maxsize=2)
 def encoder(path: str, lexicon: str | None) -> Encoder:
     """One encoder for each Python worker and lexicon; tasks after the first reuse it."""
+    small_batches(docs.sparkSession)
     return Encoder(path, Lexicon(SparkFiles.get(lexicon)) if lexicon else None)
 
 
@@ -268,6 +270,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequent_words(docs: DataFrame, limit: int = 1 << 16) -> list[bytes]:
     """The ``limit`` most frequent words between white space, counted over all rows; ties by their bytes."""
+    small_batches(docs.sparkSession)
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_words, "word binary, n long")
     top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
     return [bytes(r.word) for r in top.collect()]

@@ -33,6 +33,13 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Whole texts are long rows: send Python fewer of them at once than Spark does by default."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write a table to the shared scratch folder and read it back: lineage ends there and sizes are known."""
     path = scratch_path(df.sparkSession, label)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import encoder
-from .common import gapless_rank, materialize, text_slices
+from .common import gapless_rank, materialize, small_batches, text_slices
 
 _ROUNDS = 200
 _PORTIONS = 64
@@ -59,6 +59,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) ->
 
     A document is its ids and ``end_id``; only a longer one is cut, and its first piece may be shorter.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_piece_rows(path, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 from .components import components
 
 _RUN = 4096
@@ -69,6 +69,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
 
     A text with fewer words than a shingle is one shingle; a null or empty text has print zero.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_fingerprint_rows(shingle), "doc_id long, fp long")
 

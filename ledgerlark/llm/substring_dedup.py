@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, double, gram_hashes, id_key, mix, range_hashes, span_index, text_slices, word_bounds, word_hashes
+from .common import NULL_ID, double, gram_hashes, id_key, mix, range_hashes, small_batches, span_index, text_slices, word_bounds, word_hashes
 
 _BLOCK = 1 << 19
 _SENT = "key long, chk int, dk long, pos int, flag int"
@@ -265,6 +265,7 @@ def cut_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     each gets the same result and none counts as a copy of the other. An empty table gives an
     empty result. ``window`` must be a multiple of 4.
     """
+    small_batches(docs.sparkSession)
     if window % 4 or window <= 0:
         raise ValueError("window must be a positive multiple of 4")
     rest = [c for c in docs.columns if c != "text"]
