@@ -83,7 +83,7 @@ def _block_masks(k: int) -> list[int]:
 def grid_blocks(rows: int, distance: int) -> int:
     """The number of blocks with the least expected work: cells sent for a row, and rows met in them at a hundredth each."""
     cost = lambda k: comb(k, distance) + 0.01 * rows * comb(k, distance) * 0.375 ** (32 * (k - distance) / k)
-    return min(range(distance + 1, distance + 9), key=cost)
+    return min(range(distance + 2, distance + 9), key=cost)
 
 
 def _signed(x: int) -> int:
