@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
 from .packing import op2_best_fit_packing
+from .quality_rules import op3_quality_rules
 from .secrets import op7_secret_scan
 from .simhash import op6_simhash_near_dedup
 from .substring_dedup import op10_substring_dedup
@@ -15,6 +16,7 @@ from .substring_dedup import op10_substring_dedup
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_quality_rules": op3_quality_rules,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op10_substring_dedup": op10_substring_dedup,
