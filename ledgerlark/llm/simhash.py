@@ -24,7 +24,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
@@ -59,19 +59,21 @@ def _fingerprint_rows(shingle: int):
         for batch in batches:
             texts = batch.column(batch.schema.get_field_index("text"))
             prints = np.fromiter((simhash(t.as_py(), shingle) for t in texts), np.uint64, len(texts))
-            yield pa.record_batch([batch.column(batch.schema.get_field_index("doc_id")), pa.array(prints.view(np.int64))], names=["doc_id", "fp"])
+            doc_id, mark = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "mark"))
+            yield pa.record_batch([doc_id, mark, pa.array(prints.view(np.int64))], names=["doc_id", "mark", "fp"])
 
     return run
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id long, fp long) of every row of ``docs``; A-Z are lowered, words are runs other than white space.
+    """(doc_id, mark, fp: longs) of every row of ``docs``; A-Z are lowered, words are runs other than white space.
 
     A text with fewer words than a shingle is one shingle; a null or empty text has print zero.
+    ``mark`` is a hash of the exact text, which tells rows with one doc_id apart.
     """
     small_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_fingerprint_rows(shingle), "doc_id long, fp long")
+    return rows.withColumn("mark", F.xxhash64("text")).mapInArrow(_fingerprint_rows(shingle), "doc_id long, mark long, fp long")
 
 
 def _block_masks(k: int) -> list[int]:
@@ -226,7 +228,9 @@ def near_links(prints: DataFrame, distance: int = 4) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id) of every row of ``docs``: the least doc_id that near fingerprints reach.
+    """(doc_id, mark, fp, root, component_id) of every row of ``docs``: the least doc_id that near fingerprints reach.
+
+    ``root`` is the least fingerprint of the component, and names it even where ids are null.
 
     Needs doc_id and text; other columns are ignored. Null and empty texts share print zero and
     are linked like any other. A null doc_id gets a component like any row, but names one only
@@ -238,8 +242,22 @@ def near_groups(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFra
     roots = components(near_links(prints.select("fp"), distance))
     placed = prints.join(roots.hint("merge"), F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = placed.groupBy(F.col("root").alias("at")).agg(F.min("low").alias("component_id"))
-    named = placed.join(least.hint("merge"), F.col("root") == F.col("at")).select(F.col("fp").alias("own"), "component_id")
-    return rows.join(materialize(named, "named").hint("merge"), F.col("fp") == F.col("own")).select("doc_id", "fp", "component_id")
+    named = placed.join(least.hint("merge"), F.col("root") == F.col("at")).select(F.col("fp").alias("own"), "root", "component_id")
+    return rows.join(materialize(named, "named").hint("merge"), F.col("fp") == F.col("own")).select("doc_id", "mark", "fp", "root", "component_id")
+
+
+def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
+    """The row of least doc_id of each near-duplicate component, with all columns of ``docs``.
+
+    A null doc_id stays only if its component has no other id; of repeated rows one stays.
+    """
+    last = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
+    groups = near_groups(docs, shingle, distance)
+    stays = groups.groupBy("root").agg(F.min(F.struct(last.alias("_id"), F.col("mark").alias("_mark"))).alias("s")).select("s.*").distinct()
+    keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), last.alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_mark"))
+    kept = keyed.join(stays.hint("merge"), ["_id", "_mark"], "left_semi")
+    first = F.row_number().over(Window.partitionBy("_id", "_mark").orderBy("_mark"))
+    return kept.withColumn("_first", first).where("_first = 1").select("row.*")
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
@@ -248,4 +266,4 @@ def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-__all__ = ["fingerprints", "grid_blocks", "near_groups", "near_links", "op6_simhash_near_dedup", "simhash"]
+__all__ = ["fingerprints", "grid_blocks", "near_groups", "near_links", "one_of_each", "op6_simhash_near_dedup", "simhash"]
