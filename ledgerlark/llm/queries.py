@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
+from .factorisation import op9_factorisation_machine
 from .packing import op2_best_fit_packing
 from .quality_rules import op3_quality_rules
 from .secrets import op7_secret_scan
+from .sharding import op8_sharding
 from .simhash import op6_simhash_near_dedup
 from .substring_dedup import op10_substring_dedup
 
@@ -19,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_rules": op3_quality_rules,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_secret_scan": op7_secret_scan,
+    "op8_sharding": op8_sharding,
+    "op9_factorisation_machine": op9_factorisation_machine,
     "op10_substring_dedup": op10_substring_dedup,
 }
 
