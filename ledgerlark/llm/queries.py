@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
 from .factorisation import op9_factorisation_machine
+from .html_text import op4_html_extraction
 from .packing import op2_best_fit_packing
 from .quality_rules import op3_quality_rules
 from .secrets import op7_secret_scan
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
+    "op4_html_extraction": op4_html_extraction,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_sharding": op8_sharding,
