@@ -25,7 +25,8 @@ def components(links: DataFrame) -> DataFrame:
         heard = edges.join(at.hint("merge"), "b").groupBy(F.col("a").alias("node")).agg(F.min("seen").alias("seen"))
         both = now.join(heard.hint("merge"), "node")
         told = both.select("node", F.least("root", "seen").alias("root")).union(both.select(F.col("root").alias("node"), F.least("root", "seen").alias("root")))
-        hooked = told.groupBy("node").agg(F.min("root").alias("root"))
+        # Written, so that the join on a root that very many nodes share can be split.
+        hooked = materialize(told.groupBy("node").agg(F.min("root").alias("root")), "hooked")
         up = hooked.select(F.col("node").alias("root"), F.col("root").alias("higher"))
         now = materialize(hooked.join(up.hint("merge"), "root", "left").select("node", F.coalesce("higher", "root").alias("root")), "roots")
         check = now.agg(F.sum(F.col("root").cast("decimal(38,0)"))).first()[0]

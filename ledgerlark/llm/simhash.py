@@ -9,9 +9,7 @@ and each value there, and every link shares a cell. Within a cell the Manhattan
 first, then the exact distance. The number of blocks follows the number of distinct
 fingerprints, so that the cells stay small as the input grows; any number finds all links.
 
-Cells are read as sorted runs. A crowded cell yields a spanning forest of verified links, not
-its pairs; a cell over ``_RUN`` fingerprints is cut in chunks and each pair of chunks is
-searched in its own run.
+Cells are read as sorted runs; see ``runs`` for crowded ones.
 """
 
 from __future__ import annotations
@@ -29,9 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize, small_batches
 from .components import components
+from .runs import linked
 
-_RUN = 4096
-_SMALL = 32
 _LOW_BITS = 0x5555555555555555
 _HASH = partial(xxhash.xxh64_intdigest, seed=42)
 
@@ -92,25 +89,20 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _near(fp: np.ndarray, unary: np.ndarray, i, j, distance: int) -> np.ndarray:
-    close = np.bitwise_count(unary[i] ^ unary[j]) <= distance
-    return close & (np.bitwise_count(fp[i] ^ fp[j]) <= distance)
+def _near(distance: int):
+    """Whether pairs of rows are within the distance: the Manhattan bound first, then the exact count."""
 
+    def near(rows: np.ndarray, i, j) -> np.ndarray:
+        close = np.bitwise_count(rows[i, 1] ^ rows[j, 1]) <= distance
+        return close & (np.bitwise_count(rows[i, 0] ^ rows[j, 0]) <= distance)
 
-def _forest(fp: np.ndarray, unary: np.ndarray, distance: int) -> tuple[list[int], list[int]]:
-    """Verified links that connect whatever a run's links connect: a search that meets each member once."""
-    left, frontier, a, b = np.arange(len(fp)), [], [], []
-    while len(left):
-        if not frontier:
-            frontier, left = [left[0]], left[1:]
-        node = frontier.pop()
-        near = _near(fp, unary, left, node, distance)
-        found = left[near]
-        a += [node] * len(found)
-        b += found.tolist()
-        frontier += found.tolist()
-        left = left[~near]
-    return a, b
+    return near
+
+
+def _load(batch: pa.RecordBatch) -> np.ndarray:
+    """Fingerprints and their embeddings."""
+    fp = np.asarray(batch.column(batch.schema.get_field_index("id"))).view(np.uint64)
+    return np.stack([fp, _unary(fp)], 1)
 
 
 def _unary(fp: np.ndarray) -> np.ndarray:
@@ -119,90 +111,6 @@ def _unary(fp: np.ndarray) -> np.ndarray:
     return ((fp | half) & low) | (((fp & half) & low) << np.uint64(1))
 
 
-def _run_links(run_of: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside runs of equal ``run_of``."""
-    if not len(fp):
-        return fp.view(np.int64), fp.view(np.int64)
-    unary = _unary(fp)
-    lead = np.flatnonzero(np.append(True, run_of[1:] != run_of[:-1]))
-    size = np.diff(np.append(lead, len(fp)))
-    left, right = [], []
-    small = np.repeat(size <= _SMALL, size)
-    at = np.flatnonzero(small)
-    stop = np.repeat(lead + size, size)
-    for step in range(1, _SMALL):
-        at = at[at + step < stop[at]]
-        if not len(at):
-            break
-        hit = at[_near(fp, unary, at, at + step, distance)]
-        left.append(hit)
-        right.append(hit + step)
-    for begin, n in zip(lead[size > _SMALL], size[size > _SMALL], strict=True):
-        a, b = _forest(fp[begin : begin + n], unary[begin : begin + n], distance)
-        left.append(np.asarray(a, np.int64) + begin)
-        right.append(np.asarray(b, np.int64) + begin)
-    i, j = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (left, right))
-    return fp[i].view(np.int64), fp[j].view(np.int64)
-
-
-def _search(distance: int, limit: int | None):
-    """Over (cell, fp) sorted by cell: links (a, b, null); of a cell over ``limit`` its members (fp, chunk, cell)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cell, fp = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        crowded, chunk = None, 0
-
-        def links(cell, fp):
-            a, b = _run_links(cell, fp, distance)
-            return pa.record_batch([pa.array(a), pa.array(b), pa.nulls(len(a), pa.int64())], names=["a", "b", "cell"])
-
-        def members(fp, chunk, key):
-            return pa.record_batch([pa.array(fp.view(np.int64)), pa.array(np.full(len(fp), chunk, np.int64)), pa.array(np.full(len(fp), key, np.int64))], names=["a", "b", "cell"])
-
-        for batch in batches:
-            cell = np.concatenate([cell, np.asarray(batch.column(0))])
-            fp = np.concatenate([fp, np.asarray(batch.column(1)).view(np.uint64)])
-            if not len(cell):
-                continue
-            if crowded is not None:
-                n = int(np.searchsorted(cell, crowded, "right"))
-                while n >= _RUN or (n and n < len(cell)):
-                    take = min(n, _RUN)
-                    yield members(fp[:take], chunk, crowded)
-                    cell, fp, n, chunk = cell[take:], fp[take:], n - take, chunk + 1
-                if n < len(cell):
-                    crowded, chunk = None, 0
-            if limit is not None and len(cell):
-                lead = np.flatnonzero(np.append(True, cell[1:] != cell[:-1]))
-                size = np.diff(np.append(lead, len(cell)))
-                gone = np.zeros(len(cell), bool)
-                for begin, n in zip(lead[size > limit], size[size > limit], strict=True):
-                    ended, part = begin + n < len(cell), 0
-                    while n >= _RUN or (n and ended):
-                        take = min(n, _RUN)
-                        yield members(fp[begin : begin + take], part, cell[begin])
-                        gone[begin : begin + take] = True
-                        begin, n, part = begin + take, n - take, part + 1
-                    if not ended:
-                        crowded, chunk = cell[-1], part
-                cell, fp = cell[~gone], fp[~gone]
-            if len(cell) and crowded is None:
-                cut = int(np.searchsorted(cell, cell[-1], "left"))
-                yield links(cell[:cut], fp[:cut])
-                cell, fp = cell[cut:], fp[cut:]
-            elif len(cell):
-                cut = int(np.searchsorted(cell, crowded, "left"))
-                yield links(cell[:cut], fp[:cut])
-                cell, fp = cell[cut:], fp[cut:]
-        if crowded is not None:
-            if len(fp):
-                yield members(fp, chunk, crowded)
-        elif len(cell):
-            yield links(cell, fp)
-
-    return run
-
-
 def near_links(prints: DataFrame, distance: int = 4) -> DataFrame:
     """Links (a, b) between distinct fingerprints of ``prints`` (fp, distinct) at ``distance`` bits or fewer.
 
@@ -214,17 +122,8 @@ def near_links(prints: DataFrame, distance: int = 4) -> DataFrame:
     low = F.lit(_LOW_BITS)
     unary = (F.col("fp").bitwiseOR(half).bitwiseAND(low)).bitwiseOR(F.shiftleft(F.col("fp").bitwiseAND(half).bitwiseAND(low), 1))
     keys = [F.xxhash64(F.lit(i), F.col("unary").bitwiseAND(F.lit(_signed(sum(kept))))) for i, kept in enumerate(combinations(masks, k - distance))]
-    cells = prints.withColumn("unary", unary).select(F.explode(F.array(*keys)).alias("cell"), "fp")
-    found = materialize(cells.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_search(distance, _RUN), "a long, b long, cell long"), "cells")
-    thin = found.where("cell is null").select("a", "b")
-    crowded = found.where("cell is not null")
-    if crowded.isEmpty():
-        return thin
-    chunks = crowded.groupBy("cell").agg((F.max("b") + 1).alias("n"))
-    paired = crowded.join(chunks.hint("merge"), "cell").select("cell", F.col("a").alias("fp"), "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
-    runs = paired.select(F.xxhash64("cell", F.least("b", "other"), F.greatest("b", "other")).alias("cell"), "fp")
-    dense = runs.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_search(distance, None), "a long, b long, cell long")
-    return thin.union(dense.select("a", "b"))
+    cells = prints.withColumn("unary", unary).select(F.explode(F.array(*keys)).alias("cell"), F.col("fp").alias("id"))
+    return linked(cells, _load, _near(distance))
 
 
 def near_groups(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFrame:
