@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import op1_bpe
+from .edit_embedding import op5_edit_embedding
 from .factorisation import op9_factorisation_machine
 from .html_text import op4_html_extraction
 from .packing import op2_best_fit_packing
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_quality_rules": op3_quality_rules,
     "op4_html_extraction": op4_html_extraction,
+    "op5_edit_embedding": op5_edit_embedding,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_secret_scan": op7_secret_scan,
     "op8_sharding": op8_sharding,
