@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -31,6 +32,15 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 END = "<|endoftext|>"
 
 _CACHE = 400_000
+#: Words of more bytes are merged by a heap; the rank of no pair.
+_LONG, _NEVER = 48, 1 << 40
+
+
+_MASK = (1 << 20) - 1
+
+
+def _slot(key: np.ndarray) -> np.ndarray:
+    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(44)).astype(np.int64) & _MASK
 
 
 def _byte_letters() -> dict[str, int]:
@@ -60,6 +70,18 @@ class Merges:
         for rank, pair in enumerate(model["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.ranks[vocab[a], vocab[b]] = (rank, vocab[a + b])
+        # Pairs in an open-addressed table that is mostly empty: one or two reads find a pair or its absence.
+        pairs = np.array([((a << 17) | b, rank, new) for (a, b), (rank, new) in self.ranks.items()], np.int64)
+        self.slots = np.full(1 << 20, -1, np.int32)
+        self.pair_keys, self.pair_ranks, self.pair_new = (np.append(c, x) for c, x in zip(pairs.T, (-1, _NEVER, 0), strict=True))
+        left = np.arange(len(pairs))
+        slot = _slot(self.pair_keys[:-1])
+        while len(left):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = left[free]
+            left, slot = (x[self.slots[slot] != left] for x in (left, slot))
+            slot = (slot + 1) & _MASK
+        self.byte_ids = np.array(self.byte, np.int64)
         size = max(self.tokens) + 1
         lengths = np.array([len(self.tokens.get(i, b"")) for i in range(size)], np.int64)
         self.lengths, self.begins = lengths, np.cumsum(lengths) - lengths
@@ -88,6 +110,58 @@ class Merges:
                 heapq.heappush(heap, (r[0], before[i], ids[before[i]], new, r[1]))
         return [x for x in ids if x >= 0]
 
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """The row of each pair, the last one for pairs that never merge."""
+        slot = _slot(key)
+        at = self.slots[slot]
+        open_ = np.flatnonzero((at >= 0) & (self.pair_keys[at] != key))
+        while len(open_):
+            slot[open_] = (slot[open_] + 1) & _MASK
+            at[open_] = self.slots[slot[open_]]
+            open_ = open_[(at[open_] >= 0) & (self.pair_keys[at[open_]] != key[open_])]
+        return at
+
+    def words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many words in a row, and how many each has: in each round every word merges its pair of least rank.
+
+        A token made by a merge only enters pairs of a higher rank, so all places of a pair merge in
+        one round, overlapping ones from the left. Long words take the heap.
+        """
+        sizes = np.array([len(w) for w in words], np.int64)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        for i in np.flatnonzero(sizes > _LONG).tolist():
+            ids = self.word(words[i])
+            done.append((np.full(len(ids), i), np.array(ids, np.int64)))
+        short = np.flatnonzero(sizes <= _LONG)
+        ids = self.byte_ids[np.frombuffer(b"".join(words[i] for i in short.tolist()), np.uint8)]
+        owner = np.repeat(short, sizes[short])
+        while len(ids):
+            key = (ids[:-1] << np.int64(17)) | ids[1:]
+            at = self._find(key)
+            rank = np.append(np.where(owner[1:] == owner[:-1], self.pair_ranks[at], _NEVER), _NEVER)
+            lead = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            least = np.minimum.reduceat(rank, lead)
+            least = np.repeat(least, np.diff(np.append(lead, len(ids))))
+            ended = least == _NEVER
+            if ended.any():
+                done.append((owner[ended], ids[ended]))
+            hit = np.flatnonzero((rank == least) & ~ended)
+            if len(hit):
+                # Of places that overlap, every second one of the row, from its first.
+                begin = np.append(True, np.diff(hit) > 1)
+                row = hit[np.maximum.accumulate(np.where(begin, np.arange(len(hit)), 0))]
+                hit = hit[(hit - row) % 2 == 0]
+            keep = ~ended
+            ids = ids.copy()
+            ids[hit] = self.pair_new[at[hit]]
+            keep[hit + 1] = False
+            ids, owner = ids[keep], owner[keep]
+        if not done:
+            return np.zeros(0, np.int32), sizes
+        owner, ids = (np.concatenate(x) for x in zip(*done, strict=True))
+        order = np.argsort(owner, kind="stable")
+        return ids[order].astype(np.int32), np.bincount(owner, minlength=len(words))
+
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of the ids; an id outside the vocabulary has none."""
         ids = ids[(ids >= 0) & (ids < len(self.lengths))]
@@ -196,23 +270,55 @@ class Encoder:
         self.merges, self.lexicon = merges(path), lexicon
         self.split = regex.compile(PATTERN).findall
         self.specials = regex.compile("(" + "|".join(regex.escape(t) for t in self.merges.special) + ")") if self.merges.special else None
+        self.touching = re.compile(r"\s\s").search
         self._reset()
 
     def _reset(self) -> None:
-        self.number: dict[str, int] = {}
+        # Numbers of pieces, and of units (a piece of text between spaces, with the space before it); both point into one table of ids.
+        self.pieces: dict[str, int] = {}
+        self.units: dict[str, int] = {}
         self.flat, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        for special, i in self.merges.special.items():
+            self.pieces["\0" + special] = self._add(np.array([i], np.int32), np.ones(1, np.int64))
+
+    def _add(self, flat: np.ndarray, sizes: np.ndarray) -> int:
+        """Append lists of ids; returns the number of the first."""
+        base = len(self.offsets) - 1
+        self.flat = np.concatenate([self.flat, flat])
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
+        return base
 
-    def _learn(self, words: set[str]) -> None:
-        new = list(words)
+    def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sizes = self.offsets[at + 1] - self.offsets[at]
+        return self.flat[span_index(self.offsets[at], sizes)], sizes
+
+    def _learn_pieces(self, new: list[str]) -> None:
         raw = [w.encode() for w in new]
         place = self.lexicon.find(raw) if self.lexicon else np.full(len(new), -1)
-        parts = [self.lexicon.ids[self.lexicon.offsets[p] : self.lexicon.offsets[p + 1]] if p >= 0 else self.merges.word(w) for w, p in zip(raw, place.tolist(), strict=True)]
-        base = len(self.number)
-        self.number.update((w, base + i) for i, w in enumerate(new))
-        self.flat = np.concatenate([self.flat, *(np.asarray(p, np.int32) for p in parts)])
-        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum([len(p) for p in parts])])
+        known, other = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
+        if len(known):
+            begins, ends = (np.asarray(self.lexicon.offsets[place[known] + k]).astype(np.int64) for k in (0, 1))
+            base = self._add(np.asarray(self.lexicon.ids)[span_index(begins, ends - begins)], ends - begins)
+            self.pieces.update((new[i], base + k) for k, i in enumerate(known.tolist()))
+        if len(other):
+            base = self._add(*self.merges.words([raw[i] for i in other.tolist()]))
+            self.pieces.update((new[i], base + k) for k, i in enumerate(other.tolist()))
+
+    def _learn_units(self, new: list[str]) -> None:
+        # Units never join, so one split serves all; their lengths tell where each ends.
+        split = self.split(" " + " ".join(new))
+        missing = list(set(split).difference(self.pieces))
+        if missing:
+            self._learn_pieces(missing)
+        ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+        units = np.cumsum(np.fromiter(map(len, new), np.int64, len(new)) + 1)
+        ids, sizes = self._ids(np.fromiter(map(self.pieces.__getitem__, split), np.int64, len(split)))
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        edge = np.concatenate([[0], np.searchsorted(ends, units) + 1])
+        base = self._add(ids, np.diff(total[edge]))
+        self.units.update((u, base + k) for k, u in enumerate(new))
 
-    def _words(self, text: str) -> list[str]:
+    def _pieces(self, text: str) -> list[str]:
         if self.specials is None or not any(t in text for t in self.merges.special):
             return self.split(text)
         out: list[str] = []
@@ -221,22 +327,36 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts in a row, and the number of each text's ids."""
-        words = [self._words(t) if t else [] for t in texts]
-        if len(self.number) > _CACHE:
+        """Ids of all texts in a row, and the number of each text's ids.
+
+        Where no white space touches other white space, a text falls at its spaces into units that the
+        splitting pattern never joins, so whole units are looked up. Other texts are split in pieces.
+        """
+        if len(self.offsets) > _CACHE * 4:
             self._reset()
-        for special, i in self.merges.special.items():
-            if "\0" + special not in self.number:
-                self.number["\0" + special] = len(self.number)
-                self.flat = np.append(self.flat, np.int32(i))
-                self.offsets = np.append(self.offsets, self.offsets[-1] + 1)
-        new = set(chain.from_iterable(words)).difference(self.number)
+        heads: list[list[str]] = []
+        tails: list[list[str]] = []
+        for text in texts:
+            if not text:
+                heads.append([])
+                tails.append([])
+            elif text[0].isspace() or text[-1].isspace() or self.touching(text) or any(t in text for t in self.merges.special):
+                heads.append(self._pieces(text))
+                tails.append([])
+            else:
+                first, *rest = text.split(" ")
+                heads.append(self.split(first))
+                tails.append(rest)
+        new = set(chain.from_iterable(heads)).difference(self.pieces)
         if new:
-            self._learn(new)
-        counts = np.array([len(w) for w in words], np.int64)
-        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(counts.sum()))
-        sizes = self.offsets[at + 1] - self.offsets[at]
-        ids = self.flat[span_index(self.offsets[at], sizes)]
+            self._learn_pieces(list(new))
+        new = set(chain.from_iterable(tails)).difference(self.units)
+        if new:
+            self._learn_units(list(new))
+        counts = np.array([len(h) + len(t) for h, t in zip(heads, tails, strict=True)], np.int64)
+        pieces, units = self.pieces.__getitem__, self.units.__getitem__
+        numbers = chain.from_iterable(chain(map(pieces, h), map(units, t)) for h, t in zip(heads, tails, strict=True))
+        ids, sizes = self._ids(np.fromiter(numbers, np.int64, int(counts.sum())))
         total = np.concatenate([[0], np.cumsum(sizes)])
         edge = np.concatenate([[0], np.cumsum(counts)])
         return ids, np.diff(total[edge])
