@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: The base patterns (an assignment's value is group 2) and the least lengths.
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -33,9 +35,32 @@ ROLES = {"assign": "secret", "access": "identifier", "hex": "secret", "id": "ide
 _OPEN, _CLOSE, _OTHER = "\ue000", "\ue001", "\ue002"
 
 
+#: A text without any of a kind's words (in lower case) cannot match it; plain searches cost far less than patterns.
+WORDS = {
+    "assign": ["passw", "secret", "token", "api"],
+    "id": ["client", "access", "account", "user", "login"],
+    "key": ["pass", "pwd", "private", "client", "secret", "auth", "credential"],
+    "endpoint": ["://", "host", "endpoint", "server", "url"],
+}
+LONG_HEX, LONG_ACCESS = f"[0-9a-f]{{{HEX_LEAST},}}", f"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}"
+
+
+def _any(text: Column, words: list[str]) -> Column:
+    found = text.contains(words[0])
+    for word in words[1:]:
+        found = found | text.contains(word)
+    return found
+
+
+def worth_scanning() -> Column:
+    """False only for texts that no kind can match: without a separator, an access prefix and a long hex string."""
+    text = F.col("text")
+    return text.contains("=") | text.contains(":") | text.contains("AKIA") | text.rlike(LONG_HEX)
+
+
 def _found(kind: str, pattern: str, order: int, text: Column) -> Column:
     """Pieces of a text between fences: every second one is a match. Null where the pattern finds nothing."""
-    search = {"hex": f"[0-9a-f]{{{HEX_LEAST},}}", "access": f"AKIA[A-Z0-9]{{{ACCESS_LEAST - 4},}}"}.get(kind, pattern)
+    search = {"hex": LONG_HEX, "access": LONG_ACCESS}.get(kind, pattern)
     fenced = F.regexp_replace(text, search, f"{_OPEN}$0{_CLOSE}")
     pieces = F.split(fenced, f"[{_OPEN}{_CLOSE}]")
 
@@ -45,7 +70,8 @@ def _found(kind: str, pattern: str, order: int, text: Column) -> Column:
             ok = ok & (F.length(F.regexp_extract(piece, pattern, 2)) >= ASSIGN_LEAST)
         return F.struct(F.lit(order).alias("kind"), i.alias("i"), F.length(piece).cast("long").alias("n"), ok.alias("ok"))
 
-    return F.when(text.rlike(search), F.transform(pieces, row))
+    may = _any(F.col("lowered"), WORDS[kind]) if kind in WORDS else text.contains("AKIA") if kind == "access" else F.lit(True)
+    return F.when(may, F.when(text.rlike(search), F.transform(pieces, row)))
 
 
 def spans(docs: DataFrame, scope: int = 300) -> DataFrame:
@@ -56,11 +82,16 @@ def spans(docs: DataFrame, scope: int = 300) -> DataFrame:
     points, and an endpoint only if an identifier and a secret both do. Leftmost matches of one
     kind do not overlap; kinds may. Rows with a null or empty text have none.
     """
-    text = F.translate(F.col("text"), _OPEN + _CLOSE, _OTHER * 2)
-    marked = docs.select("doc_key", F.flatten(F.array_compact(F.array(*(_found(k, p, i, text) for i, (k, p) in enumerate(KINDS))))).alias("pieces"))
+    marks = F.col("text").contains(_OPEN) | F.col("text").contains(_CLOSE)
+    safe = F.when(marks, F.translate(F.col("text"), _OPEN + _CLOSE, _OTHER * 2)).otherwise(F.col("text"))
+    few = docs.where(worth_scanning()).select("doc_key", safe.alias("text")).withColumn("lowered", F.lower("text"))
+    text = F.col("text")
+    marked = few.select("doc_key", F.flatten(F.array_compact(F.array(*(_found(k, p, i, text) for i, (k, p) in enumerate(KINDS))))).alias("pieces"))
     rows = marked.where(F.size("pieces") > 0).select("doc_key", F.explode("pieces").alias("p")).select("doc_key", "p.*").distinct()
     before = Window.partitionBy("doc_key", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     placed = rows.withColumn("end", F.sum("n").over(before)).where("ok").select("doc_key", "kind", (F.col("end") - F.col("n")).alias("start"), "end")
+    # Written once: the joins below read the spans several times, and texts must be searched once.
+    placed = materialize(placed, "spans")
     # Interval join: a part meets the buckets its scope touches, a neighbour lies in the one it starts in.
     role = F.element_at(F.array(*(F.lit(ROLES[k]) for k, _ in KINDS)), F.col("kind") + 1)
     parts = placed.withColumn("role", role)
@@ -83,7 +114,8 @@ def spans(docs: DataFrame, scope: int = 300) -> DataFrame:
 
 
 def _doc_key() -> Column:
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")), F.xxhash64("text"))
+    """A name of a row's id and text; 128 bits of the text, so that equal names mean equal texts in practice."""
+    return F.concat_ws("-", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.hex(F.xxhash64("text")), F.hex(F.xxhash64(F.lit("second"), "text")))
 
 
 def scan(docs: DataFrame, scope: int = 300) -> DataFrame:
