@@ -25,7 +25,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import list_array, scratch_path, small_batches, span_index, text_slices
+from .common import list_array, materialize, scratch_path, small_batches, span_index, text_slices
 
 #: Fixed values of the byte-level vocabulary: its splitting pattern and its end token.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -387,11 +387,22 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, limit: int = 1 << 16) -> list[bytes]:
-    """The ``limit`` most frequent words between white space, counted over all rows; ties by their bytes."""
+    """The most frequent words between white space, ``limit`` at most, counted over all rows.
+
+    Counts are bucketed by their logarithm (under 400 buckets), and whole buckets are taken from
+    the top while they fit, so no task sends the driver more than what is kept.
+    """
     small_batches(docs.sparkSession)
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(_count_words, "word binary, n long")
-    top = counted.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(limit)
-    return [bytes(r.word) for r in top.collect()]
+    words = materialize(counted.groupBy("word").agg(F.sum("n").alias("n")).withColumn("bucket", F.floor(F.log2("n") * 6).cast("int")), "words")
+    room, least = limit, None
+    for row in words.groupBy("bucket").count().orderBy(F.desc("bucket")).collect():
+        if row["count"] > room:
+            break
+        room, least = room - row["count"], row["bucket"]
+    if least is None:
+        return []
+    return sorted(bytes(r.word) for r in words.where(F.col("bucket") >= least).select("word").collect())
 
 
 def build_lexicon(spark: SparkSession, docs: DataFrame, path: str, limit: int = 1 << 16) -> str:

@@ -70,7 +70,9 @@ def _walks(texts: list[np.ndarray]) -> np.ndarray:
     when = wanted[text_of, place_of]
     order = np.argsort(when, kind="stable")
     text_of, place_of, when = text_of[order], place_of[order], when[order]
-    edges = np.flatnonzero(np.append(True, when[1:] != when[:-1])) if len(when) else np.zeros(0, np.int64)
+    if not len(when):
+        return np.zeros((len(texts), PLACES), np.uint8)
+    edges = np.flatnonzero(np.append(True, when[1:] != when[:-1]))
     stops = dict(zip(when[edges].tolist(), zip(edges.tolist(), np.append(edges[1:], len(when)).tolist(), strict=True), strict=True))
     at, end = begin.copy(), begin + size
     seen = np.zeros(len(when), np.int64)
