@@ -202,7 +202,9 @@ def with_next(docs: DataFrame, run, schema: str, range_bytes: int = 16 << 20, mo
     rows = docs.select(id_key().alias("dk"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     keys = materialize(rows.select("dk", F.xxhash64("text").alias("mark"), F.octet_length("text").cast("long").alias("size")), "keys")
     count, size = keys.agg(F.count(F.lit(1)), F.sum("size")).first()
-    parts = int(max(1, min(most, count, -(-(size or 0) // range_bytes))))
+    tasks = max(1, min(count, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // range_bytes))))
+    # Several parts a task, so that the tasks stay even although parts are dealt by hash.
+    parts = int(max(1, min(most, count, 8 * tasks)))
     splits = keys.agg(F.percentile_approx("dk", [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0] if parts > 1 else []
     edges = np.unique(np.array(splits or [], np.int64))
 
@@ -221,7 +223,7 @@ def with_next(docs: DataFrame, run, schema: str, range_bytes: int = 16 << 20, mo
     copies = F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, F.struct(F.col("before").alias("part"), F.lit(1).alias("ahead"))))
     spread = joined.withColumn("to", F.explode(copies)).select("to.part", "to.ahead", "dk", "doc_id", "mark", "text")
     order = ["part", "ahead", F.desc("dk"), F.desc("mark")]
-    return spread.repartition(max(parts, 1), "part").sortWithinPartitions(*order).mapInArrow(run, schema)
+    return spread.repartition(tasks, "part").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def _edited_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
