@@ -92,12 +92,14 @@ def spans(docs: DataFrame, scope: int = 300) -> DataFrame:
     placed = rows.withColumn("end", F.sum("n").over(before)).where("ok").select("doc_key", "kind", (F.col("end") - F.col("n")).alias("start"), "end")
     # Written once: the joins below read the spans several times, and texts must be searched once.
     placed = materialize(placed, "spans")
-    # Interval join: a part meets the buckets its scope touches, a neighbour lies in the one it starts in.
+    # Interval join: a part meets the buckets its scope touches, a neighbour lies in each that it touches, however long it is.
     role = F.element_at(F.array(*(F.lit(ROLES[k]) for k, _ in KINDS)), F.col("kind") + 1)
     parts = placed.withColumn("role", role)
-    near = parts.select("doc_key", F.floor(F.col("start") / scope).alias("bucket"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("role").alias("r")).distinct()
+    touched = F.sequence(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope))
+    near = parts.select("doc_key", F.explode(touched).alias("bucket"), F.col("start").alias("s"), F.col("end").alias("e"), F.col("role").alias("r")).distinct()
+    in_scope = F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope))
     weak = parts.where(F.col("kind") >= BASE)
-    reach = weak.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("start") - scope) / scope) - 1, F.floor((F.col("end") + scope) / scope))))
+    reach = weak.withColumn("bucket", F.explode(in_scope))
 
     def beside(rows: DataFrame, wanted: Column) -> DataFrame:
         n = near.hint("merge")
@@ -108,7 +110,7 @@ def spans(docs: DataFrame, scope: int = 300) -> DataFrame:
     paired = beside(reach.where("role <> 'endpoint'"), F.col("r") == F.when(F.col("role") == "secret", "identifier").otherwise("secret")).select(*keys).distinct()
     hosts = reach.where("role = 'endpoint'")
     with_secret = beside(hosts, F.col("r") == "secret").select(*keys).distinct()
-    with_both = beside(with_secret.withColumn("bucket", F.explode(F.sequence(F.floor((F.col("start") - scope) / scope) - 1, F.floor((F.col("end") + scope) / scope)))), F.col("r") == "identifier").select(*keys).distinct()
+    with_both = beside(with_secret.withColumn("bucket", F.explode(in_scope)), F.col("r") == "identifier").select(*keys).distinct()
     every = placed.where(F.col("kind") < BASE).select(*keys).unionByName(paired).unionByName(with_both)
     return every.withColumn("base", F.col("kind") < BASE)
 

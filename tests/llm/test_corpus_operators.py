@@ -286,6 +286,25 @@ def test_secrets(spark, docs_of):
     assert secrets.scan(docs.limit(0)).count() == 0
 
 
+def test_long_secrets_are_neighbours(docs_of):
+    rows, expected = [], {}
+    for n in (500, 700, 1000, 5000):
+        for gap in (1, 280, 301):
+            secret, parts, space = "token=" + "x" * n, "user=alice host=db.example.com", " " * gap
+            for text, at, host in ((secret + space + parts, 0, len(secret) + gap + 11), (parts + space + secret, len(parts) + gap, 11)):
+                # From the id, then from the endpoint, to the secret: 11 code points lie between the two starts.
+                far = (gap, gap + 11) if at == 0 else (gap + 20, gap)
+                found = [(0, at, at + len(secret))]
+                found += [(3, host - 11, host - 1)] if far[0] <= 300 else []
+                found += [(5, host, host + 19)] if far[1] <= 300 else []
+                expected[len(rows)] = sorted(found, key=lambda s: s[1])
+                rows.append((len(rows), text))
+    docs = docs_of(rows)
+    assert {r.doc_id: [(s.kind, s.start, s.end) for s in r.found] for r in secrets.scan(docs).collect()} == expected
+    clean = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert all(("alice" in clean[i]) == all(k != 3 for k, _, _ in s) for i, s in expected.items())
+
+
 # ---- 8 ---------------------------------------------------------------------
 
 
