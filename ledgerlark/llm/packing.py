@@ -159,7 +159,7 @@ class Plan:
                 at = bisect_left(sizes, length)
                 if at == len(sizes):
                     each = self.capacity // length
-                    full = max(1, n // each) if each > 1 and n >= each else n
+                    full = max(1, n // each)
                     add(self.capacity, self.sequences, full)
                     self.sequences += full
                     continue

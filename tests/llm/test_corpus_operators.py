@@ -104,6 +104,14 @@ def test_plan_uses_every_piece_once():
         assert plan.sequences <= 1.02 * (h * np.arange(101)).sum() / 100 + 1
 
 
+@pytest.mark.parametrize("capacity, length, n", [(2048, 5, 200), (2048, 5, 409), (2048, 5, 410), (2048, 3, 2000), (2048, 1, 3), (2048, 1025, 7), (2048, 2048, 4), (100, 7, 29)])
+def test_equal_pieces_share_sequences(capacity, length, n):
+    h = np.zeros(capacity + 1, np.int64)
+    h[length] = n
+    plan = packing.Plan(h)
+    assert plan.sequences == -(-n // (capacity // length)) and plan.counts.sum() == n
+
+
 # ---- 3 ---------------------------------------------------------------------
 
 
