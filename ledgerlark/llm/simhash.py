@@ -152,7 +152,12 @@ def one_of_each(docs: DataFrame, shingle: int = 4, distance: int = 4) -> DataFra
     """
     last = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     groups = near_groups(docs, shingle, distance)
-    stays = groups.groupBy("root").agg(F.min(F.struct(last.alias("_id"), F.col("mark").alias("_mark"))).alias("s")).select("s.*").distinct()
+    return rows_at(docs, groups.groupBy("root").agg(F.min(F.struct(last.alias("_id"), F.col("mark").alias("_mark"))).alias("s")).select("s.*").distinct())
+
+
+def rows_at(docs: DataFrame, stays: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``stays`` (_id, _mark: an id and a hash of its text) names, one for each."""
+    last = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     keyed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), last.alias("_id"), F.xxhash64(F.col("text").cast("string")).alias("_mark"))
     kept = keyed.join(stays.hint("merge"), ["_id", "_mark"], "left_semi")
     first = F.row_number().over(Window.partitionBy("_id", "_mark").orderBy("_mark"))
@@ -165,4 +170,4 @@ def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
     return near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-__all__ = ["fingerprints", "grid_blocks", "near_groups", "near_links", "one_of_each", "op6_simhash_near_dedup", "simhash"]
+__all__ = ["fingerprints", "grid_blocks", "near_groups", "near_links", "one_of_each", "op6_simhash_near_dedup", "rows_at", "simhash"]
