@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, double, gram_hashes, id_key, mix, range_hashes, small_batches, span_index, text_slices, word_bounds, word_hashes
+from .common import NULL_ID, double, gram_hashes, materialize, mix, range_hashes, small_batches, span_index, text_slices, word_bounds, word_hashes
 
 _BLOCK = 1 << 19
 _SENT = "key long, chk int, dk long, pos int, flag int"
@@ -262,14 +262,15 @@ def cut_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
 
     A null text has no words; a text with fewer than ``window`` words loses none; a null doc_id
     counts as smaller than any other. Rows that repeat a doc_id and its text are one document:
-    each gets the same result and none counts as a copy of the other. An empty table gives an
-    empty result. ``window`` must be a multiple of 4.
+    each gets the same result and none counts as a copy of the other. Rows that share a doc_id, or
+    have none, but differ in their texts are documents of their own, in the order of a hash of
+    their text. An empty table gives an empty result. ``window`` must be a multiple of 4.
     """
     small_batches(docs.sparkSession)
     if window % 4 or window <= 0:
         raise ValueError("window must be a positive multiple of 4")
     rest = [c for c in docs.columns if c != "text"]
-    flat = docs.select(id_key().alias("dk"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("carried"))
+    flat = _numbered(docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("carried")))
     texts = flat.repartition("dk")
     level1 = _survivors(flat.select("dk", "text").mapInArrow(_emit(1, window), _SENT), False)
     level2 = _survivors(texts.join(level1.hint("merge"), "dk").mapInArrow(_emit(2, window), _SENT), False)
@@ -279,10 +280,28 @@ def cut_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     return texts.join(last.hint("merge"), "dk", "left").mapInArrow(_cut(window), out)
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """dk, text, carried: ``dk`` names a document and orders documents by id.
+
+    It is the id itself where every id has one text. Else, documents (id, text) are sorted and
+    numbered, and a written table carries the numbers, so that no text is taken for its neighbour
+    and rows without an id do not meet in one task.
+    """
+    marks = {"h1": F.xxhash64("text"), "h2": F.xxhash64(F.lit("second"), "text")}
+    named = rows.select("id", *(v.alias(k) for k, v in marks.items())).distinct()
+    shared = named.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL")
+    if not shared.limit(1).collect():
+        return rows.select(F.coalesce("id", F.lit(NULL_ID)).alias("dk"), "text", "carried")
+    order = materialize(named.orderBy(F.asc_nulls_first("id"), "h1", "h2").select("*", F.monotonically_increasing_id().alias("dk")), "numbers")
+    n, r = order.hint("merge"), rows.withColumns(marks)
+    on = r["id"].eqNullSafe(n["id"]) & (r["h1"] == n["h1"]) & (r["h2"] == n["h2"])
+    return materialize(r.join(n, on).select("dk", "text", "carried"), "numbered")
+
+
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
     """Kept words of every document after the removal of windows of 20 words that start earlier elsewhere."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return cut_repeats(docs).select("carried.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-__all__ = ["NULL_ID", "cut_repeats", "op10_substring_dedup"]
+__all__ = ["cut_repeats", "op10_substring_dedup"]

@@ -397,6 +397,30 @@ def test_substrings(docs_of, rows):
     assert substring_dedup.cut_repeats(docs_of([])).count() == 0
 
 
+def test_substrings_of_shared_ids(docs_of):
+    """Rows without an id and rows that share one are documents of their own; exact repeats are one."""
+    r = random.Random(8)
+    said = lambda n: " ".join(f"u{r.randrange(10**6)}" for _ in range(n))
+    passage, alone = said(40), said(240)
+    rows = [(7, alone), (7, f"{said(30)} {passage} {said(9)}"), (7, f"{passage} {said(4)} {passage}"), (None, f"{passage} {said(12)}"), (None, said(50)), (None, None), (9, passage), (9, passage), (3, None), (3, "")]
+    got = substring_dedup.cut_repeats(docs_of(rows)).collect()
+    order = lambda i, t: (i is not None, i or 0, *hashes[t])
+    hashes = {t: (0, n) for n, t in enumerate(dict.fromkeys(t for _, t in rows))}
+    # The order of texts that share an id is the operator's own: brute force under each order, one of which it must give.
+    seen = {(x["carried"]["doc_id"], x["text"]): (x.n_words, x.n_removed, x.kept_text) for x in got}
+    assert len(got) == len(rows) and seen[7, alone] == (240, 0, alone) and seen[9, passage] == (40, 40, "")
+    distinct = sorted(set(rows), key=lambda x: order(*x))
+    import itertools
+
+    groups = [list(g) for _, g in itertools.groupby(distinct, key=lambda x: (x[0] is not None, x[0] or 0))]
+    wanted = []
+    for picks in itertools.product(*(itertools.permutations(g) for g in groups)):
+        line = [x for g in picks for x in g]
+        cut = brute_cut(list(enumerate(t for _, t in line)))
+        wanted.append({x: cut[k] for k, x in enumerate(line)})
+    assert seen in wanted
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_substrings_of_few_words(docs_of, seed):
     r = random.Random(seed)
