@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import public_tokenizers
 from ledgerlark.llm import bpe, edit_embedding, factorisation, html_text, packing, quality_rules, runs, secrets, sharding, simhash, substring_dedup, text_stats
@@ -316,14 +317,74 @@ def test_long_secrets_are_neighbours(docs_of):
 # ---- 8 ---------------------------------------------------------------------
 
 
-def test_best_fit_is_tight():
+def brute_best_fit(sizes, capacity):
+    """Best fit decreasing, one item at a time; the loads of the bins."""
+    bins = []
+    for size in sorted(sizes, reverse=True):
+        fits = [b for b in bins if capacity - b[0] >= size]
+        if fits:
+            max(fits, key=lambda b: b[0])[0] += size
+        else:
+            bins.append([size])
+    return sorted(b[0] for b in bins)
+
+
+def loads_of(plan):
+    load, seen = {}, {}
+    for size, rank, n, first, each in sorted(plan.slots):
+        assert rank == seen.get(size, 0)
+        seen[size] = rank + n
+        for k in range(n):
+            load[first + k // each] = load.get(first + k // each, 0) + size
+    return load, seen
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit_by_classes_is_best_fit(seed):
+    r = random.Random(seed)
+    sizes = [r.choice([r.randrange(1, 130), r.randrange(1, 20)]) for _ in range(r.randrange(1, 700))]
+    counts = {s: sizes.count(s) for s in sizes}
+    plan = sharding.Plan(list(counts), list(counts.values()), 100)
+    load, seen = loads_of(plan)
+    assert seen == counts and sorted(load) == list(range(plan.bins))
+    assert sorted(load.values()) == brute_best_fit(sizes, 100)
+
+
+def test_least_capacity():
     sizes = [R.randrange(1, 100) for _ in range(3000)]
-    bins = sharding.best_fit(sizes, 100)
-    load = np.bincount(bins, sizes)
-    assert load.max() <= 100 and len(load) <= 1.03 * sum(sizes) / 100 + 1
-    capacity, bins = sharding.least_capacity(sizes, 40)
-    assert max(bins) < 40 and capacity <= sum(sizes) / 40 * 1.01
-    assert sharding.best_fit([], 10) == []
+    counts = {s: sizes.count(s) for s in sizes}
+    capacity, plan = sharding.least_capacity(list(counts), list(counts.values()), 40)
+    load, _ = loads_of(plan)
+    assert plan.bins <= 40 and max(load.values()) <= capacity <= sum(sizes) / 40 * 1.01
+    assert sharding.Plan([], [], 10).bins == 0 and sharding.least_capacity([], [], 4)[1].bins == 0
+
+
+def test_rooms_find_the_tightest():
+    rooms, held = sharding.Rooms(), []
+    for k in range(3000):
+        room = R.randrange(500)
+        rooms.add(room, k, 1)
+        held.append(room)
+        if k % 3 == 0:
+            ask = R.randrange(520)
+            node = rooms.tightest(ask)
+            expected = min((h for h in held if h >= ask), default=None)
+            assert (node and node[0]) == expected
+            if node:
+                rooms.take(node)
+                held.remove(expected)
+    depth = lambda n: 1 + max(depth(n[3]), depth(n[4])) if n else 0
+    assert depth(rooms.root) < 40
+
+
+def test_no_shard_exceeds_its_capacity(spark):
+    rows = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.col("id").cast("string"), F.repeat(F.lit("x"), (F.col("id") % 50 + 1).cast("int") * 20)).alias("text"))
+    rows = rows.unionByName(spark.createDataFrame([(-1, "y" * 9000), (-2, "z" * 1500), (-3, "z" * 1500)], "doc_id long, text string"))
+    got = sharding.pack_shards(rows, capacity=5003).groupBy("shard").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("n"), F.max("slot").alias("last")).toPandas()
+    over = got[got["bytes"] > 5003]
+    assert got.n.sum() == 100_003 and (got["last"] == got.n - 1).all() and over["bytes"].tolist() == [9016]
+    assert len(got) <= 1.02 * got["bytes"].sum() / 5003 + 1
+    assert spark.range(1, 3_000_000, 997).select(F.col("id").alias("s"), sharding.size_class(F.col("id")).alias("c")).where("c < s OR c > s * 2049 / 2048 + 1 OR (s < 4096 AND c <> s)").count() == 0
 
 
 def test_shards(docs_of, rows):
