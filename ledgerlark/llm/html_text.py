@@ -1,16 +1,19 @@
 """Main text of web pages: flat blocks, classified by a decision tree.
 
 A page is cut into flat blocks at block-level tags. Each block has its number of words, its
-link density, those of its neighbours, and where it stands (heading, inside an article or
-body text, inside an element or class that names page furniture). A decision tree, grown here
-from a small labelled table of such rows, tells article text from the rest. Furniture that
-holds running text (a cookie notice, a reader's comment) is told by where it stands.
+link density, those of its neighbours, and where it stands (a heading, a paragraph or an item;
+inside an article; inside an element or class that names page furniture). A decision tree,
+grown here from a labelled table of blocks, tells article text from the rest. The table is
+built by a rule: layouts of pages whose parts are known, with and without elements and classes
+that name them, so that counts and neighbours decide where no name does.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,15 +32,38 @@ FURNITURE = frozenset("nav footer aside form header menu button dialog search fi
 BODY = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ITEMS = frozenset("li td th dt dd".split())
-#: Words of class, id and role attributes that name furniture, and those that name the article.
-FURNITURE_WORDS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu|sidebar|side|widget|footer|foot|header|masthead|topbar|breadcrumb\w*|cookie\w*|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|comments?|disqus|replies|respond|tags|pagination|pager|toolbar|copyright|legal|complementary|contentinfo|navigation|search)(?=$|[\s_-])", re.I)
-BODY_WORDS = re.compile(r"(?:^|[\s_-])(?:article|content|post|entry|story|main|body|text)(?=$|[\s_-])", re.I)
-
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
-_ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-_CLOSES = {h: re.compile(rf"</{h}[\s>/]", re.I) for h in HIDDEN}
+#: Words of class, id and role attributes that name furniture, those that name the article, and those that take a name back.
+FURNITURE_WORDS = frozenset("ad ads advert adverts advertisement banner sponsor sponsored promo promotion nav navbar navigation menu sidebar side widget widgets footer header masthead topbar breadcrumb breadcrumbs cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus reply replies respond tags pagination pager toolbar copyright legal complementary contentinfo search".split())
+BODY_WORDS = frozenset("article content post entry story main body text".split())
+NEGATIONS = frozenset("no not non has have with without is hide hidden show".split())
+
+_ATTRIBUTE = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_STOP = re.compile("[>\"']")
 _RAW = frozenset("script style textarea title noscript iframe template svg math".split())
+_CLOSES = {h: re.compile(rf"</{h}(?=[\s>/]|$)", re.I) for h in _RAW}
 _GAP = re.compile(r"\s+")
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
+
+
+@lru_cache(maxsize=4096)
+def place_of(value: str) -> tuple[bool, bool]:
+    """(furniture, body) of a class, id or role value, by its whole tokens.
+
+    A token is read as words joined by - or _; one of them may name furniture unless another takes
+    it back (no-sidebar, has-comments). A token that is just a body word outweighs furniture beside it.
+    """
+    furniture = body = plain = False
+    for token in value.split():
+        parts = {x.lower() for x in _PARTS.split(token)}
+        if parts & NEGATIONS:
+            continue
+        named = bool(parts & FURNITURE_WORDS)
+        furniture |= named
+        body |= bool(parts & BODY_WORDS) and not named
+        plain |= len(parts) == 1 and parts <= BODY_WORDS
+    return furniture and not plain, body
 
 
 class Block:
@@ -49,11 +75,74 @@ class Block:
         self.words = self.link_words = 0
 
 
+class _Tags:
+    """Tags of a page in order, each found by plain searches that never go back, so in linear time."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.none = page, {"\"": False, "'": False, ">": False, "-->": False, "]]>": False}
+
+    def find(self, what: str, at: int) -> int:
+        """The next place of ``what``, -1 if there is none; that is asked once only."""
+        if self.none[what]:
+            return -1
+        found = self.page.find(what, at)
+        self.none[what] = found < 0
+        return found
+
+    def end(self, at: int) -> int:
+        """The place of the > that ends a tag; quoted values may hold others, a quote that never closes does not count."""
+        begin = at
+        while m := _STOP.search(self.page, at):
+            at = m.end()
+            if m[0] == ">":
+                return m.start()
+            before = m.start() - 1
+            while before > begin and self.page[before].isspace():
+                before -= 1
+            if self.page[before] == "=":
+                close = self.find(m[0], at)
+                at = close + 1 if close >= 0 else at
+            begin = m.start()
+        return len(self.page)
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(begin, end, name, closing, attributes); the name is empty for comments and declarations."""
+        page, at = self.page, 0
+        while (begin := page.find("<", at)) >= 0:
+            if page.startswith("<!--", begin):
+                stop = self.find("-->", begin + 4)
+                at = stop + 3 if stop >= 0 else len(page)
+                yield begin, at, "", False, ""
+            elif page.startswith("<![CDATA[", begin):
+                stop = self.find("]]>", begin)
+                at = stop + 3 if stop >= 0 else len(page)
+                yield begin, at, "", False, ""
+            elif page.startswith(("<!", "<?"), begin):
+                stop = self.find(">", begin)
+                at = stop + 1 if stop >= 0 else len(page)
+                yield begin, at, "", False, ""
+            else:
+                closing = page.startswith("/", begin + 1)
+                name = _NAME.match(page, begin + 1 + closing)
+                if name is None:
+                    at = begin + 1
+                    continue
+                stop = self.end(name.end())
+                at = min(stop + 1, len(page))
+                word = name[0].lower()
+                yield begin, at, word, closing, page[name.end() : stop]
+                if word in _RAW and not closing and not page.endswith("/", name.end(), stop):
+                    close = _CLOSES[word].search(page, at)
+                    at = close.start() if close else len(page)
+                    yield at, at, "", False, ""
+
+
 def blocks(page: str) -> list[tuple[Block, str]]:
     """Flat blocks of a page with their text, white space turned into one space."""
     found: list[tuple[Block, str]] = []
     # Open elements with what each adds to the tallies: link, hidden, furniture, main, heading, paragraph, item.
     stack: list[tuple[str, tuple[int, ...]]] = []
+    opened: Counter[str] = Counter()
     tally = [0] * 7
     now: Block | None = None
 
@@ -81,40 +170,28 @@ def blocks(page: str) -> list[tuple[Block, str]]:
 
     def leave() -> str:
         name, marks = stack.pop()
+        opened[name] -= 1
         for i, mark in enumerate(marks):
             tally[i] -= mark
         return name
 
-    at = 0
-    while at < len(page):
-        tag = _TOKEN.search(page, at)
-        if tag is None:
-            add(page[at:])
-            break
-        add(page[at : tag.start()])
-        at = tag.end()
-        name = (tag[2] or "").lower()
-        if not name:
-            continue
+    at, raw = 0, False
+    for begin, end, name, closing, attributes in _Tags(page):
+        if not raw:
+            add(page[at:begin])
+        at, raw = end, name in _RAW and not closing and not attributes.endswith("/")
         if name in BLOCK:
             close()
         elif name == "br":
             add(" ")
-        if tag[1]:
-            if any(s[0] == name for s in stack):
+        if not name or raw:
+            continue
+        if closing:
+            if opened[name]:
                 while leave() != name:
                     pass
             continue
-        attributes = tag[3] or ""
-        if name in VOID:
-            continue
-        if name in _RAW and not attributes.rstrip().endswith("/"):
-            end = _CLOSES[name].search(page, at)
-            stop = end.start() if end else len(page)
-            tail = page.find(">", stop)
-            at = tail + 1 if end and tail >= 0 else len(page)
-            continue
-        if attributes.rstrip().endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
         furniture, main, unseen = name in FURNITURE, name in BODY, name in HIDDEN
         if name == "header" and tally[3]:
@@ -122,17 +199,20 @@ def blocks(page: str) -> list[tuple[Block, str]]:
         if attributes:
             for a in _ATTRIBUTE.finditer(attributes):
                 key, value = a[1].lower(), (a[2] or "").strip("\"'")
-                if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+                if key == "hidden" or (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _UNSEEN.search(value)):
                     unseen = True
                 elif key in ("class", "id", "role") and name not in ("body", "html"):
-                    furniture = furniture or (name not in BODY and bool(FURNITURE_WORDS.search(value)))
-                    main = main or bool(BODY_WORDS.search(value))
-        if name in ("p", "li") and stack and stack[-1][0] == name:
+                    named, body = place_of(value)
+                    furniture, main = furniture or (named and name not in BODY), main or body
+        if name in ("p", "li", "a") and stack and stack[-1][0] == name:
             leave()
         marks = (int(name == "a"), int(unseen), int(furniture), int(main), int(name in HEADINGS), int(name == "p"), int(name in ITEMS))
         for i, mark in enumerate(marks):
             tally[i] += mark
         stack.append((name, marks))
+        opened[name] += 1
+    if not raw:
+        add(page[at:])
     close()
     return found
 
@@ -148,102 +228,136 @@ def features(found: list[tuple[Block, str]]) -> np.ndarray:
     return np.concatenate([own, np.concatenate([none, own])[:-1], np.concatenate([own, none])[1:], place], 1)
 
 
-#: The labelled table: blocks seen on pages, in the order of FEATURES, and 1 for article text.
-LABELLED = [
-    # menus: one or two linked words among others of their kind
-    ([1, 1.0, 0, 0.0, 1, 1.0, 0, 0, 0, 1, 1], 0),
-    ([1, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 1, 1], 0),
-    ([2, 1.0, 1, 1.0, 8, 0.0, 0, 0, 0, 1, 1], 0),
-    ([2, 1.0, 2, 1.0, 2, 1.0, 0, 0, 0, 1, 0], 0),
-    ([1, 1.0, 1, 1.0, 12, 0.0, 0, 0, 0, 0, 0], 0),
-    ([3, 1.0, 3, 1.0, 3, 1.0, 0, 0, 1, 0, 0], 0),
-    ([6, 1.0, 0, 0.0, 6, 1.0, 0, 0, 0, 1, 0], 0),
-    # lists of links inside an article: related stories, tags
-    ([5, 1.0, 80, 0.0, 6, 1.0, 0, 1, 0, 1, 0], 0),
-    ([7, 1.0, 5, 1.0, 0, 0.0, 0, 1, 0, 1, 0], 0),
-    ([9, 0.9, 6, 1.0, 7, 1.0, 0, 1, 1, 0, 0], 0),
-    # adverts, notices, footers, side columns, forms, comments: told by where they stand
-    ([8, 0.0, 2, 1.0, 11, 0.0, 0, 0, 0, 0, 1], 0),
-    ([13, 0.0, 1, 1.0, 10, 0.0, 0, 0, 0, 0, 1], 0),
-    ([14, 0.0, 120, 0.0, 0, 0.0, 0, 0, 0, 0, 1], 0),
-    ([25, 0.1, 0, 0.0, 10, 0.0, 0, 0, 1, 0, 1], 0),
-    ([40, 0.0, 6, 0.0, 38, 0.0, 0, 0, 1, 0, 1], 0),
-    ([60, 0.0, 90, 0.0, 2, 0.0, 0, 1, 1, 0, 1], 0),
-    ([3, 0.0, 14, 0.0, 60, 0.0, 1, 0, 0, 0, 1], 0),
-    ([4, 0.0, 110, 0.0, 5, 0.0, 0, 1, 0, 0, 1], 0),
-    # loose words outside any article: breadcrumbs, dates, buttons
-    ([2, 0.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0, 0], 0),
-    ([3, 0.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0, 0], 0),
-    ([4, 0.3, 2, 1.0, 2, 1.0, 0, 0, 0, 0, 0], 0),
-    # headings
-    ([11, 0.0, 8, 0.0, 60, 0.0, 1, 1, 0, 0, 0], 1),
-    ([4, 0.0, 90, 0.0, 70, 0.0, 1, 1, 0, 0, 0], 1),
-    ([9, 0.0, 1, 1.0, 45, 0.0, 1, 0, 0, 0, 0], 1),
-    ([6, 0.0, 2, 1.0, 30, 0.0, 1, 0, 0, 0, 0], 1),
-    ([3, 0.0, 12, 1.0, 5, 1.0, 1, 0, 0, 0, 0], 0),
-    # paragraphs of the article, short ones too
-    ([75, 0.0, 11, 0.0, 60, 0.0, 0, 1, 1, 0, 0], 1),
-    ([2, 0.0, 60, 0.0, 80, 0.0, 0, 1, 1, 0, 0], 1),
-    ([1, 0.0, 3, 0.0, 40, 0.0, 0, 1, 1, 0, 0], 1),
-    ([40, 0.2, 70, 0.0, 55, 0.0, 0, 1, 1, 0, 0], 1),
-    ([150, 0.05, 90, 0.0, 14, 0.0, 0, 1, 1, 0, 0], 1),
-    ([90, 0.0, 50, 0.0, 0, 0.0, 0, 1, 0, 0, 0], 1),
-    ([30, 0.45, 45, 0.1, 60, 0.0, 0, 1, 1, 0, 0], 1),
-    ([8, 0.0, 20, 0.0, 9, 0.0, 0, 1, 0, 1, 0], 1),
-    ([12, 0.3, 8, 0.0, 30, 0.0, 0, 1, 0, 1, 0], 1),
-    # paragraphs of pages without an article element
-    ([50, 0.0, 9, 0.0, 44, 0.0, 0, 0, 1, 0, 0], 1),
-    ([35, 0.1, 50, 0.0, 60, 0.0, 0, 0, 1, 0, 0], 1),
-    ([12, 0.0, 40, 0.0, 55, 0.0, 0, 0, 1, 0, 0], 1),
-    ([5, 0.0, 30, 0.0, 40, 0.0, 0, 0, 1, 0, 0], 1),
-    ([28, 0.0, 33, 0.0, 3, 1.0, 0, 0, 0, 0, 0], 1),
-    ([60, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0], 1),
-    ([14, 0.0, 25, 0.0, 18, 0.0, 0, 0, 0, 1, 0], 1),
-    ([3, 0.0, 14, 0.0, 0, 0.0, 0, 0, 1, 0, 0], 1),
-    ([1, 0.0, 30, 0.0, 25, 0.0, 0, 0, 1, 0, 0], 1),
-    ([3, 0.0, 0, 0.0, 0, 0.0, 0, 0, 0, 0, 0], 1),
-]
-
-
-def grow(x: np.ndarray, y: np.ndarray, least: int = 1, depth: int = 8):
+# ---- the labelled table ----------------------------------------------------
+
+
+class Layouts:
+    """Pages made of parts whose label is known: 1 for article text, 0 for the rest."""
+
+    def __init__(self, seed: int) -> None:
+        self.r = random.Random(seed)
+
+    def words(self, low: int, high: int) -> str:
+        return " ".join(self.r.choice(("of", "the", "rain", "market", "station", "early", "people", "found", "near", "water")) for _ in range(self.r.randint(low, high)))
+
+    def text(self) -> str:
+        tag = self.r.choice(["p", "div", "h4"])
+        return f"<{tag}>{self.words(1, self.r.choice([8, 40, 200]))}</{tag}>"
+
+    def links(self, item: str, low: int = 2, high: int = 8, most: int = 4) -> list[str]:
+        return [f"<{item}><a href='/x'>{self.words(1, most)}</a></{item}>" for _ in range(self.r.randint(low, high))]
+
+    def inside(self, tags: list[str], parts: list[str]) -> str:
+        tag = self.r.choice(tags)
+        return f"<{tag}>{''.join(parts)}</{tag.split(' ')[0]}>"
+
+    def menu(self) -> str:
+        return self.inside(["nav", "div class='menu'", "div id='top-nav'", "ul", "div", "div role='navigation'"], self.links("li"))
+
+    def header(self) -> str:
+        return self.inside(["header", "div class='site-header'", "div id='masthead'"], [f"<p>{self.words(1, 90)}</p>"])
+
+    def aside(self) -> str:
+        """Adverts, notices, side columns, forms: all of them named by element or class."""
+        named = ["div class='ad'", "div class='advert box'", "div class='cookie-notice'", "div id='consent'", "div role='alert'", "aside", "div class='sidebar'", "div class='promo'", "form", "div class='newsletter-signup'", "div class='related-posts'"]
+        return self.inside(named, [self.text() for _ in range(self.r.randint(1, 3))] + (self.links("li") if self.r.random() < 0.3 else []))
+
+    def comments(self) -> str:
+        return self.inside(["div id='comments'", "section class='comments'", "div class='comment-list'"], [f"<h3>{self.words(1, 3)}</h3>", *(self.text() for _ in range(self.r.randint(1, 5)))])
+
+    def footer(self) -> str:
+        return self.inside(["footer", "div class='footer'", "div id='page-footer'"], [self.text()])
+
+    def loose(self) -> str:
+        """Dates, bylines and buttons that nothing names: short texts among links, told by their neighbours."""
+        lines = [f"<div><a href='/x'>{self.words(1, 4)}</a></div>"]
+        for _ in range(self.r.randint(1, 4)):
+            lines += [f"<div>{self.words(1, 5)}</div>", f"<div><a href='/x'>{self.words(1, 4)}</a> {self.words(0, 1)}</div>"]
+        return "".join(lines)
+
+    def article(self) -> tuple[str, list[int]]:
+        parts, labels = [f"<h1>{self.words(3, 14)}</h1>"], [1]
+
+        def put(part: str, label: int = 1, n: int = 1) -> None:
+            parts.append(part)
+            labels.extend([label] * n)
+
+        for _ in range(self.r.randint(1, 9)):
+            kind = self.r.random()
+            if kind < 0.56:
+                put(f"<p>{self.words(12, 160)}</p>")
+            elif kind < 0.62:
+                put(f"<div>{self.words(1, 90)}</div>")
+            elif kind < 0.72:
+                put(f"<p>{self.words(1, 9)}</p>")
+            elif kind < 0.8:
+                put(f"<p>{self.words(8, 60)} <a href='/x'>{self.words(1, 6)}</a> {self.words(4, 30)}</p>")
+            elif kind < 0.88:
+                put(f"<h2>{self.words(2, 8)}</h2><p>{self.words(12, 90)}</p>", 1, 2)
+            elif kind < 0.91:
+                inset = self.r.choice([self.aside, self.comments, self.menu])()
+                put(inset, 0, len(blocks(inset)))
+            elif kind < 0.95:
+                items = [f"<li>{self.words(2, 24)}</li>" for _ in range(self.r.randint(2, 6))]
+                put(f"<ul>{''.join(items)}</ul>", 1, len(items))
+            else:
+                # A list of links to other stories.
+                items = self.links("li", 2, 5, 9)
+                put(f"<ul>{''.join(items)}</ul>", 0, len(items))
+        tags = ["article", "main", "div class='content no-sidebar'", "div class='post has-comments'", "div class='main-col col-side text'", "div id='story'", "div", "section"]
+        return self.inside(tags, parts), labels
+
+    def page(self) -> tuple[str, list[int]]:
+        """A page and the labels of its blocks."""
+        before = [self.menu, self.header, self.aside, self.loose]
+        after = [self.aside, self.comments, self.footer, self.menu, self.loose]
+        first = [f() for f in self.r.sample(before, self.r.randint(0, 4))]
+        last = [f() for f in self.r.sample(after, self.r.randint(0, 5))]
+        body, labels = self.article()
+        outside = lambda parts: [0] * len(blocks("".join(parts)))
+        return f"<html><body>{''.join(first)}{body}{''.join(last)}</body></html>", outside(first) + labels + outside(last)
+
+
+def labelled_table(seed: int, pages: int) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of the blocks of that many pages."""
+    layouts, x, y = Layouts(seed), [], []
+    for _ in range(pages):
+        page, labels = layouts.page()
+        x.append(features(blocks(page)))
+        y.append(np.array(labels, float))
+    return np.concatenate(x), np.concatenate(y)
+
+
+def grow(x: np.ndarray, y: np.ndarray, least: int = 4, depth: int = 10):
     """A decision tree by Gini impurity: (feature, threshold, below, above), or the share of label 1."""
-    if depth == 0 or len(y) < 2 * least or len(set(y.tolist())) == 1:
+    n, ones = len(y), y.sum()
+    whole = 2 * ones * (n - ones) / max(n, 1)
+    if depth == 0 or n < 2 * least or whole == 0:
         return float(y.mean())
-    gini = lambda part: 2 * part.mean() * (1 - part.mean()) * len(part)
     best = None
-    # Where a block stands splits before the counts do, if it splits as well.
-    for k in [*range(x.shape[1] - 1, 5, -1), 1, 0, 3, 5, 2, 4]:
-        values = np.unique(x[:, k])
-        for t in (values[1:] + values[:-1]) / 2:
-            low = x[:, k] <= t
-            if min(low.sum(), (~low).sum()) < least:
-                continue
-            loss = gini(y[low]) + gini(y[~low])
-            if best is None or loss < best[0] - 1e-9:
-                best = (loss, k, float(t), low)
-    if best is None or best[0] >= gini(y) - 1e-9:
+    for k in range(x.shape[1]):
+        order = np.argsort(x[:, k], kind="stable")
+        v, c = x[order, k], np.cumsum(y[order])
+        at = np.flatnonzero(v[1:] > v[:-1]) + 1
+        at = at[(at >= least) & (n - at >= least)]
+        if not len(at):
+            continue
+        low, high = c[at - 1], ones - c[at - 1]
+        loss = 2 * low * (at - low) / at + 2 * high * (n - at - high) / (n - at)
+        i = int(np.argmin(loss))
+        if best is None or loss[i] < best[0] - 1e-9:
+            best = (float(loss[i]), k, float(v[at[i] - 1] + v[at[i]]) / 2)
+    if best is None or best[0] >= whole - 1e-9:
         return float(y.mean())
-    _, k, t, low = best
+    _, k, t = best
+    low = x[:, k] <= t
     return k, t, grow(x[low], y[low], least, depth - 1), grow(x[~low], y[~low], least, depth - 1)
 
 
-#: Neighbours that any labelled block may also have: none, a short text, a long one, a link.
-NEIGHBOURS = [(0, 0.0), (4, 0.0), (70, 0.0), (2, 1.0)]
-
-
 @lru_cache(maxsize=1)
 def trained():
-    """The tree of the labelled table, whose blocks inside furniture or an article stand among all kinds of neighbours."""
-    x, y = [], []
-    for row, label in LABELLED:
-        x.append(row)
-        y.append(label)
-        if row[7] or row[8] or row[10]:
-            for before in NEIGHBOURS:
-                for after in NEIGHBOURS:
-                    x.append([*row[:2], *before, *after, *row[6:]])
-                    y.append(label)
-    return grow(np.array(x, float), np.array(y, float))
+    """The tree of the labelled table: the blocks of 400 pages."""
+    return grow(*labelled_table(11, 400))
 
 
 def classify(tree, x: np.ndarray) -> np.ndarray:
@@ -256,32 +370,36 @@ def classify(tree, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, tree=None) -> str:
     """The article of a page: its blocks in page order, joined by line ends."""
     found = blocks(page or "")
     if not found:
         return ""
-    keep = classify(trained(), features(found))
+    keep = classify(tree or trained(), features(found))
     return "\n".join(text for (_, text), k in zip(found, keep, strict=True) if k)
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        pages = batch.column(batch.schema.get_field_index("html"))
-        carried = batch.column(batch.schema.get_field_index("carried"))
-        yield pa.record_batch([carried, pa.array([main_text(p.as_py()) for p in pages], pa.string())], names=["carried", "text"])
+def _rows(tree):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pages = batch.column(batch.schema.get_field_index("html"))
+            carried = batch.column(batch.schema.get_field_index("carried"))
+            yield pa.record_batch([carried, pa.array([main_text(p.as_py(), tree) for p in pages], pa.string())], names=["carried", "text"])
+
+    return run
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(carried, text) for every row; carried is a struct of all columns but html.
 
     A null or empty page, or one without article text, has an empty text. Broken markup is read
-    as far as it goes. Repeated rows are extracted alike; an empty table gives an empty result.
+    as far as it goes, in linear time. Repeated rows are extracted alike; an empty table gives an
+    empty result. The tree, some hundred nodes, is grown on the driver and sent with the tasks.
     """
     small_batches(pages.sparkSession)
     rest = [c for c in pages.columns if c != "html"]
     flat = pages.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("carried"), F.col("html").cast("string").alias("html"))
-    return flat.mapInArrow(_rows, f"carried {flat.schema['carried'].dataType.simpleString()}, text string")
+    return flat.mapInArrow(_rows(trained()), f"carried {flat.schema['carried'].dataType.simpleString()}, text string")
 
 
 def op4_html_extraction(spark, sf_dir: str) -> DataFrame:
@@ -290,4 +408,4 @@ def op4_html_extraction(spark, sf_dir: str) -> DataFrame:
     return extract(pages).select("carried.page_id", "carried.url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
-__all__ = ["blocks", "classify", "extract", "features", "grow", "main_text", "op4_html_extraction", "trained"]
+__all__ = ["Layouts", "blocks", "classify", "extract", "features", "grow", "labelled_table", "main_text", "op4_html_extraction", "trained"]
