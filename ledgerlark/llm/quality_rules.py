@@ -5,10 +5,12 @@ repeated words) are compared with a minimum-covariance-determinant estimate of t
 and source: the mean and covariance of the three quarters of texts that lie closest together.
 A text is rejected where its Mahalanobis distance is improbable under that estimate.
 
-The estimate starts at medians and quartiles and is concentrated in steps. One step is one
-aggregation: sums by group and distance bucket, of which the nearest buckets up to the
-coverage are added. Groups with few rows fall back to their language, then to all rows. All
-rows count; nothing is sampled, and no group is gathered anywhere.
+Each group has four starts: medians and quartiles, all its rows, and its shorter and longer
+half. Every start is concentrated in steps until its determinant falls no more, and the
+start of least determinant gives the estimate. One step is one aggregation for all groups and
+starts: sums by distance bucket, of which the nearest are added up to the coverage, the last
+one in part. Groups with few rows fall back to their language, then to all rows. All rows
+count; nothing is sampled, and no group is gathered anywhere.
 """
 
 from __future__ import annotations
@@ -85,7 +87,19 @@ def _with_estimate(rows: DataFrame, estimate: DataFrame, groups: int) -> DataFra
     return salted.join(side.hint("merge"), (F.col("grp") == F.col("_grp")) & (F.col("_salt") == F.col("_salt2")), "left").drop("_grp", "_salt", "_salt2")
 
 
-_ESTIMATE = "grp string, mean array<double>, inverse array<double>"
+_ESTIMATE = "grp string, start int, mean array<double>, inverse array<double>, logdet double"
+_PAIRS = [(i, j) for i in range(_D) for j in range(i, _D)]
+_SUMS = [*(f"s{i}" for i in range(_D)), *(f"s{i}{j}" for i, j in _PAIRS)]
+STARTS = ["quartiles", "all", "shorter", "longer"]
+
+
+def regular(cov: np.ndarray) -> np.ndarray:
+    """A covariance whose features vary by their floor at least; one that was lifted is independent of the others."""
+    own = cov.diagonal()
+    free = (own >= FLOORS**2).astype(float)
+    out = cov * free[:, None] * free[None, :]
+    out[np.diag_indices(_D)] = np.maximum(own, FLOORS**2)
+    return out + np.eye(_D) * 1e-9
 
 
 def _from_quartiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,29 +108,24 @@ def _from_quartiles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         mean = np.stack([x[:, 1] for x in q], 1)
         scale = np.maximum(np.stack([(x[:, 2] - x[:, 0]) / 1.349 for x in q], 1), FLOORS)
         inverse = [np.diag(1 / s**2).ravel().tolist() for s in scale]
-        yield pd.DataFrame({"grp": pdf["grp"], "mean": mean.tolist(), "inverse": inverse})
+        yield pd.DataFrame({"grp": pdf["grp"], "start": 0, "mean": mean.tolist(), "inverse": inverse, "logdet": 2 * np.log(scale).sum(1)})
 
 
 def _from_sums(factor: float):
-    pairs = [(i, j) for i in range(_D) for j in range(i, _D)]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            means, inverses = [], []
+            means, inverses, logdets = [], [], []
             for row in pdf.to_dict("records"):
                 n = row["n"]
                 mean = np.array([row[f"s{i}"] for i in range(_D)]) / n
                 cov = np.zeros((_D, _D))
-                for i, j in pairs:
+                for i, j in _PAIRS:
                     cov[i, j] = cov[j, i] = row[f"s{i}{j}"] / n - mean[i] * mean[j]
-                cov = cov * factor
-                lift = np.sqrt(np.maximum(FLOORS**2, cov.diagonal()) / np.maximum(cov.diagonal(), 1e-12))
-                floored = cov * np.where(lift > 1, 0, 1)[:, None] * np.where(lift > 1, 0, 1)[None, :]
-                floored[np.diag_indices(_D)] = np.maximum(cov.diagonal(), FLOORS**2)
-                floored += np.eye(_D) * 1e-9
+                cov = regular(cov * factor)
                 means.append(mean.tolist())
-                inverses.append(np.linalg.inv(floored).ravel().tolist())
-            yield pd.DataFrame({"grp": pdf["grp"], "mean": means, "inverse": inverses})
+                inverses.append(np.linalg.inv(cov).ravel().tolist())
+                logdets.append(float(np.linalg.slogdet(cov)[1]))
+            yield pd.DataFrame({"grp": pdf["grp"], "start": pdf["start"].astype("int32"), "mean": means, "inverse": inverses, "logdet": logdets})
 
     return run
 
@@ -127,11 +136,17 @@ def group_of(rows: DataFrame, lang: str, source: str) -> tuple[Column, Column]:
     return F.concat_ws("\t", value(lang), value(source)), value(lang)
 
 
-def fit_estimates(rows: DataFrame, least: int = 200, coverage: float = 0.75, steps: int = 3) -> tuple[DataFrame, DataFrame, int]:
+def consistency(coverage: float) -> float:
+    """What a covariance of the nearest ``coverage`` is multiplied by, so that it estimates that of normal data."""
+    return coverage / gamma_cdf(_D / 2 + 1, chi2_quantile(coverage, _D) / 2)
+
+
+def fit_estimates(rows: DataFrame, least: int = 200, coverage: float = 0.75, steps: int = 30) -> tuple[DataFrame, DataFrame, int]:
     """(names, estimates, groups) over rows with lang_source, lang_only, base_failed and FEATURES.
 
     ``names`` maps lang_source to the group that judges it; groups of fewer than ``least`` rows
-    that pass the base use their language's, or that of all rows.
+    that pass the base use their language's, or that of all rows. A start whose determinant has
+    not settled after ``steps`` steps is used as it then is.
     """
     good = rows.where(~F.col("base_failed"))
     sizes = good.groupBy("lang_source", "lang_only").agg(F.count(F.lit(1)).alias("n"))
@@ -139,28 +154,47 @@ def fit_estimates(rows: DataFrame, least: int = 200, coverage: float = 0.75, ste
     chosen = F.when(F.col("n") >= least, F.col("lang_source")).when(F.col("n1") >= least, F.col("lang_only")).otherwise(F.lit("all"))
     names = materialize(sizes.withColumn("n1", total).select("lang_source", "lang_only", chosen.alias("own")), "groups")
     groups = names.count()
+    # A row counts at each level that judges some group: its own, its language, all.
+    used = names.select(F.col("own").alias("grp")).distinct()
+    used = F.broadcast(used) if groups <= BROADCAST_GROUPS else used.hint("merge")
+    levels = F.array(F.col("lang_source"), F.col("lang_only"), F.lit("all"))
+    wide = materialize(good.select(F.explode(levels).alias("grp"), *FEATURES).join(used, "grp", "left_semi"), "wide")
+    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(FEATURES)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s{i}{j}") for i, j in _PAIRS]
+    factor = consistency(coverage)
 
-    def spread(frame: DataFrame) -> DataFrame:
-        """A row for each level that judges some group: its own, its language, all."""
-        levels = F.array(F.col("lang_source"), F.col("lang_only"), F.lit("all"))
-        return frame.select(F.explode(levels).alias("grp"), *FEATURES)
-
-    wide = spread(good)
     quartiles = wide.groupBy("grp").agg(*(F.percentile_approx(c, [0.25, 0.5, 0.75], 2000).alias(c) for c in FEATURES))
-    estimate = materialize(quartiles.mapInPandas(_from_quartiles, _ESTIMATE), "estimate")
-    edge = chi2_quantile(coverage, _D)
-    factor = coverage / gamma_cdf(_D / 2 + 1, edge / 2)
-    pairs = [(i, j) for i in range(_D) for j in range(i, _D)]
-    sums = [F.sum(c).alias(f"s{i}") for i, c in enumerate(FEATURES)] + [F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s{i}{j}") for i, j in pairs]
+    first = materialize(quartiles.mapInPandas(_from_quartiles, _ESTIMATE), "estimate")
+    half = F.when(F.col(FEATURES[0]) <= F.col("mean")[0], 2).otherwise(3)
+    halves = _with_estimate(wide, first, groups).select("grp", F.explode(F.array(F.lit(1), half)).alias("start"), *FEATURES)
+    others = halves.groupBy("grp", "start").agg(F.count(F.lit(1)).alias("n"), *sums).mapInPandas(_from_sums(1.0), _ESTIMATE)
+    now = materialize(first.unionByName(others), "estimate")
+
+    # Starts that still fall, and those that have settled.
+    settled: list[DataFrame] = []
     for _ in range(steps):
-        near = _with_estimate(wide, estimate, 3 * groups).withColumn("bucket", F.least(F.lit(400), F.floor(F.log1p(F.greatest(_distance(), F.lit(0.0))) * 40)))
-        buckets = near.groupBy("grp", "bucket").agg(F.count(F.lit(1)).alias("n"), *sums)
-        before = F.coalesce(F.sum("n").over(Window.partitionBy("grp").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        whole = F.sum("n").over(Window.partitionBy("grp"))
-        inner = buckets.withColumn("before", before).withColumn("whole", whole).where(F.col("before") < coverage * F.col("whole"))
-        added = inner.groupBy("grp").agg(*(F.sum(c).alias(c) for c in ["n", *(f"s{i}" for i in range(_D)), *(f"s{i}{j}" for i, j in pairs)]))
-        estimate = materialize(added.mapInPandas(_from_sums(factor), _ESTIMATE), "estimate")
-    return names, estimate, groups
+        near = _with_estimate(wide, now, len(STARTS) * groups).where("start is not null")
+        near = near.withColumn("bucket", F.least(F.lit(1000), F.floor(F.log1p(F.greatest(_distance(), F.lit(0.0))) * 100)))
+        buckets = near.groupBy("grp", "start", "bucket").agg(F.count(F.lit(1)).alias("n"), *sums)
+        own = Window.partitionBy("grp", "start")
+        before = F.coalesce(F.sum("n").over(own.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        share = (coverage * F.sum("n").over(own) - before) / F.col("n")
+        inner = buckets.withColumn("share", F.least(F.lit(1.0), share)).where("share > 0")
+        added = inner.groupBy("grp", "start").agg(*(F.sum(F.col(c) * F.col("share")).alias(c) for c in ["n", *_SUMS]))
+        then = now.select("grp", "start", F.col("logdet").alias("was"))
+        moved = added.mapInPandas(_from_sums(factor), _ESTIMATE).join(then.hint("merge"), ["grp", "start"])
+        # The first step changes from a plain to a consistent covariance, so it never settles a start.
+        moved = materialize(moved.withColumn("falls", (F.col("logdet") < F.col("was") - 1e-6) | F.lit(not settled)), "estimate")
+        settled.append(moved.where("NOT falls").drop("was", "falls"))
+        now = moved.where("falls").drop("was", "falls")
+        if now.isEmpty():
+            break
+    else:
+        settled.append(now)
+    every = settled[0]
+    for part in settled[1:]:
+        every = every.unionByName(part)
+    best = every.groupBy("grp").agg(F.min_by(F.struct("mean", "inverse", "logdet"), F.struct("logdet", "start")).alias("b"))
+    return names, materialize(best.select("grp", "b.*"), "estimate"), groups
 
 
 def judge(docs: DataFrame, keep_text: bool = True, least: int = 200, coverage: float = 0.75, tail: float = 1e-6) -> DataFrame:

@@ -145,6 +145,47 @@ def test_outliers_go_and_clean_texts_stay(spark, docs_of):
     assert quality_rules.chi2_quantile(0.95, 5) == pytest.approx(11.0705, abs=1e-3)
 
 
+def brute_mcd(x, coverage, tries=60):
+    """The least log-determinant that exact concentration reaches from many random starts, and its mean and inverse."""
+    rng, h, best = np.random.default_rng(3), coverage * len(x), None
+    for _ in range(tries):
+        part = x[rng.choice(len(x), rng.integers(6, len(x)), replace=False)]
+        mean, cov, last = part.mean(0), quality_rules.regular(np.cov(part.T, bias=True)), np.inf
+        for _ in range(200):
+            d = np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+            order = np.argsort(d)
+            w = np.clip(h - np.arange(len(x)), 0, 1)
+            p = x[order]
+            mean = (p * w[:, None]).sum(0) / w.sum()
+            cov = quality_rules.regular(((p * w[:, None]).T @ p / w.sum() - np.outer(mean, mean)) * quality_rules.consistency(coverage))
+            now = np.linalg.slogdet(cov)[1]
+            if now >= last - 1e-9:
+                break
+            last = now
+        if best is None or last < best[0]:
+            best = (last, mean, np.linalg.inv(cov))
+    return best
+
+
+def test_determinant_is_least(spark):
+    rng, rows, groups = np.random.default_rng(4), [], {}
+    for name, n, share in (("a", 900, 0.1), ("b", 700, 0.22), ("c", 500, 0.0)):
+        x = rng.normal(0, 1, (n, 5)) @ rng.normal(0, 1, (5, 5)) + rng.normal(0, 3, 5)
+        x[: int(n * share)] = rng.normal(9, 0.6, (int(n * share), 5))
+        groups[name] = x
+        rows += [(name, "l", False, *map(float, r)) for r in x]
+    frame = spark.createDataFrame(rows, "lang_source string, lang_only string, base_failed boolean, " + ", ".join(f"{c} double" for c in quality_rules.FEATURES))
+    _, estimate, _ = quality_rules.fit_estimates(frame)
+    got = {r.grp: r for r in estimate.collect()}
+    assert set(got) == set(groups)
+    edge = quality_rules.chi2_quantile(1 - 1e-6, 5)
+    for name, x in groups.items():
+        least, mean, inverse = brute_mcd(x, 0.75)
+        assert got[name].logdet <= least + 0.02
+        far = lambda m, i: np.einsum("ij,jk,ik->i", x - m, i, x - m) > edge
+        assert (far(np.array(got[name]["mean"]), np.array(got[name].inverse).reshape(5, 5)) == far(mean, inverse)).mean() > 0.998
+
+
 # ---- 4 ---------------------------------------------------------------------
 
 PAGE = """<html><head><title>T</title></head><body><header>Site slogan</header><nav><a>One</a><a>Two</a></nav>
