@@ -24,10 +24,13 @@ NULL_ID = -(2**63)
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A new path in the folder that all executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in local tests, a temporary folder is set.
+    A local session that names none, as in tests, gets a temporary folder; on a cluster executors
+    would each write to their own disk, so there it is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"

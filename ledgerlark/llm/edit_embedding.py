@@ -8,7 +8,9 @@ step of a place is the least by a shared random order among the steps the walk h
 nearly the same length sample the same steps, and the sample covers the whole text. What is
 kept of a step is a byte of a hash of the eight characters that begin where the walk stands.
 
-Near pairs are found by bands of sampled places and verified on the whole fingerprint.
+Near pairs are found by bands of sampled places and verified on the whole fingerprint. A band
+takes the first places of its own order at which a walk has a step, so short texts, which have
+few, do not meet in cells of empty places.
 """
 
 from __future__ import annotations
@@ -19,10 +21,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import id_key, materialize, mix, small_batches
+from .common import NULL_ID, id_key, list_array, materialize, mix, small_batches
 from .components import components
 from .runs import linked
 
@@ -166,68 +168,152 @@ def _load(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(prints.to_pylist()), np.uint8).reshape(-1, PLACES)
 
 
-def near_classes(docs: DataFrame, least: float = 0.8, bands: int = 32, width: int = 4) -> DataFrame:
-    """(doc_id, class_id): the least doc_id that texts of likeness ``least`` or more reach.
+_LETTERS = np.random.default_rng(23).integers(1, 2**63, (PLACES, 256), dtype=np.uint64)
 
-    Equal fingerprints are one node. A node enters ``bands`` cells, each named by ``width``
-    sampled places; nodes that share a cell are verified on all places. At likeness 0.8, 32 bands
-    of four places miss a pair with a chance of some five in ten million.
-    """
-    rows = fingerprints(docs.select("doc_id", "text")).select(F.col("carried.doc_id").cast("long").alias("doc_id"), "fingerprint")
-    rows = materialize(rows.withColumn("id", F.xxhash64("fingerprint")), "prints")
-    nodes = materialize(rows.groupBy("id", "fingerprint").agg(F.min("doc_id").alias("low")), "nodes")
-    picks = np.random.default_rng(5).permutation(PLACES)[: bands * width].reshape(bands, width)
-    cell = lambda b: F.xxhash64(F.lit(b), *(F.substring("fingerprint", int(k) + 1, 1) for k in picks[b]))
-    cells = nodes.select(F.explode(F.array(*(cell(b) for b in range(bands)))).alias("cell"), "id", "fingerprint")
+
+def band_cells(prints: np.ndarray, bands: int, width: int) -> np.ndarray:
+    """The cell of each fingerprint in each band: its first ``width`` places, in the band's order, that hold a step."""
+    orders = np.random.default_rng(5)
+    out = np.zeros((len(prints), bands), np.uint64)
+    for band in range(bands):
+        order = orders.permutation(PLACES)
+        seen = prints[:, order]
+        taken = seen > 0
+        taken &= np.cumsum(taken, 1, dtype=np.int16) <= width
+        out[:, band] = mix(np.where(taken, _LETTERS[order, seen], 0).sum(1, dtype=np.uint64) + np.uint64((band + 1) * 0x9E3779B97F4A7C15 % 2**64))
+    return out
+
+
+_PLACE_KEYS = np.random.default_rng(29).integers(1, 2**63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def print_ids(prints: np.ndarray) -> np.ndarray:
+    """A 64-bit name of each fingerprint."""
+    return mix((mix(_PLACE_KEYS * (prints.astype(np.uint64) + np.uint64(1)))).sum(1, dtype=np.uint64))
+
+
+def _id_rows(bands: int, width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dk, mark = (batch.column(batch.schema.get_field_index(c)) for c in ("dk", "mark"))
+            prints = fingerprint_texts([t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])
+            cells = list_array(band_cells(prints, bands, width).view(np.int64).ravel(), np.full(len(prints), bands), pa.int64())
+            yield pa.record_batch([dk, mark, pa.array(print_ids(prints).view(np.int64)), cells], names=["dk", "mark", "id", "cells"])
+
+    return run
+
+
+def _print_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = fingerprint_texts([t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])
+        yield pa.record_batch([pa.array(print_ids(prints).view(np.int64)), pa.array([r.tobytes() for r in prints], pa.binary())], names=["id", "fingerprint"])
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """dk, doc_id, mark, text: ids that are never null, and a hash that tells rows of one id apart."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    return docs.select(id_key().alias("dk"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("mark"), text.alias("text"))
+
+
+def _classes(docs: DataFrame, least: float, bands: int, width: int) -> DataFrame:
+    """(dk, mark, class_id) for each distinct dk and mark of ``_keyed``."""
+    small_batches(docs.sparkSession)
+    texts = _keyed(docs)
+    rows = materialize(texts.select("dk", "mark", "text").mapInArrow(_id_rows(bands, width), "dk long, mark long, id long, cells array<long>"), "ids")
+    nodes = materialize(rows.groupBy("id").agg(F.min("dk").alias("low"), F.first("cells").alias("cells")), "nodes")
+    cell = Window.partitionBy("cell")
+    met = nodes.select(F.explode("cells").alias("cell"), "id").withColumn("n", F.count(F.lit(1)).over(cell)).where("n > 1").withColumn("all", F.bit_xor(F.xxhash64("id")).over(cell))
+    # Cells with the same members say the same: one of them is verified.
+    met = materialize(met, "met")
+    once = met.groupBy("n", "all").agg(F.min("cell").alias("cell")).select("cell")
+    kept = materialize(met.join(once.hint("merge"), "cell", "left_semi").select("cell", "id"), "shared")
+    wanted = kept.select("id").distinct()
+    # Fingerprints are made again for the ids that met another; carrying them from the start would cost more than the walk.
+    prints = texts.select("text").mapInArrow(_print_of_rows, "id long, fingerprint binary").join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+    cells = kept.join(materialize(prints, "prints").hint("merge"), "id").select("cell", "id", "fingerprint")
     roots = components(linked(cells, _load, _near(least)))
-    placed = nodes.join(roots.hint("merge"), F.col("id") == F.col("node"), "left").select("id", "low", F.coalesce("root", "id").alias("root"))
-    first = placed.groupBy(F.col("root").alias("at")).agg(F.min("low").alias("class_id"))
+    placed = nodes.select("id", "low").join(roots.hint("merge"), F.col("id") == F.col("node"), "left").select("id", "low", F.coalesce("root", "id").alias("root"))
+    known = F.when(F.col("low") > NULL_ID, F.col("low"))
+    first = placed.groupBy(F.col("root").alias("at")).agg(F.min(known).alias("class_id"))
     named = materialize(placed.join(first.hint("merge"), F.col("root") == F.col("at")).select(F.col("id").alias("own"), "class_id"), "named")
-    return rows.join(named.hint("merge"), F.col("id") == F.col("own")).select("doc_id", "class_id")
+    return rows.select("dk", "mark", "id").join(named.hint("merge"), F.col("id") == F.col("own")).select("dk", "mark", "class_id").distinct()
+
+
+def near_classes(docs: DataFrame, least: float = 0.8, bands: int = 8, width: int = 4) -> DataFrame:
+    """(doc_id, class_id) of every row: the least doc_id that texts of likeness ``least`` or more reach.
+
+    Equal fingerprints are one node. A node enters ``bands`` cells, each named by ``width``
+    sampled places; nodes that share a cell are verified on all places. A pair of likeness s
+    shares no band with a chance of (1 - s**4)**8: 0.015 at 0.8, 0.0002 at 0.9. A class whose
+    rows all lack an id has none. Null and empty texts are one class; rows that repeat are each
+    returned; other columns are ignored; an empty table gives an empty result.
+    """
+    rows = _keyed(docs).select("dk", "doc_id", "mark")
+    found = _classes(docs, least, bands, width).select(F.col("dk").alias("_dk"), F.col("mark").alias("_mark"), "class_id")
+    return rows.join(found.hint("merge"), (F.col("dk") == F.col("_dk")) & (F.col("mark") == F.col("_mark"))).select("doc_id", "class_id")
 
 
 # ---- neighbours in the order of ids ----------------------------------------
 
 
-def with_next(docs: DataFrame, run, schema: str, range_bytes: int = 16 << 20, most: int = 20_000) -> DataFrame:
+def with_next(docs: DataFrame, run, schema: str, beside: DataFrame | None = None, range_bytes: int = 16 << 20, most: int = 20_000) -> DataFrame:
     """Apply ``run`` (a mapInArrow function) to rows sorted by descending doc_id, each range followed by its next row.
 
-    Columns: part, ahead, dk, doc_id, text. Rows of a part are consecutive; the last row of a part
-    has ahead = 1, and is the first of the next part (the first of all after the last part). Texts
-    are shuffled once. The driver holds one key for each of at most ``most`` parts.
+    Columns: part, ahead, dk, doc_id, mark, text, value. Rows of a part are consecutive; the last
+    row of a part has ahead = 1, and is the first of the next part (the first of all after the last
+    part). Texts are shuffled once. ``beside`` (dk, mark, value) comes as rows without a text, each
+    before the rows it belongs to. A null text is empty; rows without an id come last; rows of one
+    id are in the order of a hash of their texts, and where they are many they fill several parts;
+    an empty table gives an empty result. The driver holds one key for each of some ``most`` parts.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(id_key().alias("dk"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    keys = materialize(rows.select("dk", F.xxhash64("text").alias("mark"), F.octet_length("text").cast("long").alias("size")), "keys")
+    rows = _keyed(docs)
+    keys = materialize(rows.select("dk", "mark", F.octet_length("text").cast("long").alias("size")), "keys")
     count, size = keys.agg(F.count(F.lit(1)), F.sum("size")).first()
     tasks = max(1, min(count, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(size or 0) // range_bytes))))
     # Several parts a task, so that the tasks stay even although parts are dealt by hash.
     parts = int(max(1, min(most, count, 8 * tasks)))
-    splits = keys.agg(F.percentile_approx("dk", [i / parts for i in range(1, parts)], max(10_000, 20 * parts))).first()[0] if parts > 1 else []
-    edges = np.unique(np.array(splits or [], np.int64))
+    cuts = [i / parts for i in range(1, parts)]
+    accuracy = max(10_000, 20 * parts)
+    splits = np.array((keys.agg(F.percentile_approx("dk", cuts, accuracy)).first()[0] if parts > 1 else []) or [], np.int64)
+    edges, times = np.unique(splits, return_counts=True)
+    # An id that fills whole parts (or many rows without one) is cut by the hashes of its texts.
+    inner: dict[int, np.ndarray] = {}
+    many = edges[times > 2].tolist()
+    if many:
+        hot = keys.where(F.col("dk").isin(many)).groupBy("dk").agg(F.percentile_approx("mark", cuts, accuracy).alias("m"))
+        inner = {r.dk: np.unique(np.array(r.m, np.int64)[:: max(1, len(cuts) // int(times[edges == r.dk][0]))]) for r in hot.collect()}
+    ahead_of = {dk: sum(len(m) for d, m in inner.items() if d > dk) for dk in inner}
+    extra = np.array([sum(len(m) for d, m in inner.items() if d > e) for e in edges] + [0], np.int64)
 
     @F.pandas_udf("int")
-    def part_of(dk: pd.Series) -> pd.Series:
-        return pd.Series(len(edges) - np.searchsorted(edges, dk.to_numpy(), "left")).astype("int32")
-
-    dealt = keys.withColumn("part", part_of("dk"))
-    heads = dealt.groupBy("part").agg(F.max(F.struct("dk", "mark")).alias("head")).orderBy("part").collect()
+    def part_of(dk: pd.Series, mark: pd.Series) -> pd.Series:
+        d, m = dk.to_numpy(), mark.to_numpy()
+        place = np.searchsorted(edges, d, "left")
+        part = len(edges) - place + extra[place]
+        for key, marks in inner.items():
+            own = d == key
+            part[own] = len(edges) - place[own] + ahead_of[key] + len(marks) - np.searchsorted(marks, m[own], "left")
+        return pd.Series(part).astype("int32")
+
+    heads = keys.groupBy(part_of("dk", "mark").alias("part")).agg(F.max(F.struct("dk", "mark")).alias("head")).orderBy("part").collect()
     # One row a part, so bounded by ``most``: the first row of a part also closes the part before it.
     targets = [(heads[i].head.dk, heads[i].head.mark, heads[i - 1].part) for i in range(len(heads))]
     ahead = spark.createDataFrame(targets, "_dk long, _mark long, before int")
-    marked = rows.withColumn("mark", F.xxhash64("text")).withColumn("part", part_of("dk"))
-    joined = marked.join(F.broadcast(ahead), (F.col("dk") == F.col("_dk")) & (F.col("mark") == F.col("_mark")), "left")
+    joined = rows.withColumn("part", part_of("dk", "mark")).join(F.broadcast(ahead), (F.col("dk") == F.col("_dk")) & (F.col("mark") == F.col("_mark")), "left")
     here = F.struct(F.col("part").alias("part"), F.lit(0).alias("ahead"))
     copies = F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, F.struct(F.col("before").alias("part"), F.lit(1).alias("ahead"))))
-    spread = joined.withColumn("to", F.explode(copies)).select("to.part", "to.ahead", "dk", "doc_id", "mark", "text")
-    order = ["part", "ahead", F.desc("dk"), F.desc("mark")]
+    spread = joined.withColumn("to", F.explode(copies)).select("to.part", "to.ahead", "dk", "doc_id", "mark", "text", F.lit(None).cast("long").alias("value"))
+    if beside is not None:
+        none = lambda kind: F.lit(None).cast(kind)
+        spread = spread.unionByName(beside.select(part_of("dk", "mark").alias("part"), F.lit(0).alias("ahead"), "dk", none("long").alias("doc_id"), "mark", none("string").alias("text"), "value"))
+    order = ["part", "ahead", F.desc("dk"), F.desc("mark"), F.col("text").isNotNull()]
     return spread.repartition(tasks, "part").sortWithinPartitions(*order).mapInArrow(run, schema)
 
 
 def _edited_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple[int, int, int | None, str]] = []
+    held: list[tuple[int, int, int | None, str, int | None]] = []
     size = 0
 
     def flush(last: bool) -> Iterator[pa.RecordBatch]:
@@ -250,31 +336,37 @@ def _edited_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     pa.array(_hex(new), pa.string()),
                     pa.array(likeness(mine, new)),
                     pa.array(likeness(mine, after)),
+                    pa.array([held[i][4] for i in own], pa.int64()),
                 ],
-                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
+                names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id"],
             )
         held = held[-1:] if held and not held[-1][1] and not last else []
         size = sum(len(h[3]) for h in held)
 
     skip = None
+    value = None
     for batch in batches:
-        part, ahead, doc_id, text = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("part", "ahead", "doc_id", "text"))
-        for row in zip(part, ahead, doc_id, text, strict=True):
-            if row[1] and skip == row[0]:
+        columns = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("part", "ahead", "doc_id", "text", "value"))
+        for part, ahead, doc_id, text, own in zip(*columns, strict=True):
+            if text is None:
+                value = own  # of the rows that follow
+                continue
+            if ahead and skip == part:
                 continue  # rows that repeat the head of the next part follow it here too
-            skip = row[0] if row[1] else None
-            held.append(row)
-            size += len(row[3])
-            if size >= _LOCKSTEP and not row[1]:
+            skip = part if ahead else None
+            held.append((part, ahead, doc_id, text, value))
+            size += len(text)
+            if size >= _LOCKSTEP and not ahead:
                 yield from flush(False)
     yield from flush(True)
 
 
 def op5_edit_embedding(spark, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text, and their likeness."""
+    """Fingerprints of every document and of its edited text, their likeness, and the class of near documents (least doc_id)."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(docs, _edited_rows, schema)
+    classes = materialize(_classes(docs, 0.8, 8, 4).withColumnRenamed("class_id", "value"), "classes")
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long"
+    return with_next(docs, _edited_rows, schema, classes)
 
 
-__all__ = ["fingerprint_texts", "fingerprints", "likeness", "near_classes", "op5_edit_embedding", "with_next"]
+__all__ = ["band_cells", "fingerprint_texts", "fingerprints", "likeness", "near_classes", "op5_edit_embedding", "with_next"]

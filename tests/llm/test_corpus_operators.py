@@ -253,7 +253,7 @@ def test_fingerprints_follow_edits():
 
 
 def test_neighbours_by_descending_id(spark, docs_of, rows):
-    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long"
     some = rows[:39]
     docs = docs_of(some).repartition(3)
     for size in (400, 1 << 24):
@@ -266,12 +266,59 @@ def test_neighbours_by_descending_id(spark, docs_of, rows):
     assert edit_embedding.with_next(docs.limit(0), edit_embedding._edited_rows, schema).count() == 0
 
 
+def test_rows_of_one_id_fill_many_parts(docs_of):
+    """Every row once, whatever share of them has no id or one id, each edited by a text of the table."""
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long"
+    some = [(None, f"none {k} {prose(6)}") for k in range(90)] + [(7, f"seven {k} {prose(6)}") for k in range(80)] + [(k, f"own {k} {prose(6)}") for k in range(8, 60)]
+    got = edit_embedding.with_next(docs_of(some).repartition(5), edit_embedding._edited_rows, schema, range_bytes=60).collect()
+    seen = sorted((r.doc_id or -1, r.n_chars) for r in got)
+    assert seen == sorted((i or -1, len(t)) for i, t in some)
+    edits = {hashlib.sha256((a[: len(a) - len(a) // 3] + b[: len(a) // 3]).encode()).hexdigest(): (i, j) for i, a in some for j, b in some}
+    assert all(r.edited_sha256 in edits for r in got)
+    rank = lambda i: -1 if i is None else i
+    assert sum(rank(edits[r.edited_sha256][1]) > rank(r.doc_id) for r in got) <= 3
+
+
 def test_near_classes(docs_of):
     a, b = prose(300), prose(300)
     got = {r.doc_id: r.class_id for r in edit_embedding.near_classes(docs_of([(5, a), (3, a + "!"), (9, b), (7, None), (8, "")])).collect()}
     assert got == {5: 3, 3: 3, 9: 9, 7: 7, 8: 7}
 
 
+def test_bands_reach_likeness(docs_of):
+    """Recall of the bands against all pairs, on texts of every length, from barely to very near."""
+    r, texts = random.Random(2), []
+    for base in range(60):
+        words = [f"v{r.randrange(4000)}" for _ in range(r.choice([2, 5, 12, 60, 300]))]
+        texts.append(" ".join(words))
+        for k in range(1, 7):
+            copy = list(words)
+            for at in r.sample(range(len(words)), max(1, len(words) * k // 60)):
+                copy[at] = f"x{r.randrange(4000)}"
+            texts.append(" ".join(copy))
+    texts += ["", "a", "b", "ab", "abc", "abd"]
+    prints = edit_embedding.fingerprint_texts(texts)
+    cells = edit_embedding.band_cells(prints, 8, 4)
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if edit_embedding.likeness(prints[i], prints[j]) >= 0.8 and (prints[i] != prints[j]).any()]
+    met = [(cells[i] == cells[j]).any() for i, j in near]
+    assert len(near) > 100 and np.mean(met) > 0.97
+    # Cells are not crowded by short texts.
+    assert all((cells[:, k] == c).sum() < 12 for k in range(8) for c in set(cells[:, k].tolist()))
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    same = [(i, j) for i in range(len(texts)) for j in range(i) if (prints[i] == prints[j]).all()]
+    for i, j in [p for p, ok in zip(near, met, strict=True) if ok] + same:
+        a, b = find(i), find(j)
+        parent[max(a, b)] = min(a, b)
+    got = {x.doc_id: x.class_id for x in edit_embedding.near_classes(docs_of(list(enumerate(texts)))).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+
+
 # ---- 6 ---------------------------------------------------------------------
 
 
