@@ -32,6 +32,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 END = "<|endoftext|>"
 
 _CACHE = 400_000
+#: Bytes of words, units and ids that one encoder keeps (by estimate: text, two objects and a table entry a word).
+_CACHE_BYTES, _ENTRY_BYTES = 48 << 20, 176
 #: Words of more bytes are merged by a heap; the rank of no pair.
 _LONG, _NEVER = 48, 1 << 40
 
@@ -264,7 +266,7 @@ class Lexicon:
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of the words it has met, up to a bound."""
+    """Encodes texts; keeps the ids of the words it has met, within ``_CACHE_BYTES``."""
 
     def __init__(self, path: str, lexicon: Lexicon | None) -> None:
         self.merges, self.lexicon = merges(path), lexicon
@@ -277,15 +279,22 @@ class Encoder:
         # Numbers of pieces, and of units (a piece of text between spaces, with the space before it); both point into one table of ids.
         self.pieces: dict[str, int] = {}
         self.units: dict[str, int] = {}
-        self.flat, self.offsets = np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.flat, self.offsets = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+        self.rows, self.held = 0, 0
         for special, i in self.merges.special.items():
             self.pieces["\0" + special] = self._add(np.array([i], np.int32), np.ones(1, np.int64))
 
     def _add(self, flat: np.ndarray, sizes: np.ndarray) -> int:
-        """Append lists of ids; returns the number of the first."""
-        base = len(self.offsets) - 1
-        self.flat = np.concatenate([self.flat, flat])
-        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
+        """Append lists of ids, in arrays that double; returns the number of the first."""
+        base, used = self.rows, int(self.offsets[self.rows])
+        self.rows += len(sizes)
+        if used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat[:used], np.zeros(max(len(flat), len(self.flat)), np.int32)])
+        if self.rows >= len(self.offsets):
+            self.offsets = np.concatenate([self.offsets[: base + 1], np.zeros(max(len(sizes), len(self.offsets)), np.int64)])
+        self.flat[used : used + len(flat)] = flat
+        self.offsets[base + 1 : self.rows + 1] = used + np.cumsum(sizes)
+        self.held += 4 * len(flat) + _ENTRY_BYTES * len(sizes)
         return base
 
     def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -294,6 +303,7 @@ class Encoder:
 
     def _learn_pieces(self, new: list[str]) -> None:
         raw = [w.encode() for w in new]
+        self.held += sum(map(len, raw))
         place = self.lexicon.find(raw) if self.lexicon else np.full(len(new), -1)
         known, other = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
         if len(known):
@@ -317,6 +327,7 @@ class Encoder:
         edge = np.concatenate([[0], np.searchsorted(ends, units) + 1])
         base = self._add(ids, np.diff(total[edge]))
         self.units.update((u, base + k) for k, u in enumerate(new))
+        self.held += sum(map(len, new))
 
     def _pieces(self, text: str) -> list[str]:
         if self.specials is None or not any(t in text for t in self.merges.special):
@@ -332,7 +343,7 @@ class Encoder:
         Where no white space touches other white space, a text falls at its spaces into units that the
         splitting pattern never joins, so whole units are looked up. Other texts are split in pieces.
         """
-        if len(self.offsets) > _CACHE * 4:
+        if self.held > _CACHE_BYTES:
             self._reset()
         heads: list[list[str]] = []
         tails: list[list[str]] = []
@@ -474,16 +485,41 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     return flat.mapInArrow(_decode_rows(path), f"carried {flat.schema['carried'].dataType.simpleString()}, decoded string")
 
 
+def _round_trip_rows(path: str, lexicon: str | None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, table = encoder(path, lexicon), merges(path)
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index("text"))
+            carried = batch.column(batch.schema.get_field_index("carried"))
+            for lo, hi, _, _ in text_slices(batch):
+                ids, sizes = coder.encode(texts[lo:hi].to_pylist())
+                ends = np.cumsum(sizes)
+                decoded = [table.decode(ids[b - n : b]).decode("utf-8", "replace") for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                yield pa.record_batch([carried[lo:hi], list_array(ids, sizes, pa.int32()), pa.array(decoded, pa.string())], names=["carried", "ids", "decoded"])
+
+    return run
+
+
+def round_trip(docs: DataFrame, path: str, lexicon: str | None = None) -> DataFrame:
+    """(carried, ids, decoded): ``encode``, and ``decode`` of its ids, in one pass, so that ids are not sent to Python again.
+
+    Nulls, empty tables, repeated rows and columns of any name are as in ``encode``.
+    """
+    small_batches(docs.sparkSession)
+    rest = [c for c in docs.columns if c != "text"]
+    flat = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("carried"), F.col("text").cast("string").alias("text"))
+    return flat.mapInArrow(_round_trip_rows(path, lexicon), f"carried {flat.schema['carried'].dataType.simpleString()}, ids array<int>, decoded string")
+
+
 def op1_bpe(spark, sf_dir: str) -> DataFrame:
     """Round trip of every document through byte_bpe_50k."""
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    coded = encode(docs, path, build_lexicon(spark, docs, path))
     digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
-    marked = coded.select(F.struct("carried.doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256")).alias("carried"), "ids")
-    return decode(marked, path).select("carried.*", F.sha2("decoded", 256).alias("decoded_sha256"))
+    coded = round_trip(docs, path, build_lexicon(spark, docs, path))
+    return coded.select("carried.doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-__all__ = ["Encoder", "Lexicon", "Merges", "build_lexicon", "compile_words", "decode", "encode", "frequent_words", "op1_bpe"]
+__all__ = ["Encoder", "Lexicon", "Merges", "build_lexicon", "compile_words", "decode", "encode", "frequent_words", "op1_bpe", "round_trip"]
