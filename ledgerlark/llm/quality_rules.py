@@ -141,7 +141,7 @@ def consistency(coverage: float) -> float:
     return coverage / gamma_cdf(_D / 2 + 1, chi2_quantile(coverage, _D) / 2)
 
 
-def fit_estimates(rows: DataFrame, least: int = 200, coverage: float = 0.75, steps: int = 30) -> tuple[DataFrame, DataFrame, int]:
+def fit_estimates(rows: DataFrame, least: int = 200, coverage: float = 0.75, steps: int = 12) -> tuple[DataFrame, DataFrame, int]:
     """(names, estimates, groups) over rows with lang_source, lang_only, base_failed and FEATURES.
 
     ``names`` maps lang_source to the group that judges it; groups of fewer than ``least`` rows
@@ -183,7 +183,7 @@ def fit_estimates(rows: DataFrame, least: int = 200, coverage: float = 0.75, ste
         then = now.select("grp", "start", F.col("logdet").alias("was"))
         moved = added.mapInPandas(_from_sums(factor), _ESTIMATE).join(then.hint("merge"), ["grp", "start"])
         # The first step changes from a plain to a consistent covariance, so it never settles a start.
-        moved = materialize(moved.withColumn("falls", (F.col("logdet") < F.col("was") - 1e-6) | F.lit(not settled)), "estimate")
+        moved = materialize(moved.withColumn("falls", (F.col("logdet") < F.col("was") - 1e-3) | F.lit(not settled)), "estimate")
         settled.append(moved.where("NOT falls").drop("was", "falls"))
         now = moved.where("falls").drop("was", "falls")
         if now.isEmpty():
