@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _WIDE = "０１２３４５６７８９"
-_CURRENCY = "¥￥ \t,"
+#: The signs and blanks that an amount may carry. A comma is none of them.
+_CURRENCY = "¥￥ \t\u3000"
 
 
 def _column(c: str | Column) -> Column:
@@ -31,21 +32,21 @@ def _decimal(c: str | Column, drop: str) -> tuple[Column, Column]:
 
 
 def parse_amount_cents(c: str | Column) -> Column:
-    """Cents, halves to even; currency signs, blanks and thousands commas are dropped. Null if empty or not a number."""
+    """Cents, halves to even; currency signs and blanks are dropped. Null if empty, no number, or beyond a long."""
     _, value = _decimal(c, _CURRENCY)
-    return F.bround(value * 100, 0).cast("long")
+    return F.bround(F.try_multiply(value, F.lit(100)), 0).try_cast("long")
 
 
 def amount_status(c: str | Column) -> Column:
     """Ok, empty or bad."""
-    text, value = _decimal(c, _CURRENCY)
-    return F.when(text == "", "empty").when(value.isNull(), "bad").otherwise("ok")
+    text, _ = _decimal(c, _CURRENCY)
+    return F.when(text == "", "empty").when(parse_amount_cents(c).isNull(), "bad").otherwise("ok")
 
 
 def parse_qty(c: str | Column) -> Column:
-    """Whole numbers only: 3.0 is 3, 1.5 is null."""
+    """Whole numbers only: 3.0 is 3, 1.5 and what a long cannot hold are null."""
     _, value = _decimal(c, " \t")
-    return F.when(value == F.floor(value), value.cast("long"))
+    return F.when(value == F.floor(value), value.try_cast("long"))
 
 
 def yuan(cents: str | Column) -> Column:
@@ -65,7 +66,7 @@ def refund_flag(cents: str | Column) -> Column:
 
 def backfill_cents(qty: Column, unit_price: Column) -> Column:
     """Quantity times list price in cents (each price's halves to even), for positive quantities with a price."""
-    return F.when((qty > 0) & unit_price.isNotNull(), F.bround(unit_price * 100, 0).cast("long") * qty)
+    return F.when((qty > 0) & unit_price.isNotNull(), F.try_multiply(F.bround(F.try_multiply(unit_price, F.lit(100)), 0).try_cast("long"), qty))
 
 
 def net_cents(caliber: str) -> Column:

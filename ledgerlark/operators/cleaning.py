@@ -1,7 +1,8 @@
 """Cleaning of sales facts under ordered rules.
 
 Rules 1 to 5 are one projection over two left joins; only rows that pass them enter the
-shuffle of rule 6, so rejected rows, which share few keys, cannot skew it.
+shuffle of rule 6, so rejected rows, which share few keys, cannot skew it. ``clean`` reads
+``flagged`` lines twice: give it a written table and fields are parsed once.
 """
 
 from __future__ import annotations
@@ -10,10 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import amount_status, backfill_cents, norm_id, parse_amount_cents, parse_date, parse_qty, refund_flag
+from ..sources.scratch import few
 
 #: The reject codes, in the order of the rules.
 RULES = ["1_unparseable_date", "2_empty_amount", "3_qty_le_zero", "4_store_not_in_stores", "5_product_not_in_products", "6_duplicate_row", "7_zero_amount"]
 V2_REFUND = "v2_refund_excluded"
+#: Dimensions of up to so many rows (some 100 bytes each) are broadcast; larger ones are joined by a shuffle.
+BROADCAST_ROWS = 200_000
 DUP_KEY = ["order_id", "date", "store_id", "product_id", "qty", "amount_cents", "payment"]
 
 
@@ -39,6 +43,7 @@ def flag_foreign_keys(lines: DataFrame, stores: DataFrame, products: DataFrame)
     """Whether the store and the product exist, and the list price."""
     s = stores.select("store_id").distinct().withColumn("known_store", F.lit(True))
     p = products.groupBy("product_id").agg(F.max("unit_price").alias("unit_price")).withColumn("known_product", F.lit(True))
+    s, p = (F.broadcast(x) if few(x, BROADCAST_ROWS) else x.hint("merge") for x in (s, p))
     return lines.join(s, "store_id", "left").join(p, "product_id", "left").withColumn("known_store", F.coalesce("known_store", F.lit(False))).withColumn("known_product", F.coalesce("known_product", F.lit(False)))
 
 
@@ -57,9 +62,18 @@ def number_copies(passed: DataFrame) -> DataFrame:
     return passed.withColumn("copy", F.row_number().over(order)).withColumn("dup_group", F.xxhash64(*DUP_KEY))
 
 
+def flag(raw: DataFrame, stores: DataFrame, products: DataFrame) -> DataFrame:
+    """Parsed rows with ``reject``, the first of rules 1 to 5 that each breaks: one scan, no shuffle where the dimensions are small."""
+    return flag_foreign_keys(parse_lines(raw), stores, products).withColumn("reject", first_reject())
+
+
 def clean(raw: DataFrame, stores: DataFrame, products: DataFrame) -> DataFrame:
     """All rows, kept and rejected (U01), with reject_v3, reject_v2, backfilled_cents and dup_group."""
-    flagged = flag_foreign_keys(parse_lines(raw), stores, products).withColumn("reject", first_reject())
+    return clean_flagged(flag(raw, stores, products))
+
+
+def clean_flagged(flagged: DataFrame) -> DataFrame:
+    """``clean`` from the rows of ``flag``."""
     passed = number_copies(flagged.where("reject is null"))
     # rule 6 takes later copies, rule 7 a first copy of amount zero.
     passed = passed.withColumn("reject", F.when(F.col("copy") > 1, RULES[5]).when(F.col("amount_cents") == 0, RULES[6]))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import half_up_cents, net_cents, yuan
+from ..sources.scratch import written
 from .cleaning import kept, within
 
 METRICS = ["net_revenue", "refund_amount", "orders", "aov", "qty"]
@@ -42,7 +43,7 @@ def daily(lines: DataFrame, start: str, end: str, store_id: str | None = None, p
     spine = lines.sparkSession.range(1).select(F.explode(F.sequence(F.lit(start).cast("date"), F.lit(end).cast("date"))).alias("day"))
     got = cents(within(lines, start, end, store_id, product_id), ["date"], caliber)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    joined = spine.join(got, spine.day == got.date, "left").select(F.col("day").alias("date"), zero("net_cents"), zero("refund_cents"), zero("orders"), zero("qty"))
+    joined = spine.join(got.hint("merge"), F.col("day") == F.col("date"), "left").select(F.col("day").alias("date"), zero("net_cents"), zero("refund_cents"), zero("orders"), zero("qty"))
     return _shaped(joined, ["date"]).select("date", "net_revenue", "orders", "aov")
 
 
@@ -65,7 +66,8 @@ def product_totals(lines: DataFrame, start: str, end: str, store_id: str | None
 def top_products(lines: DataFrame, products: DataFrame, start: str, end: str, limit: int = 10, store_id: str | None = None, caliber: str = "v3") -> DataFrame:
     """Products by net, ties by id, with their names; at least one row is asked for."""
     best = product_totals(lines, start, end, store_id, caliber).orderBy(F.desc("net_cents"), "product_id").limit(max(1, limit))
-    return best.join(products.select("product_id", "product_name", "product_category"), "product_id", "left").select("product_id", "product_name", "product_category", "net_revenue", "orders", "qty")
+    # ``limit`` rows: broadcast to the products, each of which is read once.
+    return products.select("product_id", "product_name", "product_category").join(F.broadcast(best), "product_id", "right").select("product_id", "product_name", "product_category", "net_revenue", "orders", "qty")
 
 
 def by_store(lines: DataFrame, stores: DataFrame, start: str, end: str, product_id: str | None = None, caliber: str = "v3") -> DataFrame:
@@ -73,23 +75,28 @@ def by_store(lines: DataFrame, stores: DataFrame, start: str, end: str, product_
     got = cents(within(lines, start, end, None, product_id), ["store_id"], caliber)
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     names = ["store_id", "store_name", "category", "district"]
-    return _shaped(stores.join(got, "store_id", "left").select(*names, zero("net_cents"), zero("refund_cents"), zero("orders"), zero("qty")), names)
+    return _shaped(stores.join(got.hint("merge"), "store_id", "left").select(*names, zero("net_cents"), zero("refund_cents"), zero("orders"), zero("qty")), names)
 
 
 def by_store_category(lines: DataFrame, stores: DataFrame, start: str, end: str, caliber: str = "v3") -> DataFrame:
     """Sums of store values by category; orders add across stores, the aov is recomputed."""
     got = cents(within(lines, start, end), ["store_id"], caliber)
-    joined = stores.select("store_id", "category").join(got, "store_id", "left")
+    joined = stores.select("store_id", "category").join(got.hint("merge"), "store_id", "left")
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)
     sums = joined.groupBy("category").agg(total("net_cents"), total("refund_cents"), total("orders"), total("qty"), F.array_join(F.sort_array(F.collect_list("store_id")), ",").alias("stores"))
     return _shaped(sums, ["category", "stores"])
 
 
 def ranked(frame: DataFrame, key: str, name: str = "rank") -> DataFrame:
-    """Rows by net, ties by key. The frame holds one row for a store or category."""
-    first = frame.groupBy(F.lit(1).alias("g")).agg(F.sort_array(F.collect_list(F.struct((-F.col("net_revenue")).alias("o"), F.col(key).alias("k")))).alias("s"))
-    order = first.select(F.posexplode("s").alias("p", "e")).select((F.col("p") + 1).alias(name), F.col("e.k").alias(key))
-    return frame.join(order, key)
+    """Rows by net, ties by key. Ranges of the order are numbered by themselves and start where those before them end."""
+    order = [F.desc("net_revenue"), F.asc(key)]
+    placed = frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id())
+    placed = written(placed, "ranked")
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", "_first", before.alias("_before"))
+    # One row a range, so bounded by the number of shuffle partitions.
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, (F.col("_at") - F.col("_first") + F.col("_before") + 1).cast("int")).drop("_part", "_at", "_first", "_before")
 
 
 def first_sales(lines: DataFrame, by: list[str]) -> DataFrame:
@@ -122,7 +129,7 @@ def mode_price(lines: DataFrame, start: str, end: str) -> DataFrame:
 def latest_price(lines: DataFrame, products: DataFrame, start: str, end: str) -> DataFrame:
     """The price of the last sale (by day, amount, order) against the list price, stale beyond half a cent."""
     last = _priced(lines, start, end).groupBy("product_id").agg(F.max_by(F.struct("date", "price"), F.struct("date", "amount_cents", "order_id", "price")).alias("l"), F.count(F.lit(1)).alias("rows"))
-    both = last.join(products.select("product_id", "unit_price"), "product_id", "left")
+    both = last.join(products.select("product_id", "unit_price").hint("merge"), "product_id", "left")
     listed = F.col("unit_price").cast("double")
     return both.select("product_id", "rows", F.col("l.date").alias("latest_date"), yuan("l.price").alias("latest_price"), listed.alias("table_price"), (F.abs(listed - yuan("l.price")) > 0.005).alias("stale"))
 
@@ -130,7 +137,7 @@ def latest_price(lines: DataFrame, products: DataFrame, start: str, end: str) ->
 def compare_periods(lines: DataFrame, a: tuple[str, str], b: tuple[str, str], by: list[str], caliber: str = "v3") -> DataFrame:
     """Rounded metrics of two windows, their difference, its percentage and direction, one row a metric."""
     left, right = (summary(lines, *w, caliber=caliber, by=by) for w in (a, b))
-    joined = left.select(*by, *(F.col(m).cast("double").alias(f"{m}_a") for m in METRICS)).join(right.select(*by, *(F.col(m).cast("double").alias(f"{m}_b") for m in METRICS)), by, "inner")
+    joined = left.select(*by, *(F.col(m).cast("double").alias(f"{m}_a") for m in METRICS)).join(right.select(*by, *(F.col(m).cast("double").alias(f"{m}_b") for m in METRICS)).hint("merge"), by, "inner")
     pairs = F.array(*(F.struct(F.lit(m).alias("metric"), F.col(f"{m}_a").alias("before"), F.col(f"{m}_b").alias("after")) for m in METRICS))
     long = joined.select(*by, F.explode(pairs).alias("m")).select(*by, "m.*")
     # Cents first: the difference of two rounded amounts is exact there.
@@ -171,7 +178,7 @@ def unchanged(before: DataFrame, after: DataFrame, by: list[str]) -> DataFrame:
     same = F.lit(True)
     for m in METRICS:
         same = same & F.col(m).eqNullSafe(F.col(f"{m}_2"))
-    return before.join(b, by, "full_outer").select(*by, same.alias("unchanged"))
+    return before.join(b.hint("merge"), by, "full_outer").select(*by, same.alias("unchanged"))
 
 
 def gated(windows: DataFrame, period: DataFrame) -> DataFrame:

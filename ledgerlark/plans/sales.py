@@ -9,6 +9,7 @@ from ..functions import normalize as N
 from ..operators import cleaning as C
 from ..operators import metrics as M
 from ..sources import sales as S
+from ..sources.scratch import built_once
 from .registry import query
 
 START, END = "1995-01-01", "1996-12-31"
@@ -50,8 +51,14 @@ AOV_SQL = "CASE WHEN orders > 0 THEN sign(net_cents) * ((2 * abs(net_cents) + or
 SHAPE_SQL = f"net_cents / 100.0 AS net_revenue, refund_cents / 100.0 AS refund_amount, orders, {AOV_SQL} AS aov, qty"
 
 
+def flagged_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed and flagged lines, written at their first use: every field is parsed once a session."""
+    return built_once(spark, ("flagged", sf_dir, S.files(spark, sf_dir)), lambda: C.flag(S.raw_sales(spark, sf_dir), S.stores(spark, sf_dir), S.products(spark, sf_dir)))
+
+
 def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.clean(S.raw_sales(spark, sf_dir), S.stores(spark, sf_dir), S.products(spark, sf_dir))
+    """The clean table (S10), written at its first use; the metrics read it."""
+    return built_once(spark, ("lines", sf_dir, S.files(spark, sf_dir)), lambda: C.clean_flagged(flagged_of(spark, sf_dir)))
 
 
 @query("S01_raw_sales", f"SELECT * FROM ({S.RAW_SALES_SQL})")
@@ -70,7 +77,7 @@ def s02(spark, d):
     BASE_SQL + "SELECT order_id, CAST(date AS VARCHAR) AS date, store_id, product_id, CAST(qty AS DOUBLE) AS qty, CAST(amount_cents AS DOUBLE) AS amount_cents, payment, is_refund, amount_status, amount_cents / 100.0 AS yuan, CAST(CASE WHEN qty > 0 AND unit_price IS NOT NULL THEN CAST(unit_price * 100 AS BIGINT) * qty END AS DOUBLE) AS list_cents FROM flagged",
 )
 def p01(spark, d):
-    lines = C.flag_foreign_keys(C.parse_lines(S.raw_sales(spark, d)), S.stores(spark, d), S.products(spark, d))
+    lines = flagged_of(spark, d)
     return lines.select("order_id", F.col("date").cast("string").alias("date"), "store_id", "product_id", F.col("qty").cast("double").alias("qty"), F.col("amount_cents").cast("double").alias("amount_cents"), "payment", "is_refund", "amount_status", N.yuan("amount_cents").alias("yuan"), N.backfill_cents(F.col("qty"), F.col("unit_price")).cast("double").alias("list_cents"))
 
 
@@ -81,8 +88,7 @@ def p11(spark, d):
 
 @query("F01_reject_rules", BASE_SQL + "SELECT r AS rule, count(*) AS n FROM flagged GROUP BY r")
 def f01(spark, d):
-    flagged = C.flag_foreign_keys(C.parse_lines(S.raw_sales(spark, d)), S.stores(spark, d), S.products(spark, d))
-    return flagged.groupBy(C.first_reject().alias("rule")).agg(F.count(F.lit(1)).alias("n"))
+    return flagged_of(spark, d).groupBy(F.col("reject").alias("rule")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("F02_F04_filtered_lines", BASE_SQL + f"SELECT order_id, CAST(date AS VARCHAR) AS date, CAST(amount_cents AS DOUBLE) AS amount_cents FROM lines WHERE reject_v2 IS NULL AND {WINDOW_SQL} AND store_id = 'S7'")
@@ -105,9 +111,9 @@ def f05(spark, d):
 
 @query("J01_J02_unknown_keys", BASE_SQL + "SELECT 'store' AS kind, store_id AS id, count(*) AS n FROM parsed WHERE store_id NOT IN (SELECT store_id FROM stores) GROUP BY store_id UNION ALL SELECT 'product', product_id, count(*) FROM parsed WHERE product_id NOT IN (SELECT product_id FROM products) GROUP BY product_id")
 def j01(spark, d):
-    lines = C.parse_lines(S.raw_sales(spark, d))
-    s = lines.join(S.stores(spark, d), "store_id", "left_anti").groupBy(F.col("store_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    p = lines.join(S.products(spark, d), "product_id", "left_anti").groupBy(F.col("product_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    lines = flagged_of(spark, d)
+    s = lines.join(S.stores(spark, d).hint("merge"), "store_id", "left_anti").groupBy(F.col("store_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    p = lines.join(S.products(spark, d).hint("merge"), "product_id", "left_anti").groupBy(F.col("product_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     return s.select(F.lit("store").alias("kind"), "id", "n").unionByName(p.select(F.lit("product").alias("kind"), "id", "n"))
 
 

@@ -41,6 +41,11 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def files(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
+    """The files behind the facts and dimensions."""
+    return tuple(sorted(f for t in ("lineitem", "orders", "supplier", "nation", "region", "part") for f in _table(spark, sf_dir, t).inputFiles()))
+
+
 def read_facts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Facts from files, every column as text; types are never inferred."""
     if fmt == "parquet":

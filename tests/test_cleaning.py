@@ -22,6 +22,13 @@ CASES = [
     ({"date": "2026-02-31"}, "1_unparseable_date", 3000),
     ({"amount": ""}, "2_empty_amount", None),
     ({"amount": "1_000"}, "2_empty_amount", None),
+    ({"amount": "1,234.00"}, "2_empty_amount", None),
+    ({"amount": "1,2,3"}, "2_empty_amount", None),
+    ({"amount": "\u300038.00 "}, None, 3800),
+    ({"amount": "9" * 20}, "2_empty_amount", None),
+    ({"amount": "9" * 29}, "2_empty_amount", None),
+    ({"qty": "12345678901234567890"}, "3_qty_le_zero", 3000),
+    ({"qty": "9" * 18, "amount": ""}, "2_empty_amount", None),
     ({"qty": "0"}, "3_qty_le_zero", 3000),
     ({"qty": "1.5"}, "3_qty_le_zero", 3000),
     ({"qty": "3.0"}, None, 3000),
@@ -63,7 +70,7 @@ def test_day_first_and_copies(spark, dims):
 def test_report_conserves(spark, dims):
     report = C.report(C.clean(facts(spark, [c for c, _, _ in CASES]), *dims)).first()
     assert report.conserved and report.raw_rows == len(CASES)
-    assert report.v2_backfilled_rows == 2 and report.unparseable_amounts == 1
+    assert report.v2_backfilled_rows == 6 and report.unparseable_amounts == 5
 
 
 def test_empty_window_and_zero_days(spark, dims):
