@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import few
 from .corpus import ESTIMATE_TYPES, NOTICE_TYPES, REFERENCE_TYPES, SUPERSEDED_STATUS
 
 K1, B = 1.5, 0.75
+#: Term tables of questions up to so many rows (some 50 bytes each) are broadcast to the postings.
+BROADCAST_TERMS = 500_000
+#: Scopes judged at once; more are judged in several passes.
+SCOPES = 1_000
 #: The weights of the ranking.
 WEIGHTS = {"single_char": 0.3, "year": 0.25, "future": 0.6, "store": 1.15, "window": 1.8, "prior": 0.35, "alias_doc": 0.5, "estimate": 0.7, "notice": 1.2, "reference": 0.7, "superseded": 1.6, "current": 0.8}
 STOP = ["the", "a", "an", "of", "and", "or", "to", "in", "is", "it", "for", "on", "的", "了", "在", "是", "和", "吗", "呢"]
@@ -28,28 +36,47 @@ def content_tokens(text: str | Column) -> Column:
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """chunk_id, doc_id, term, tf, from chunk_id, doc_id, text; partial counts before the shuffle."""
-    return chunks.select("chunk_id", "doc_id", F.explode(tokens("text")).alias("term")).groupBy("chunk_id", "doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
-
+    """chunk_id, doc_id, term, tf, len (tokens of the chunk, one at least), from chunk_id, doc_id, text.
 
-def lengths(chunks: DataFrame) -> DataFrame:
-    """Tokens of each chunk, one at least."""
-    return chunks.select("chunk_id", F.greatest(F.size(tokens("text")), F.lit(1)).cast("long").alias("len"))
+    Texts are tokenised once; counts are partial before the shuffle.
+    """
+    said = chunks.select("chunk_id", "doc_id", tokens("text").alias("said"))
+    each = said.select("chunk_id", "doc_id", F.greatest(F.size("said"), F.lit(1)).cast("long").alias("len"), F.explode("said").alias("term"))
+    return each.groupBy("chunk_id", "doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")).select("chunk_id", "doc_id", "term", "tf", "len")
 
 
 def statistics(chunks: DataFrame) -> DataFrame:
-    """One row: number of chunks and documents, average length."""
-    return lengths(chunks).agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("len").alias("avg_len"))
+    """One row: number of chunks and average length."""
+    return chunks.select(F.greatest(F.size(tokens("text")), F.lit(1)).cast("long").alias("len")).agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("len").alias("avg_len"))
+
+
+@dataclass
+class Index:
+    """An index of chunks: postings, the document frequency of terms, and one row of statistics."""
+
+    postings: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+    @staticmethod
+    def build(chunks: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, label: df) -> Index:
+        """``keep`` writes each table, so that searches tokenise no chunk again; postings are sorted by term, for files to be skipped."""
+        made = keep(postings(chunks).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"), "postings")
+        return Index(made, keep(made.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms"), keep(statistics(chunks), "statistics"))
+
+
+def _index(source: Index | DataFrame) -> Index:
+    return source if isinstance(source, Index) else Index.build(source)
 
 
 def idf(n: Column, df: Column) -> Column:
     return F.log(1 + (n - df + 0.5) / (df + 0.5))
 
 
-def document_frequency(index: DataFrame, stats: DataFrame) -> DataFrame:
+def document_frequency(source: Index | DataFrame) -> DataFrame:
     """Df and idf of each term."""
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    return df.crossJoin(F.broadcast(stats.select("n_chunks"))).select("term", "df", idf(F.col("n_chunks"), F.col("df")).alias("idf"))
+    index = _index(source)
+    return index.terms.crossJoin(F.broadcast(index.stats.select("n_chunks"))).select("term", "df", idf(F.col("n_chunks"), F.col("df")).alias("idf"))
 
 
 def query_weights(queries: DataFrame) -> DataFrame:
@@ -59,23 +86,23 @@ def query_weights(queries: DataFrame) -> DataFrame:
     return each.groupBy("query_id", "term").agg(F.sum(weight).alias("weight"))
 
 
-def bm25_parts(weights: DataFrame, chunks: DataFrame) -> DataFrame:
+def bm25_parts(weights: DataFrame, source: Index | DataFrame) -> DataFrame:
     """query_id, chunk_id, doc_id, term, part for the postings of query terms only.
 
-    Terms of the queries are looked up first, so postings of other terms never meet a length.
+    Terms of the queries are given their idf first; the small table meets the postings by broadcast
+    where it has at most BROADCAST_TERMS rows, else by a join on the term.
     """
-    index, stats = postings(chunks), statistics(chunks)
-    wanted = weights.select("term").distinct()
-    terms = document_frequency(index.join(wanted.hint("merge"), "term", "left_semi"), stats)
-    hits = index.join(terms.hint("merge"), "term").join(lengths(chunks).hint("merge"), "chunk_id").crossJoin(F.broadcast(stats.select("avg_len")))
+    index = _index(source)
+    known = weights.join(document_frequency(index).hint("merge"), "term").select("query_id", "term", "idf", "weight")
+    small = F.broadcast(known) if few(weights, BROADCAST_TERMS) else known.hint("merge")
+    hits = index.postings.join(small, "term").crossJoin(F.broadcast(index.stats.select("avg_len")))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    scored = hits.select("term", "chunk_id", "doc_id", part.alias("part"))
-    return weights.join(scored.hint("merge"), "term").select("query_id", "chunk_id", "doc_id", "term", (F.col("part") * F.col("weight")).alias("part"))
+    return hits.select("query_id", "chunk_id", "doc_id", "term", (part * F.col("weight")).alias("part"))
 
 
-def bm25(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+def bm25(queries: DataFrame, source: Index | DataFrame) -> DataFrame:
     """Score of each chunk for each query, rounded to four places, so that ranks do not hang on the order of sums."""
-    parts = bm25_parts(query_weights(queries), chunks)
+    parts = bm25_parts(query_weights(queries), source)
     return parts.groupBy("query_id", "doc_id", "chunk_id").agg(F.round(F.sum("part"), 4).alias("score"))
 
 
@@ -98,7 +125,8 @@ def valid_at(meta: DataFrame, day: str) -> DataFrame:
 def eligibility(scopes: DataFrame, meta: DataFrame) -> DataFrame:
     """scope_id, doc_id, reason (null: eligible) for scopes (scope_id, as_of, store_id, historical).
 
-    Scopes are the distinct settings of a question table; store ids are upper-cased first.
+    Scopes are the distinct settings of a question table; store ids are upper-cased first. The
+    result has a row for each scope and document; scopes are broadcast SCOPES at a time.
     """
     m = supersede(meta)
     store = F.upper(F.trim("store_id"))
@@ -106,7 +134,13 @@ def eligibility(scopes: DataFrame, meta: DataFrame) -> DataFrame:
     old = (F.col("status") == SUPERSEDED_STATUS) & F.col("effective_to").isNotNull() & (F.col("as_of") >= F.col("effective_to"))
     early = F.col("effective_from").isNotNull() & (F.col("effective_from") > F.col("as_of")) & F.col("in_chain")
     reason = F.when(wrong_store, "store").when(F.col("historical"), None).when(old, "superseded").when(early, "not_yet")
-    return m.crossJoin(F.broadcast(scopes)).select("scope_id", "doc_id", reason.alias("reason"))
+    passes = -(-max(scopes.count(), 1) // SCOPES)
+    parts = [scopes] if passes == 1 else [scopes.where(F.pmod(F.xxhash64("scope_id"), F.lit(2 * passes)) == k) for k in range(2 * passes)]
+    judged = [m.crossJoin(F.broadcast(part)).select("scope_id", "doc_id", reason.alias("reason")) for part in parts]
+    every = judged[0]
+    for part in judged[1:]:
+        every = every.unionByName(part)
+    return every
 
 
 def filtered_documents(eligible: DataFrame) -> DataFrame:
@@ -159,39 +193,45 @@ def relative_score(scores: DataFrame) -> DataFrame:
     return scores.withColumn("relative", F.round(F.sqrt(F.col("score") / F.max("score").over(Window.partitionBy("query_id"))), 4))
 
 
-def pad(scores: DataFrame, allowed: DataFrame, k: int) -> DataFrame:
-    """Exactly k chunks a query where so many are allowed (query_id, doc_id, chunk_id): the best of each document, then other hits, then unscored ones.
+def pad(scores: DataFrame, queries: DataFrame, allowed: DataFrame, k: int) -> DataFrame:
+    """Exactly k chunks a query where its scope allows so many: the best of each document, then other hits, then unscored ones by chunk.
 
-    Only k candidates of the last kind are taken for a query, by chunk.
+    ``queries`` has query_id, scope_id, ``allowed`` scope_id, doc_id, chunk_id. A query with fewer
+    than k hits misses fewer than k of the first 2k chunks of its scope, so no others are asked for.
     """
-    first = best_chunks(scores).withColumn("tier", F.lit(0))
-    other = scores.join(first.select("query_id", "chunk_id").hint("merge"), ["query_id", "chunk_id"], "left_anti").withColumn("tier", F.lit(1))
-    keyed = allowed.join(scores.select("query_id", "chunk_id").hint("merge"), ["query_id", "chunk_id"], "left_anti")
-    zero = keyed.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id"))).where(F.col("_r") <= k).select("query_id", "doc_id", "chunk_id", F.lit(0.0).alias("score"), F.lit(2).alias("tier"))
-    every = first.select("query_id", "doc_id", "chunk_id", "score", "tier").unionByName(other.select("query_id", "doc_id", "chunk_id", "score", "tier")).unionByName(zero)
+    hits = scores.join(queries.select("query_id", "scope_id").hint("merge"), "query_id").join(allowed.select("scope_id", "chunk_id").hint("merge"), ["scope_id", "chunk_id"], "left_semi")
+    hits = hits.select("query_id", "doc_id", "chunk_id", "score")
+    first = F.row_number().over(Window.partitionBy("query_id", "doc_id").orderBy(F.desc("score"), "chunk_id")) == 1
+    scored = hits.withColumn("tier", F.when(first, 0).otherwise(1))
+    # Partial top of each salt, then of each scope: a scope may hold most chunks.
+    salted = allowed.select("scope_id", "doc_id", "chunk_id", F.pmod(F.xxhash64("chunk_id"), F.lit(256)).alias("_salt"))
+    part = salted.withColumn("_r", F.row_number().over(Window.partitionBy("scope_id", "_salt").orderBy("chunk_id"))).where(F.col("_r") <= 2 * k)
+    least = part.withColumn("_r", F.row_number().over(Window.partitionBy("scope_id").orderBy("chunk_id"))).where(F.col("_r") <= 2 * k).select("scope_id", "doc_id", "chunk_id")
+    others = queries.select("query_id", "scope_id").join(least.hint("merge"), "scope_id").join(hits.select("query_id", "chunk_id").hint("merge"), ["query_id", "chunk_id"], "left_anti")
+    every = scored.unionByName(others.select("query_id", "doc_id", "chunk_id", F.lit(0.0).alias("score"), F.lit(2).alias("tier")))
     taken = every.withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy("tier", F.desc("score"), "chunk_id"))).where(F.col("_r") <= k)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "tier", "chunk_id"))
     return taken.select("query_id", "doc_id", "chunk_id", "score", (F.col("tier") > 0).alias("padded"), rank.alias("rank"))
 
 
-def coverage(queries: DataFrame, chunks: DataFrame, ranked: DataFrame) -> DataFrame:
+def coverage(queries: DataFrame, source: Index | DataFrame, ranked: DataFrame) -> DataFrame:
     """The idf-weighted share of a query's content terms in its best covering chunk; unknown terms weigh as the rarest."""
-    index, stats = postings(chunks), statistics(chunks)
+    index = _index(source)
     terms = queries.select("query_id", F.explode(F.array_distinct(content_tokens("text"))).alias("term"))
-    known = document_frequency(index, stats).select("term", "idf")
-    rarest = stats.select(F.log(1 + (F.col("n_chunks") + 0.5) / 0.5).alias("max_idf"))
+    known = document_frequency(index).select("term", "idf")
+    rarest = index.stats.select(F.log(1 + (F.col("n_chunks") + 0.5) / 0.5).alias("max_idf"))
     weighed = terms.join(known.hint("merge"), "term", "left").crossJoin(F.broadcast(rarest)).select("query_id", "term", F.coalesce("idf", "max_idf").alias("w"))
     total = weighed.groupBy("query_id").agg(F.sum("w").alias("total"))
-    hits = ranked.select("query_id", "chunk_id").join(weighed.hint("merge"), "query_id").join(index.select("chunk_id", "term").hint("merge"), ["chunk_id", "term"], "left_semi")
+    hits = ranked.select("query_id", "chunk_id").join(weighed.hint("merge"), "query_id").join(index.postings.select("chunk_id", "term").hint("merge"), ["chunk_id", "term"], "left_semi")
     by_chunk = hits.groupBy("query_id", "chunk_id").agg(F.sum("w").alias("hit"))
     best = by_chunk.groupBy("query_id").agg(F.max("hit").alias("hit"))
     return total.join(best.hint("merge"), "query_id", "left").select("query_id", F.round(F.coalesce("hit", F.lit(0.0)) / F.col("total"), 4).alias("coverage"))
 
 
-def vocabulary_coverage(queries: DataFrame, index: DataFrame) -> DataFrame:
+def vocabulary_coverage(queries: DataFrame, source: Index | DataFrame) -> DataFrame:
     """The share of a query's terms of two or more characters that the corpus knows."""
     terms = queries.select("query_id", F.explode(F.array_distinct(content_tokens("text"))).alias("term")).where("length(term) >= 2")
-    known = index.select("term").distinct().withColumn("known", F.lit(1.0))
+    known = _index(source).terms.select("term").withColumn("known", F.lit(1.0))
     return terms.join(known.hint("merge"), "term", "left").groupBy("query_id").agg(F.round(F.avg(F.coalesce("known", F.lit(0.0))), 4).alias("vocabulary"))
 
 
@@ -225,12 +265,20 @@ def mentions(texts: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def partial_mentions(texts: DataFrame, aliases: DataFrame, least: float = 0.6) -> DataFrame:
-    """text_id, canonical where a text holds at least ``least`` of an alias's tokens."""
-    own = aliases.select("canonical", "alias", F.array_distinct(tokens("alias")).alias("tokens")).withColumn("n", F.size("tokens")).where("n > 0")
-    each = own.select("canonical", "alias", "n", F.explode("tokens").alias("token"))
+    """text_id, canonical where a text holds at least ``least`` of an alias's tokens, or a prefix of it of three or more characters, short of the whole.
+
+    A text that holds such a prefix holds its first three characters: texts and aliases meet on those.
+    """
+    own = aliases.select("canonical", "alias", F.array_distinct(tokens("alias")).alias("tokens")).withColumn("n", F.size("tokens"))
+    each = own.where("n > 0").select("canonical", "alias", "n", F.explode("tokens").alias("token"))
     said = texts.select("text_id", F.explode(F.array_distinct(tokens("text"))).alias("token"))
     share = said.join(each.hint("merge"), "token").groupBy("text_id", "canonical", "alias", "n").agg(F.count(F.lit(1)).alias("k"))
-    return share.where(F.col("k") / F.col("n") >= least).select("text_id", "canonical").distinct()
+    by_share = share.where(F.col("k") / F.col("n") >= least).select("text_id", "canonical")
+    low = F.lower("text")
+    grams = F.when(F.length(low) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))))
+    heads = aliases.where("length(alias) > 3").select("canonical", F.substring(F.lower("alias"), 1, 3).alias("gram")).distinct()
+    by_prefix = texts.select("text_id", F.explode(grams).alias("gram")).join(heads.hint("merge"), "gram").select("text_id", "canonical")
+    return by_share.unionByName(by_prefix).distinct()
 
 
 def expand_query(queries: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -248,13 +296,13 @@ def expanded_tokens(chunks: DataFrame, aliases: DataFrame) -> DataFrame:
     return joined.select("chunk_id", F.concat(tokens("text"), F.coalesce("more", F.array().cast("array<string>"))).alias("tokens"))
 
 
-def concept_scores(queries: DataFrame, chunks: DataFrame, aliases: DataFrame) -> DataFrame:
+def concept_scores(queries: DataFrame, source: Index | DataFrame, aliases: DataFrame) -> DataFrame:
     """For each concept a query names, the best variant's score of a chunk; concepts add, variants do not."""
     named = mentions(queries.select(F.col("query_id").alias("text_id"), "text"), aliases).select(F.col("text_id").alias("query_id"), "canonical")
     variants = named.join(aliases.hint("merge"), "canonical").select("query_id", "canonical", "alias")
     distinct = variants.select("alias").distinct().select(F.xxhash64("alias").alias("query_id"), "alias")
     weights = distinct.select("query_id", F.explode(F.array_distinct(tokens("alias"))).alias("term")).withColumn("weight", F.lit(1.0))
-    scored = bm25_parts(weights, chunks).groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 4).alias("score")).withColumnRenamed("query_id", "variant")
+    scored = bm25_parts(weights, source).groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), 4).alias("score")).withColumnRenamed("query_id", "variant")
     joined = variants.withColumn("variant", F.xxhash64("alias")).join(scored.hint("merge"), "variant")
     best = joined.groupBy("query_id", "canonical", "chunk_id").agg(F.max("score").alias("score"))
     return best.groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 4).alias("concept_score"))

@@ -16,7 +16,7 @@ from ..operators import search as R
 from ..operators import tagging as Q
 from ..sources import sales as S
 from ..streaming import jobs as X
-from .corpus import _SENT, _STOP, INDEX_SQL, TOKENS, documents, line_chunks, questions
+from .corpus import _SENT, _STOP, INDEX_SQL, TOKENS, documents, index_of, line_chunks, questions
 from .registry import query
 from .sales import BASE_SQL, lines_of
 
@@ -152,7 +152,7 @@ _PAIRS_SQL = f"SELECT t.query_id, t.doc_id, q.text AS question, c.text AS senten
 
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     """Questions with the sentences (here lines) of their five best documents."""
-    top = R.top_k(R.best_chunks(R.with_prior(R.bm25(questions(spark, d), line_chunks(spark, d)))), 5).select("query_id", "chunk_id")
+    top = R.top_k(R.best_chunks(R.with_prior(R.bm25(questions(spark, d), index_of(spark, d)))), 5).select("query_id", "chunk_id")
     chunks = line_chunks(spark, d).withColumnRenamed("text", "sentence")
     joined = top.join(chunks.hint("merge"), "chunk_id").join(questions(spark, d).withColumnRenamed("text", "question").hint("merge"), "query_id")
     return joined.withColumn("line", F.substring_index("chunk_id", "#", -1).cast("int")).withColumn("pos", F.lit(0))
@@ -172,8 +172,7 @@ def t33(spark, d):
     "SELECT h.query_id, doc_id, round(hit / total * CASE WHEN length(sentence) > 120 THEN sqrt(120.0 / length(sentence)) ELSE 1.0 END * CASE WHEN regexp_matches(sentence, '[?？]\\s*$') THEN 0.6 ELSE 1.0 END, 4) AS score FROM h JOIN (SELECT query_id, sum(idf) AS total FROM w GROUP BY query_id) t ON h.query_id = t.query_id",
 )
 def t32(spark, d):
-    chunks = line_chunks(spark, d)
-    terms = R.document_frequency(R.postings(chunks), R.statistics(chunks)).select("term", "idf")
+    terms = R.document_frequency(index_of(spark, d)).select("term", "idf")
     weights = R.query_weights(questions(spark, d)).select("query_id", "term").join(terms.hint("merge"), "term")
     return E.top_sentences(E.sentence_scores(_pairs(spark, d), weights)).select("query_id", "doc_id", "score")
 
@@ -239,7 +238,7 @@ def j20u(spark, d):
 
 @query("E05_second_source", INDEX_SQL + f", r AS (SELECT t.query_id, t.doc_id, t.score, {_WORDS.format(c='c.text')} AS terms FROM top t JOIN chunks c ON t.chunk_id = c.chunk_id), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS i FROM r) SELECT a.query_id, a.doc_id, a.score, CAST(a.i AS INTEGER) AS place FROM n a JOIN n b ON a.query_id = b.query_id AND b.i = 1 WHERE a.i = 1 OR (a.i = 2 AND a.score >= 0.6 * b.score AND len(list_filter(a.terms, lambda x: NOT list_contains(b.terms, x))) > 0)")
 def e05(spark, d):
-    top = R.top_k(R.best_chunks(R.with_prior(R.bm25(questions(spark, d), line_chunks(spark, d)))), 5)
+    top = R.top_k(R.best_chunks(R.with_prior(R.bm25(questions(spark, d), index_of(spark, d)))), 5)
     terms = line_chunks(spark, d).select("chunk_id", F.array_distinct(R.tokens("text")).alias("terms"))
     return E.second_source(top.join(terms.hint("merge"), "chunk_id"))
 
@@ -251,7 +250,7 @@ def e06(spark, d):
 
 @query("F10_answerable_hits", INDEX_SQL + "SELECT query_id, doc_id, chunk_id FROM top WHERE doc_id % 3 <> 0")
 def f10(spark, d):
-    top = R.top_k(R.best_chunks(R.with_prior(R.bm25(questions(spark, d), line_chunks(spark, d)))), 5).withColumn("padded", F.lit(False))
+    top = R.top_k(R.best_chunks(R.with_prior(R.bm25(questions(spark, d), index_of(spark, d)))), 5).withColumn("padded", F.lit(False))
     return E.answerable_hits(top, documents(spark, d).where("doc_id % 3 = 0")).select("query_id", "doc_id", "chunk_id")
 
 
@@ -313,9 +312,9 @@ def q08(spark, d):
 
 @query("Q09_refuse_gate", INDEX_SQL + f", v AS (SELECT query_id, round(avg(CASE WHEN t.term IS NULL THEN 0.0 ELSE 1.0 END), 4) AS v FROM (SELECT DISTINCT query_id, unnest(list_filter({TOKENS}, lambda x: x NOT IN ({_STOP}))) AS term FROM questions) q LEFT JOIN terms t ON q.term = t.term WHERE length(q.term) >= 2 GROUP BY query_id), s AS (SELECT query_id, max(score) AS s FROM scores GROUP BY query_id) SELECT v.query_id, v < 0.25 OR (v < 0.45 AND coalesce(s, 0) < 12) AS refused FROM v LEFT JOIN s ON v.query_id = s.query_id")
 def q09(spark, d):
-    qs, chunks = questions(spark, d), line_chunks(spark, d)
-    top = R.bm25(qs, chunks).groupBy("query_id").agg(F.max("score").alias("top_score"))
-    v = R.vocabulary_coverage(qs, R.postings(chunks))
+    qs, index = questions(spark, d), index_of(spark, d)
+    top = R.bm25(qs, index).groupBy("query_id").agg(F.max("score").alias("top_score"))
+    v = R.vocabulary_coverage(qs, index)
     return Q.refuse(v.join(top.hint("merge"), "query_id", "left")).select("query_id", "refused")
 
 
@@ -324,7 +323,7 @@ def q09(spark, d):
 
 @query("E07_U04_retrieval_checks", INDEX_SQL + ", r AS (SELECT query_id, list(doc_id ORDER BY rank) AS docs FROM top GROUP BY query_id) SELECT q.query_id, list_contains(docs, q.query_id) AS has_all, len(list_intersect([q.query_id, q.query_id + 1], docs)) > 0 AS has_any, len(docs) = 5 AS count_ok, CASE WHEN list_contains(docs, q.query_id) THEN '' ELSE CAST(q.query_id AS VARCHAR) END AS missing FROM questions q JOIN r ON q.query_id = r.query_id")
 def e07(spark, d):
-    top = R.top_k(R.best_chunks(R.with_prior(R.bm25(questions(spark, d), line_chunks(spark, d)))), 5)
+    top = R.top_k(R.best_chunks(R.with_prior(R.bm25(questions(spark, d), index_of(spark, d)))), 5)
     results = top.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("doc")))), lambda x: x["doc"]).alias("docs"))
     gold = questions(spark, d).select("query_id", F.array(F.col("query_id").cast("string")).alias("gold_all"), F.array(F.col("query_id").cast("string"), (F.col("query_id") + 1).cast("string")).alias("gold_any"), F.lit(5).alias("k"))
     return G.retrieval_checks(results, gold)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus as C
 from ..operators import search as R
+from ..sources.scratch import built_once, written
 from .registry import query
 
 _TYPES = ["通知", "政策", "周报", "手册", "总表", "报告", "会议纪要", "名录"]
@@ -21,7 +22,7 @@ _HEADED_SPARK = _HEADED.format(nl="chr(10)", type=_TYPE_SQL)
 HEADED_SQL = f"SELECT 'KB-' || doc_id AS doc_id, doc_id AS n, {_HEADED_SPARK} AS text FROM documents"
 META_SQL = f"""SELECT 'KB-' || doc_id AS doc_id, 'Note ' || (2020 + doc_id % 8) || ' of ' || source AS title, {_TYPE_SQL} AS doc_type,
   CASE WHEN doc_id % 4 = 0 THEN '已废止' ELSE '现行' END AS status, make_date(2026, CAST(1 + doc_id % 12 AS INT), CAST(1 + doc_id % 28 AS INT)) AS effective_from,
-  CASE WHEN doc_id % 4 = 0 THEN 'KB-' || (doc_id + 1) END AS superseded_by, CASE WHEN doc_id % 5 = 0 THEN 'S' || (doc_id % 7) || ',S9' ELSE '' END AS stores, doc_id % 5 = 0 AS stores_explicit FROM documents"""
+  CASE WHEN doc_id % 4 = 0 THEN 'KB-' || (doc_id + 1) END AS superseded_by, CASE WHEN doc_id % 5 = 0 THEN 'S' || (doc_id % 7) || ',S9' ELSE array_to_string(list_sort(list_distinct(regexp_extract_all(text, '\\b(S\\d{{1,3}})\\b', 1))), ',') END AS stores, doc_id % 5 = 0 AS stores_explicit FROM documents"""
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
@@ -42,13 +43,29 @@ def line_chunks(spark: SparkSession, d: str) -> DataFrame:
     return lines.where("trim(text) <> ''").select("doc_id", F.concat(F.col("doc_id"), F.lit("#"), F.col("pos")).alias("chunk_id"), "text")
 
 
+def index_of(spark: SparkSession, d: str) -> R.Index:
+    """The index of all line chunks, written at its first use."""
+    files = tuple(spark.read.parquet(f"{d}/documents.parquet").inputFiles())
+    made: list[R.Index] = []
+
+    def table(name: str) -> DataFrame:
+        def build() -> DataFrame:
+            if not made:
+                made.append(R.Index.build(line_chunks(spark, d), written))
+            return getattr(made[0], name)
+
+        return built_once(spark, (name, d, files), build)
+
+    return R.Index(table("postings"), table("terms"), table("stats"))
+
+
 def questions(spark: SparkSession, d: str) -> DataFrame:
-    """The first six words of each benchmark item."""
-    return spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("text"))
+    """Each benchmark item as a question, whole."""
+    return spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("query_id"), "text")
 
 
 LINES_SQL = "SELECT doc_id, doc_id || '#' || (pos - 1) AS chunk_id, t AS text FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents) WHERE trim(t) <> ''"
-QUESTIONS_SQL = "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS text FROM benchmark"
+QUESTIONS_SQL = "SELECT item_id AS query_id, text FROM benchmark"
 TOKENS = "regexp_extract_all(lower(text), '[a-z0-9]+')"
 _STOP = ", ".join(f"'{w}'" for w in R.STOP)
 INDEX_SQL = f"""WITH chunks AS ({LINES_SQL}), questions AS ({QUESTIONS_SQL}),
@@ -66,12 +83,12 @@ top AS (SELECT query_id, doc_id, chunk_id, score, rank FROM (SELECT *, CAST(row_
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_k(R.best_chunks(R.with_prior(R.bm25(questions(spark, d), line_chunks(spark, d)))), 5)
+    return R.top_k(R.best_chunks(R.with_prior(R.bm25(questions(spark, d), index_of(spark, d)))), 5)
 
 
-@query("S07_T20_front_matter_metadata", f"SELECT doc_id, title, doc_type, status, CAST(effective_from AS VARCHAR) AS effective_from, superseded_by, stores, stores_explicit FROM ({META_SQL}) WHERE stores_explicit")
+@query("S07_T20_front_matter_metadata", f"SELECT doc_id, title, doc_type, status, CAST(effective_from AS VARCHAR) AS effective_from, superseded_by, stores, stores_explicit FROM ({META_SQL})")
 def s07(spark, d):
-    m = meta(spark, d).where("stores_explicit")
+    m = meta(spark, d)
     return m.select("doc_id", "title", "doc_type", "status", F.col("effective_from").cast("string").alias("effective_from"), "superseded_by", F.array_join("stores", ",").alias("stores"), "stores_explicit")
 
 
@@ -196,8 +213,13 @@ def j11(spark, d):
     return R.mentions(documents(spark, d).select(F.col("doc_id").alias("text_id"), "text"), _aliases(spark, d))
 
 
-@query("T13_partial_mentions", f"SELECT DISTINCT text_id, canonical FROM (SELECT q.query_id AS text_id, a.canonical, a.alias, len(list_intersect(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(a.alias), '[a-z0-9]+')))) AS k, len(list_distinct(regexp_extract_all(lower(a.alias), '[a-z0-9]+'))) AS n FROM ({QUESTIONS_SQL}) q, (SELECT item_id AS canonical, array_to_string(string_split(text, ' ')[2:5], ' ') AS alias FROM benchmark) a) WHERE n > 0 AND k / n >= 0.6")
+_PHRASES_SQL = "SELECT item_id AS canonical, array_to_string(string_split(text, ' ')[2:5], ' ') AS alias FROM benchmark"
+_HELD = "len(list_intersect(list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+')), list_distinct(regexp_extract_all(lower(a.alias), '[a-z0-9]+')))) AS k, len(list_distinct(regexp_extract_all(lower(a.alias), '[a-z0-9]+'))) AS n"
+
+
+@query("T13_partial_mentions", f"SELECT DISTINCT text_id, canonical FROM (SELECT q.query_id AS text_id, a.canonical, q.text, a.alias, {_HELD} FROM ({QUESTIONS_SQL}) q, ({_PHRASES_SQL}) a) WHERE (n > 0 AND k / n >= 0.6) OR (length(alias) > 3 AND contains(lower(text), substr(lower(alias), 1, 3)))")
 def t13(spark, d):
+    # The second to fifth words of an item are an alias of it.
     aliases = spark.read.parquet(f"{d}/benchmark.parquet").select(F.col("item_id").alias("canonical"), F.array_join(F.slice(F.split("text", " "), 2, 4), " ").alias("alias"))
     return R.partial_mentions(questions(spark, d).select(F.col("query_id").alias("text_id"), "text"), aliases)
 
@@ -215,8 +237,7 @@ def t14(spark, d):
 
 @query("A17_document_frequency", INDEX_SQL + "SELECT term, df, round(idf, 6) AS idf FROM terms")
 def a17(spark, d):
-    chunks = line_chunks(spark, d)
-    return R.document_frequency(R.postings(chunks), R.statistics(chunks)).withColumn("idf", F.round("idf", 6))
+    return R.document_frequency(index_of(spark, d)).withColumn("idf", F.round("idf", 6))
 
 
 @query("A18_index_statistics", INDEX_SQL + "SELECT n_chunks, round(avg_len, 6) AS avg_len FROM stats")
@@ -234,9 +255,9 @@ def a28(spark, d):
     return line_chunks(spark, d).agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("chunks"))
 
 
-@query("A19_J09_T24_bm25_scores", INDEX_SQL + "SELECT query_id, doc_id, chunk_id, score FROM scores WHERE query_id % 10 = 0")
+@query("A19_J09_T24_bm25_scores", INDEX_SQL + "SELECT query_id, doc_id, chunk_id, score FROM scores")
 def a19(spark, d):
-    return R.bm25(questions(spark, d), line_chunks(spark, d)).where("query_id % 10 = 0")
+    return R.bm25(questions(spark, d), index_of(spark, d))
 
 
 @query("W03_W04_K03_top_chunks", INDEX_SQL + "SELECT * FROM top")
@@ -251,17 +272,17 @@ def w05(spark, d):
 
 @query("A21_query_coverage", INDEX_SQL + f", qt AS (SELECT query_id, term, coalesce(idf, ln(1 + (n_chunks + 0.5) / 0.5)) AS w FROM (SELECT DISTINCT query_id, unnest(list_filter({TOKENS}, lambda x: x NOT IN ({_STOP}))) AS term FROM questions) LEFT JOIN terms USING (term), stats), hit AS (SELECT t.query_id, t.chunk_id, sum(w) AS h FROM top t JOIN qt ON t.query_id = qt.query_id SEMI JOIN postings p ON p.chunk_id = t.chunk_id AND p.term = qt.term GROUP BY ALL) SELECT a.query_id, round(coalesce(h, 0) / total, 4) AS coverage FROM (SELECT query_id, sum(w) AS total FROM qt GROUP BY query_id) a LEFT JOIN (SELECT query_id, max(h) AS h FROM hit GROUP BY query_id) b ON a.query_id = b.query_id")
 def a21(spark, d):
-    return R.coverage(questions(spark, d), line_chunks(spark, d), _ranked(spark, d))
+    return R.coverage(questions(spark, d), index_of(spark, d), _ranked(spark, d))
 
 
 @query("A22_vocabulary_coverage", INDEX_SQL + f"SELECT query_id, round(avg(CASE WHEN t.term IS NULL THEN 0.0 ELSE 1.0 END), 4) AS vocabulary FROM (SELECT DISTINCT query_id, unnest(list_filter({TOKENS}, lambda x: x NOT IN ({_STOP}))) AS term FROM questions) q LEFT JOIN terms t ON q.term = t.term WHERE length(q.term) >= 2 GROUP BY query_id")
 def a22(spark, d):
-    return R.vocabulary_coverage(questions(spark, d), R.postings(line_chunks(spark, d)))
+    return R.vocabulary_coverage(questions(spark, d), index_of(spark, d))
 
 
 @query("A20_concept_scores", INDEX_SQL + f", a AS ({ALIAS_SQL}), named AS (SELECT DISTINCT query_id, canonical FROM questions JOIN a ON list_contains({TOKENS}, alias)), v AS (SELECT DISTINCT n.query_id, n.canonical, a.alias FROM named n JOIN a ON n.canonical = a.canonical), s AS (SELECT alias, p.chunk_id, round(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len)), 4) AS score FROM (SELECT DISTINCT alias FROM v) x JOIN postings p ON p.term = x.alias JOIN terms t ON t.term = p.term JOIN lengths l ON l.chunk_id = p.chunk_id, stats) SELECT query_id, chunk_id, round(sum(score), 4) AS concept_score FROM (SELECT query_id, canonical, chunk_id, max(score) AS score FROM v JOIN s ON v.alias = s.alias GROUP BY ALL) GROUP BY ALL")
 def a20(spark, d):
-    return R.concept_scores(questions(spark, d), line_chunks(spark, d), _aliases(spark, d))
+    return R.concept_scores(questions(spark, d), index_of(spark, d), _aliases(spark, d))
 
 
 @query("J08_J18_versions_in_force", f"SELECT a.doc_id, CAST(b.effective_from AS VARCHAR) AS effective_to FROM ({META_SQL}) a LEFT JOIN ({META_SQL}) b ON a.superseded_by = b.doc_id WHERE a.effective_from <= DATE '2026-06-15' AND (b.effective_from IS NULL OR b.effective_from > DATE '2026-06-15')")
@@ -291,13 +312,22 @@ def f08(spark, d):
     return R.filtered_documents(_eligible(spark, d))
 
 
-@query("K04_U05_padded_top_k", INDEX_SQL + ", q AS (SELECT query_id FROM questions WHERE query_id % 10 = 0), hits AS (SELECT query_id, doc_id, chunk_id, score FROM scores SEMI JOIN (SELECT chunk_id AS c FROM chunks WHERE doc_id % 50 = 1) x ON chunk_id = c WHERE query_id % 10 = 0), b AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, chunk_id) AS i FROM hits), t AS (SELECT query_id, doc_id, chunk_id, score, CASE WHEN i = 1 THEN 0 ELSE 1 END AS tier FROM b UNION ALL SELECT q.query_id, c.doc_id, c.chunk_id, 0.0, 2 FROM q, chunks c ANTI JOIN hits h ON h.query_id = q.query_id AND h.chunk_id = c.chunk_id WHERE c.doc_id % 50 = 1), k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, score DESC, chunk_id) AS r FROM t) WHERE r <= 20) SELECT query_id, doc_id, chunk_id, score, tier > 0 AS padded, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tier, chunk_id) AS INTEGER) AS rank FROM k")
+_SCOPED = "SELECT scope_id, chunk_id, doc_id FROM chunks, (SELECT scope_id, CAST(substr(doc_id, 4) AS BIGINT) AS d FROM (" + _ELIGIBLE + ") WHERE reason IS NULL) WHERE d = doc_id"
+
+
+@query(
+    "K04_U05_padded_top_k",
+    INDEX_SQL + f", allowed AS ({_SCOPED}), q AS (SELECT query_id, CAST(query_id % 3 + 1 AS INTEGER) AS scope_id FROM questions), hits AS (SELECT s.* FROM scores s JOIN q USING (query_id) SEMI JOIN allowed a ON a.scope_id = q.scope_id AND a.chunk_id = s.chunk_id), "
+    "b AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, chunk_id) AS i FROM hits), least AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scope_id ORDER BY chunk_id) AS r FROM allowed) WHERE r <= 40), "
+    "t AS (SELECT query_id, doc_id, chunk_id, score, CASE WHEN i = 1 THEN 0 ELSE 1 END AS tier FROM b UNION ALL SELECT q.query_id, c.doc_id, c.chunk_id, 0.0, 2 FROM q JOIN least c ON c.scope_id = q.scope_id ANTI JOIN hits h ON h.query_id = q.query_id AND h.chunk_id = c.chunk_id), "
+    "k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY tier, score DESC, chunk_id) AS r FROM t) WHERE r <= 20) SELECT query_id, doc_id, chunk_id, score, tier > 0 AS padded, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, tier, chunk_id) AS INTEGER) AS rank FROM k",
+)
 def k04(spark, d):
-    # A scope as in F07: documents of one store, here every fiftieth, and a tenth of the questions.
-    allowed = line_chunks(spark, d).where("doc_id % 50 = 1")
-    qs = questions(spark, d).where("query_id % 10 = 0")
-    hits = R.bm25(qs, line_chunks(spark, d)).join(allowed.select("chunk_id").hint("merge"), "chunk_id", "left_semi")
-    return R.pad(hits, qs.select("query_id").crossJoin(allowed.select("doc_id", "chunk_id")), 20)
+    # Questions take the scopes of F07 in turn; chunks of eligible documents are allowed.
+    good = _eligible(spark, d).where("reason is null").select("scope_id", F.substring("doc_id", 4, 20).cast("long").alias("doc_id"))
+    allowed = line_chunks(spark, d).select("doc_id", "chunk_id").join(good.hint("merge"), "doc_id")
+    qs = questions(spark, d).select("query_id", (F.col("query_id") % 3 + 1).cast("int").alias("scope_id"))
+    return R.pad(R.bm25(questions(spark, d), index_of(spark, d)), qs, allowed, 20)
 
 
 @query("T21_authority", f"SELECT doc_id, CASE WHEN doc_type IN ('周报', '会议纪要') THEN 'background' WHEN doc_type IN ('总表', '名录') THEN 'reference' WHEN doc_type = '通知' THEN 'notice' WHEN doc_type IN ('政策', '手册') THEN 'policy' ELSE 'unknown' END AS authority, doc_type IN ('通知', '政策', '手册') AS numeric FROM ({META_SQL})")

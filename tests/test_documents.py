@@ -61,9 +61,8 @@ def test_index_round_trip(spark, tmp_path):
 def test_search_is_exactly_k(spark):
     chunks = spark.createDataFrame([(f"{i}#0", i, f"word{i % 3} common") for i in range(9)], "chunk_id string, doc_id long, text string")
     queries = spark.createDataFrame([(1, "word1"), (2, "zzz")], "query_id long, text string")
-    allowed = queries.select("query_id").crossJoin(chunks.where("doc_id <> 4").select("doc_id", "chunk_id"))
-    hits = R.bm25(queries, chunks).where("doc_id <> 4")
-    got = R.pad(hits, allowed, 5).collect()
+    allowed = chunks.where("doc_id <> 4").select(F.lit(1).alias("scope_id"), "doc_id", "chunk_id")
+    got = R.pad(R.bm25(queries, chunks), queries.select("query_id", F.lit(1).alias("scope_id")), allowed, 5).collect()
     assert sorted((r.query_id, r["rank"]) for r in got) == [(q, k) for q in (1, 2) for k in range(1, 6)]
     assert all(r.doc_id != 4 for r in got) and sum(not r.padded for r in got) == 2
 
