@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +17,22 @@ def _column(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+@lru_cache(maxsize=1)
+def _width_pairs() -> tuple[str, str]:
+    """Characters of the basic plane whose compatibility form is one other character, and that form."""
+    pairs = [(chr(i), unicodedata.normalize("NFKC", chr(i))) for i in range(128, 0xFFFF) if not 0xD800 <= i < 0xE000]
+    good = [(a, b) for a, b in pairs if a != b and len(b) == 1]
+    return "".join(a for a, _ in good), "".join(b for _, b in good)
+
+
+def plain_width(c: str | Column) -> Column:
+    """Compatibility forms of single characters (full-width digits and letters, circled and raised digits) as plain ones, inside the JVM.
+
+    Characters whose compatibility form has several characters stay; ``operators.corpus.nfkc_lower`` takes those too.
+    """
+    return F.translate(_column(c), *_width_pairs())
+
+
 def norm_id(c: str | Column) -> Column:
     """Trimmed and upper case; null is empty."""
     return F.upper(F.trim(F.coalesce(_column(c), F.lit(""))))

@@ -24,12 +24,20 @@ def carry_slots(turns: DataFrame, slots: list[str]) -> DataFrame:
     return topics.select(*(c for c in turns.columns if c not in slots), *(F.last(s, ignorenulls=True).over(inside).alias(s) for s in slots))
 
 
-def recent_windows(turns: DataFrame, n: int = 3) -> DataFrame:
-    """The last n distinct windows (column ``window``) up to each turn, in the order they were last used."""
-    order = Window.partitionBy("session_id").orderBy("turn_id").rowsBetween(Window.unboundedPreceding, 0)
-    seen = F.filter(F.collect_list("window").over(order), lambda w: w.isNotNull())
-    newest = F.slice(F.array_distinct(F.reverse(seen)), 1, n)
-    return turns.select("session_id", "turn_id", F.reverse(newest).alias("windows"))
+def recent_windows(turns: DataFrame) -> DataFrame:
+    """The last three distinct windows (column ``window``) up to each turn, in the order they were last used.
+
+    Only turns that change the window matter. The last two changes differ; the third window is the
+    one before them where it differs from the last, else what it was at the change before. So three
+    running values say all, and no list grows with a session.
+    """
+    order = Window.partitionBy("session_id").orderBy("turn_id")
+    before, here = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.unboundedPreceding, 0)
+    now = turns.withColumn("_prev", F.last("window", ignorenulls=True).over(before))
+    now = now.withColumn("_turned", F.col("window").isNotNull() & ~F.col("window").eqNullSafe(F.col("_prev"))).withColumn("_second", F.when(F.col("_turned"), F.col("_prev")))
+    now = now.withColumn("_older", F.last("_second", ignorenulls=True).over(before)).withColumn("_third", F.when(F.col("_turned") & (F.col("_older") != F.col("window")), F.col("_older")))
+    last = lambda c: F.last(c, ignorenulls=True).over(here)
+    return now.select("session_id", "turn_id", F.array_compact(F.array(last("_third"), last("_second"), last("window"))).alias("windows"))
 
 
 def retain_sessions(turns: DataFrame, keep: int = 500) -> DataFrame:

@@ -94,10 +94,11 @@ def evidence_checks(answers: DataFrame) -> DataFrame:
 
 
 def hygiene(answers: DataFrame) -> DataFrame:
-    """Distinct numbers, cited documents, bytes and characters of each answer, and whether they keep the limits."""
+    """Distinct numbers, cited documents, numbers and bytes of evidence and characters of each answer, and whether they keep the limits."""
     n, docs = F.size(F.array_distinct(numbers("answer"))), F.size(F.array_distinct(F.transform("citations", lambda c: c["doc_id"])))
-    out = answers.select("id", n.alias("numbers"), docs.alias("documents"), F.octet_length("results").alias("evidence_bytes"), F.length("answer").alias("chars"))
-    return out.withColumn("tidy", reduce(lambda a, b: a & b, [F.col(k) <= v for k, v in LIMITS.items() if k in out.columns]))
+    behind = F.size(F.array_distinct(numbers("results")))
+    out = answers.select("id", n.alias("numbers"), docs.alias("documents"), behind.alias("evidence_numbers"), F.octet_length("results").alias("evidence_bytes"), F.length("answer").alias("chars"))
+    return out.withColumn("tidy", reduce(lambda a, b: a & b, [F.col(k) <= v for k, v in LIMITS.items()]))
 
 
 def question_scores(turns: DataFrame) -> DataFrame:
