@@ -33,6 +33,8 @@ _D = len(FEATURES)
 #: Up to so many groups (some 300 bytes each) an estimate is broadcast; more are joined by a shuffle.
 BROADCAST_GROUPS = 20_000
 _SALTS = 64
+#: A start has settled when a step lowers the logarithm of its determinant by less.
+SETTLED = 0.01
 
 
 def gamma_cdf(a: float, x: float) -> float:
@@ -125,7 +127,8 @@ def _from_sums(factor: float):
                 means.append(mean.tolist())
                 inverses.append(np.linalg.inv(cov).ravel().tolist())
                 logdets.append(float(np.linalg.slogdet(cov)[1]))
-            yield pd.DataFrame({"grp": pdf["grp"], "start": pdf["start"].astype("int32"), "mean": means, "inverse": inverses, "logdet": logdets})
+            made = pd.DataFrame({"grp": pdf["grp"], "start": pdf["start"].astype("int32"), "mean": means, "inverse": inverses, "logdet": logdets})
+            yield made.assign(was=pdf["was"]) if "was" in pdf else made
 
     return run
 
@@ -141,7 +144,7 @@ def consistency(coverage: float) -> float:
     return coverage / gamma_cdf(_D / 2 + 1, chi2_quantile(coverage, _D) / 2)
 
 
-def fit_estimates(rows: DataFrame, least: int = 200, coverage: float = 0.75, steps: int = 12) -> tuple[DataFrame, DataFrame, int]:
+def fit_estimates(rows: DataFrame, least: int = 200, coverage: float = 0.75, steps: int = 10) -> tuple[DataFrame, DataFrame, int]:
     """(names, estimates, groups) over rows with lang_source, lang_only, base_failed and FEATURES.
 
     ``names`` maps lang_source to the group that judges it; groups of fewer than ``least`` rows
@@ -174,16 +177,15 @@ def fit_estimates(rows: DataFrame, least: int = 200, coverage: float = 0.75, ste
     for _ in range(steps):
         near = _with_estimate(wide, now, len(STARTS) * groups).where("start is not null")
         near = near.withColumn("bucket", F.least(F.lit(1000), F.floor(F.log1p(F.greatest(_distance(), F.lit(0.0))) * 100)))
-        buckets = near.groupBy("grp", "start", "bucket").agg(F.count(F.lit(1)).alias("n"), *sums)
+        buckets = near.groupBy("grp", "start", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("logdet").alias("was"), *sums)
         own = Window.partitionBy("grp", "start")
         before = F.coalesce(F.sum("n").over(own.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         share = (coverage * F.sum("n").over(own) - before) / F.col("n")
         inner = buckets.withColumn("share", F.least(F.lit(1.0), share)).where("share > 0")
-        added = inner.groupBy("grp", "start").agg(*(F.sum(F.col(c) * F.col("share")).alias(c) for c in ["n", *_SUMS]))
-        then = now.select("grp", "start", F.col("logdet").alias("was"))
-        moved = added.mapInPandas(_from_sums(factor), _ESTIMATE).join(then.hint("merge"), ["grp", "start"])
+        added = inner.groupBy("grp", "start").agg(F.max("was").alias("was"), *(F.sum(F.col(c) * F.col("share")).alias(c) for c in ["n", *_SUMS]))
+        moved = added.mapInPandas(_from_sums(factor), f"{_ESTIMATE}, was double")
         # The first step changes from a plain to a consistent covariance, so it never settles a start.
-        moved = materialize(moved.withColumn("falls", (F.col("logdet") < F.col("was") - 1e-3) | F.lit(not settled)), "estimate")
+        moved = materialize(moved.withColumn("falls", (F.col("logdet") < F.col("was") - SETTLED) | F.lit(not settled)), "estimate")
         settled.append(moved.where("NOT falls").drop("was", "falls"))
         now = moved.where("falls").drop("was", "falls")
         if now.isEmpty():
