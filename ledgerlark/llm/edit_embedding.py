@@ -198,17 +198,11 @@ def _id_rows(bands: int, width: int):
             dk, mark = (batch.column(batch.schema.get_field_index(c)) for c in ("dk", "mark"))
             prints = fingerprint_texts([t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])
             cells = list_array(band_cells(prints, bands, width).view(np.int64).ravel(), np.full(len(prints), bands), pa.int64())
-            yield pa.record_batch([dk, mark, pa.array(print_ids(prints).view(np.int64)), cells], names=["dk", "mark", "id", "cells"])
+            yield pa.record_batch([dk, mark, pa.array(print_ids(prints).view(np.int64)), cells, pa.array([r.tobytes() for r in prints], pa.binary())], names=["dk", "mark", "id", "cells", "fingerprint"])
 
     return run
 
 
-def _print_of_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = fingerprint_texts([t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])
-        yield pa.record_batch([pa.array(print_ids(prints).view(np.int64)), pa.array([r.tobytes() for r in prints], pa.binary())], names=["id", "fingerprint"])
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """dk, doc_id, mark, text: ids that are never null, and a hash that tells rows of one id apart."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -219,7 +213,7 @@ def _classes(docs: DataFrame, least: float, bands: int, width: int) -> DataFrame
     """(dk, mark, class_id) for each distinct dk and mark of ``_keyed``."""
     small_batches(docs.sparkSession)
     texts = _keyed(docs)
-    rows = materialize(texts.select("dk", "mark", "text").mapInArrow(_id_rows(bands, width), "dk long, mark long, id long, cells array<long>"), "ids")
+    rows = materialize(texts.select("dk", "mark", "text").mapInArrow(_id_rows(bands, width), "dk long, mark long, id long, cells array<long>, fingerprint binary"), "ids")
     nodes = materialize(rows.groupBy("id").agg(F.min("dk").alias("low"), F.first("cells").alias("cells")), "nodes")
     cell = Window.partitionBy("cell")
     met = nodes.select(F.explode("cells").alias("cell"), "id").withColumn("n", F.count(F.lit(1)).over(cell)).where("n > 1").withColumn("all", F.bit_xor(F.xxhash64("id")).over(cell))
@@ -228,8 +222,7 @@ def _classes(docs: DataFrame, least: float, bands: int, width: int) -> DataFrame
     once = met.groupBy("n", "all").agg(F.min("cell").alias("cell")).select("cell")
     kept = materialize(met.join(once.hint("merge"), "cell", "left_semi").select("cell", "id"), "shared")
     wanted = kept.select("id").distinct()
-    # Fingerprints are made again for the ids that met another; carrying them from the start would cost more than the walk.
-    prints = texts.select("text").mapInArrow(_print_of_rows, "id long, fingerprint binary").join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+    prints = rows.select("id", "fingerprint").join(wanted.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
     cells = kept.join(materialize(prints, "prints").hint("merge"), "id").select("cell", "id", "fingerprint")
     roots = components(linked(cells, _load, _near(least)))
     placed = nodes.select("id", "low").join(roots.hint("merge"), F.col("id") == F.col("node"), "left").select("id", "low", F.coalesce("root", "id").alias("root"))
