@@ -13,10 +13,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, text_slices, word_bounds, word_hashes
+from .common import materialize, small_batches, text_slices, word_bounds, word_hashes
 from .text_stats import counts
 
 BUCKETS = 1 << 16
@@ -115,11 +115,11 @@ def _slices(batch: pa.RecordBatch):
 def _input_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids = batch.column(batch.schema.get_field_index("doc_id"))
-        label = batch.column(batch.schema.get_field_index("label"))
+        label, mark = (batch.column(batch.schema.get_field_index(c)) for c in ("label", "mark"))
         for lo, hi, doc, bucket, weight, stats in _slices(batch):
             edge = np.searchsorted(doc, np.arange(hi - lo + 1))
             parts = [(bucket[a:b].astype(np.int32).tobytes(), weight[a:b].astype(np.float32).tobytes(), s.tobytes()) for a, b, s in zip(edge, edge[1:], stats, strict=False)]
-            yield pa.record_batch([ids[lo:hi], label[lo:hi], *(pa.array(list(c), pa.binary()) for c in zip(*parts, strict=True))], names=["doc_id", "label", "buckets", "weights", "stats"])
+            yield pa.record_batch([ids[lo:hi], label[lo:hi], mark[lo:hi], *(pa.array(list(c), pa.binary()) for c in zip(*parts, strict=True))], names=["doc_id", "label", "mark", "buckets", "weights", "stats"])
 
 
 def _score_rows(shared):
@@ -139,17 +139,27 @@ def _text_and_length(docs: DataFrame) -> list[Column]:
     return [text.alias("text"), F.coalesce(stored, F.length(text).cast("long"), F.lit(0)).cast("long").alias("n_chars")]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> Machine:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = 6000, sample_bytes: int = 128 << 20) -> Machine:
     """Train on at most ``sample`` rows of ``labels`` (doc_id, label), those of least hash of doc_id.
 
-    The sample bounds what reaches the driver: some 3 KB a row. Without labelled rows of both
-    kinds the machine scores the share of label 1, or a half.
+    Of these, in that order, only as many are used as have ``sample_bytes`` of inputs between them
+    (8 bytes for each distinct word of a text, some 3 KB a text of ordinary length), so that both
+    parameters bound what reaches the driver. A doc_id with several texts trains with the one of
+    least hash, one with several labels with the greater. Without labelled rows of both kinds the
+    machine scores the share of label 1, or a half.
     """
     small_batches(docs.sparkSession)
     known = labels.where("label is not null and doc_id is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", *_text_and_length(docs)).join(F.broadcast(chosen), "doc_id")
-    found = texts.mapInArrow(_input_rows, "doc_id long, label int, buckets binary, weights binary, stats binary").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    texts = docs.select("doc_id", F.xxhash64(F.col("text").cast("string")).alias("mark"), *_text_and_length(docs)).join(F.broadcast(chosen), "doc_id")
+    made = texts.mapInArrow(_input_rows, "doc_id long, label int, mark long, buckets binary, weights binary, stats binary")
+    columns = ["label", "buckets", "weights", "stats"]
+    each = materialize(made.groupBy("doc_id").agg(F.min_by(F.struct(*columns), F.struct("mark", "stats")).alias("r")).select("doc_id", "r.*"), "inputs")
+    # One number for each of ``sample`` rows at most.
+    size = F.octet_length("buckets") + F.octet_length("weights") + F.octet_length("stats")
+    upto = F.sum(size).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    within = each.select("doc_id", upto.alias("upto")).where(F.col("upto") <= sample_bytes).select("doc_id")
+    found = each.join(F.broadcast(within), "doc_id").orderBy("doc_id").collect()
     rows = [(np.frombuffer(r.buckets, np.int32), np.frombuffer(r.weights, np.float32).astype(float), np.frombuffer(r.stats), r.label) for r in found]
     machine = Machine()
     if len({r[3] for r in rows}) == 2:

@@ -547,6 +547,24 @@ def test_classifier_holds_out(spark, docs_of):
     assert factorisation.fit(docs, labels.limit(0)).bias == 0
 
 
+def test_training_inputs_are_bounded(docs_of, spark, monkeypatch):
+    taken = []
+    monkeypatch.setattr(factorisation.Machine, "train", lambda self, rows: taken.append(rows))
+    # Ids that repeat with other texts, one very long text, and rows that repeat.
+    docs = docs_of([(i, prose(40)) for i in range(60)] + [(i, prose(90)) for i in range(10)] * 3 + [(60, prose(30000)), (60, None)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(61)] + [(3, 0)], "doc_id long, label int")
+    size = lambda rows: sum(8 * len(r[0]) + 8 * len(factorisation.STATS) for r in rows)
+    key = lambda rows: [(r[0].tolist(), r[2].tolist(), r[3]) for r in rows]
+    factorisation.fit(docs, labels)
+    factorisation.fit(docs.repartition(7), labels)
+    assert len(taken[0]) == 61 and key(taken[0]) == key(taken[1])
+    bound = size(taken[0]) // 2
+    factorisation.fit(docs, labels, sample_bytes=bound)
+    assert 0 < len(taken[2]) < 61 and size(taken[2]) <= bound
+    factorisation.fit(docs, labels, sample=20)
+    assert len(taken[3]) == 20
+
+
 # ---- 10 --------------------------------------------------------------------
 
 
