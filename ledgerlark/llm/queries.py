@@ -11,6 +11,7 @@ from .edit_embedding import op5_edit_embedding
 from .factorisation import op9_factorisation_machine
 from .html_text import op4_html_extraction
 from .packing import op2_best_fit_packing
+from .periodic_runs import op11_periodic_runs
 from .quality_rules import op3_quality_rules
 from .secrets import op7_secret_scan
 from .sharding import op8_sharding
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_factorisation_machine": op9_factorisation_machine,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 _OP10 = r"""
