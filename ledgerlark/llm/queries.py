@@ -10,6 +10,7 @@ from .bpe import op1_bpe
 from .edit_embedding import op5_edit_embedding
 from .factorisation import op9_factorisation_machine
 from .html_text import op4_html_extraction
+from .license_scan import op12_license_scan
 from .packing import op2_best_fit_packing
 from .periodic_runs import op11_periodic_runs
 from .quality_rules import op3_quality_rules
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_factorisation_machine": op9_factorisation_machine,
     "op10_substring_dedup": op10_substring_dedup,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_license_scan": op12_license_scan,
 }
 
 _OP10 = r"""
