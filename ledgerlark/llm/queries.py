@@ -13,6 +13,8 @@ from .html_text import op4_html_extraction
 from .license_scan import op12_license_scan
 from .packing import op2_best_fit_packing
 from .periodic_runs import op11_periodic_runs
+from .prefix_trie import ORACLE_SQL as _OP13
+from .prefix_trie import op13_prefix_trie
 from .quality_rules import op3_quality_rules
 from .secrets import op7_secret_scan
 from .sharding import op8_sharding
@@ -32,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_license_scan": op12_license_scan,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 _OP10 = r"""
@@ -46,5 +49,5 @@ SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n, 0) AS n_removed
 FROM w LEFT JOIN kept ON w.doc_id = kept.doc_id LEFT JOIN cut ON w.doc_id = cut.doc_id
 """
 
-#: Only op10 can be said in SQL; the tests hold the others against brute force.
-ORACLE_SQL: dict[str, str] = {"op10_substring_dedup": _OP10}
+#: Only op10 and op13 can be said in SQL; the tests hold the others against brute force.
+ORACLE_SQL: dict[str, str] = {"op10_substring_dedup": _OP10, "op13_prefix_trie": _OP13}
