@@ -40,8 +40,8 @@ _STEPS: list[list[np.ndarray]] = []
 def _samples(longest: int) -> list[np.ndarray]:
     """For each place, the steps that are the least of its order so far, up to ``longest``."""
     have = 0 if not _STEPS else int(_STEPS[0][0][0])
-    if have < longest:
-        size = max(1 << 18, 1 << (longest - 1).bit_length())
+    if not _STEPS or have < longest:
+        size = max(1 << 18, 1 << max(0, longest - 1).bit_length())
         step = np.arange(size, dtype=np.uint64)
         order = mix((step + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
         place = (mix(order ^ np.uint64(0x1234567)) % np.uint64(PLACES)).astype(np.int64)
@@ -355,7 +355,11 @@ def _edited_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op5_edit_embedding(spark, sf_dir: str) -> DataFrame:
-    """Fingerprints of every document and of its edited text, their likeness, and the class of near documents (least doc_id)."""
+    """Fingerprints of every document and of its edited text, their likeness, and the class of near documents (least doc_id).
+
+    A null or empty text has a print of zeros, is alike to other empty texts only, and is edited into nothing. Repeated rows are
+    each returned, and one may be the next of another; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     classes = materialize(_classes(docs, 0.8, 8, 4).withColumnRenamed("class_id", "value"), "classes")
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, class_id long"
