@@ -6,7 +6,7 @@ and source: the mean and covariance of the three quarters of texts that lie clos
 A text is rejected where its Mahalanobis distance is improbable under that estimate.
 
 Each group has four starts: medians and quartiles, all its rows, and its shorter and longer
-half. Every start is concentrated in steps until its determinant falls no more, and the
+half. Every start is concentrated in steps until its determinant falls no more, rounding aside, and the
 start of least determinant gives the estimate. One step is one aggregation for all groups and
 starts: sums by distance bucket, of which the nearest are added up to the coverage, the last
 one in part. Groups with few rows fall back to their language, then to all rows. All rows
@@ -33,8 +33,8 @@ _D = len(FEATURES)
 #: Up to so many groups (some 300 bytes each) an estimate is broadcast; more are joined by a shuffle.
 BROADCAST_GROUPS = 20_000
 _SALTS = 64
-#: A start has settled when a step lowers the logarithm of its determinant by less.
-SETTLED = 0.01
+#: A start has settled when a step lowers the logarithm of its determinant by no more than rounding may.
+SETTLED = 1e-9
 
 
 def gamma_cdf(a: float, x: float) -> float:
@@ -144,12 +144,13 @@ def consistency(coverage: float) -> float:
     return coverage / gamma_cdf(_D / 2 + 1, chi2_quantile(coverage, _D) / 2)
 
 
-def fit_estimates(rows: DataFrame, least: int = 200, coverage: float = 0.75, steps: int = 10) -> tuple[DataFrame, DataFrame, int]:
+def fit_estimates(rows: DataFrame, least: int = 200, coverage: float = 0.75, steps: int = 500) -> tuple[DataFrame, DataFrame, int]:
     """(names, estimates, groups) over rows with lang_source, lang_only, base_failed and FEATURES.
 
     ``names`` maps lang_source to the group that judges it; groups of fewer than ``least`` rows
-    that pass the base use their language's, or that of all rows. A start whose determinant has
-    not settled after ``steps`` steps is used as it then is.
+    that pass the base use their language's, or that of all rows. ``estimates`` has the number of steps of the
+    start that was kept. A step lowers the determinant or ends its start, so starts settle by themselves; one that has not done so after
+    ``steps`` is an error.
     """
     good = rows.where(~F.col("base_failed"))
     sizes = good.groupBy("lang_source", "lang_only").agg(F.count(F.lit(1)).alias("n"))
@@ -174,7 +175,7 @@ def fit_estimates(rows: DataFrame, least: int = 200, coverage: float = 0.75, ste
 
     # Starts that still fall, and those that have settled.
     settled: list[DataFrame] = []
-    for _ in range(steps):
+    for step in range(1, steps + 1):
         near = _with_estimate(wide, now, len(STARTS) * groups).where("start is not null")
         near = near.withColumn("bucket", F.least(F.lit(1000), F.floor(F.log1p(F.greatest(_distance(), F.lit(0.0))) * 100)))
         buckets = near.groupBy("grp", "start", "bucket").agg(F.count(F.lit(1)).alias("n"), F.max("logdet").alias("was"), *sums)
@@ -186,16 +187,16 @@ def fit_estimates(rows: DataFrame, least: int = 200, coverage: float = 0.75, ste
         moved = added.mapInPandas(_from_sums(factor), f"{_ESTIMATE}, was double")
         # The first step changes from a plain to a consistent covariance, so it never settles a start.
         moved = materialize(moved.withColumn("falls", (F.col("logdet") < F.col("was") - SETTLED) | F.lit(not settled)), "estimate")
-        settled.append(moved.where("NOT falls").drop("was", "falls"))
+        settled.append(moved.where("NOT falls").drop("was", "falls").withColumn("steps", F.lit(step)))
         now = moved.where("falls").drop("was", "falls")
         if now.isEmpty():
             break
     else:
-        settled.append(now)
+        raise RuntimeError(f"a start has not settled after {steps} steps")
     every = settled[0]
     for part in settled[1:]:
         every = every.unionByName(part)
-    best = every.groupBy("grp").agg(F.min_by(F.struct("mean", "inverse", "logdet"), F.struct("logdet", "start")).alias("b"))
+    best = every.groupBy("grp").agg(F.min_by(F.struct("mean", "inverse", "logdet", "steps"), F.struct("logdet", "start")).alias("b"))
     return names, materialize(best.select("grp", "b.*"), "estimate"), groups
 
 
@@ -209,24 +210,18 @@ def judge(docs: DataFrame, keep_text: bool = True, least: int = 200, coverage: f
     own; repeated rows are judged alike; an empty table gives an empty result.
     """
     names_in = docs.columns
-    narrow = docs.select(F.col("text"), *(F.col(f"`{c}`") for c in names_in if c != "text"))
-    stats = with_features(text_stats(narrow))
-    first, second = group_of(stats, "carried.lang", "carried.source")
-    rows = materialize(stats.withColumn("lang_source", first).withColumn("lang_only", second), "stats")
+    # One scan: what is returned of a row is written beside its statistics, and the estimates read only these.
+    kept_names = [c for c in names_in if keep_text or c != "text"]
+    both = docs.select(F.col("text"), F.struct(*(F.col(f"`{c}`") for c in kept_names)).alias("row"), F.struct("lang", "source").alias("of"))
+    stats = with_features(text_stats(both))
+    first, second = group_of(stats, "carried.of.lang", "carried.of.source")
+    rows = materialize(stats.select(F.col("carried.row").alias("row"), *NAMES, *FEATURES, "base_failed", first.alias("lang_source"), second.alias("lang_only")), "stats")
     names, estimate, groups = fit_estimates(rows, least, coverage)
     own = names.select(F.col("lang_source").alias("_name"), "own").join(estimate.hint("merge"), F.col("own") == F.col("grp")).select(F.col("_name").alias("grp"), "mean", "inverse")
-    if keep_text:
-        both = docs.select(F.col("text"), F.struct(*(F.col(f"`{c}`") for c in names_in)).alias("row"))
-        again = with_features(text_stats(both))
-        first, second = group_of(again, "carried.row.lang", "carried.row.source")
-        rows = again.withColumn("lang_source", first)
-        row = F.col("carried.row")
-    else:
-        row = F.col("carried")
     near = _with_estimate(rows.withColumn("grp", F.col("lang_source")), materialize(own, "judges"), groups)
     far = _distance()
     kept = ~F.col("base_failed") & F.coalesce(far <= chi2_quantile(1 - tail, _D), F.lit(True))
-    return near.select(row.alias("row"), *NAMES, "base_failed", far.alias("distance"), kept.alias("kept"))
+    return near.select("row", *NAMES, "base_failed", far.alias("distance"), kept.alias("kept"))
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
