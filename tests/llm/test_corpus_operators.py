@@ -181,11 +181,31 @@ def test_determinant_is_least(spark):
     edge = quality_rules.chi2_quantile(1 - 1e-6, 5)
     for name, x in groups.items():
         least, mean, inverse = brute_mcd(x, 0.75)
-        assert got[name].logdet <= least + 0.02
+        assert got[name].logdet <= least + 0.02 and got[name].steps < 60
         far = lambda m, i: np.einsum("ij,jk,ik->i", x - m, i, x - m) > edge
         assert (far(np.array(got[name]["mean"]), np.array(got[name].inverse).reshape(5, 5)) == far(mean, inverse)).mean() > 0.998
 
 
+def test_verdicts_on_documents_equal_full_convergence(spark, sf_dir):
+    """Every group's estimate against many random starts, each concentrated until nothing changes."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    judged = quality_rules.with_features(quality_rules.judge(docs, keep_text=False).drop("base_failed")).toPandas()
+    good = judged[~judged.base_failed].copy()
+    value = lambda c: good["row"].map(lambda r: "null" if r[c] is None else "=" + r[c])
+    good["lang"], good["own"] = value("lang"), value("lang") + "\t" + value("source")
+    for size, name in (("own", "own"), ("lang", "lang")):
+        good[f"n_{name}"] = good.groupby(size)[size].transform("size")
+    good["grp"] = np.where(good.n_own >= 200, good.own, np.where(good.n_lang >= 200, good.lang, "all"))
+    levels = {"all": good, **dict(list(good.groupby("lang"))), **dict(list(good.groupby("own")))}
+    edge, wrong = quality_rules.chi2_quantile(1 - 1e-6, 5), 0
+    for name, part in good.groupby("grp"):
+        _, mean, inverse = brute_mcd(levels[name][quality_rules.FEATURES].to_numpy(), 0.75, tries=20)
+        off = part[quality_rules.FEATURES].to_numpy() - mean
+        wrong += int(((np.einsum("ij,jk,ik->i", off, inverse, off) <= edge) != part.kept.to_numpy()).sum())
+    assert len(good) > 100 and not judged[judged.base_failed].kept.any()
+    assert wrong == 0
+
+
 # ---- 4 ---------------------------------------------------------------------
 
 PAGE = """<html><head><title>T</title></head><body><header>Site slogan</header><nav><a>One</a><a>Two</a></nav>
@@ -319,6 +339,22 @@ def test_bands_reach_likeness(docs_of):
     assert got == {i: find(i) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("texts", [["", None, ""], [None, "x", "x", "y"], ["", "a" * 300, None], [None]])
+def test_empty_texts_come_first(docs_of, tmp_path, texts):
+    """A worker whose first batch has nothing to walk over."""
+    edit_embedding._STEPS.clear()
+    assert not edit_embedding.fingerprint_texts(["" for _ in texts]).any()
+    docs = docs_of(list(enumerate(texts)))
+    assert {bytes(r.fingerprint) for r in edit_embedding.fingerprints(docs.where("coalesce(text, '') = ''")).collect()} <= {bytes(256)}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in edit_embedding.op5_edit_embedding(docs.sparkSession, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(len(texts)))
+    for i, t in enumerate(texts):
+        assert got[i].class_id == min(j for j, u in enumerate(texts) if (u or "") == (t or "")) and got[i].n_chars == len(t or "")
+        if not t:
+            assert got[i].fingerprint == got[i].edited_fingerprint == "00" * 256 and got[i].near_edited == 1.0
+
+
 # ---- 6 ---------------------------------------------------------------------
 
 
