@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.scratch import few
+from ..sources.scratch import few, written
 from .corpus import ESTIMATE_TYPES, NOTICE_TYPES, REFERENCE_TYPES, SUPERSEDED_STATUS
+from .matching import WORDLIKE, contained, segmented
 
 K1, B = 1.5, 0.75
 #: Term tables of questions up to so many rows (some 50 bytes each) are broadcast to the postings.
@@ -35,34 +36,50 @@ def content_tokens(text: str | Column) -> Column:
     return F.filter(tokens(text), lambda t: ~t.isin(*STOP))
 
 
-def postings(chunks: DataFrame) -> DataFrame:
+def said(texts: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """The rows of ``texts`` with the tokens of their text as ``said``: by ``tokens``, or with Chinese cut by a dictionary of ``words``."""
+    return texts.withColumn("said", tokens("text")) if words is None else segmented(texts, words)
+
+
+def _saturation() -> Column:
+    """What a posting's tf and len give, before idf and weight."""
+    return F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+
+
+def postings(chunks: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """chunk_id, doc_id, term, tf, len (tokens of the chunk, one at least), from chunk_id, doc_id, text.
 
-    Texts are tokenised once; counts are partial before the shuffle.
+    Texts are tokenised once, by a dictionary if ``words`` is one; counts are partial before the shuffle.
     """
-    said = chunks.select("chunk_id", "doc_id", tokens("text").alias("said"))
-    each = said.select("chunk_id", "doc_id", F.greatest(F.size("said"), F.lit(1)).cast("long").alias("len"), F.explode("said").alias("term"))
+    cut = said(chunks.select("chunk_id", "doc_id", "text"), words)
+    each = cut.select("chunk_id", "doc_id", F.greatest(F.size("said"), F.lit(1)).cast("long").alias("len"), F.explode("said").alias("term"))
     return each.groupBy("chunk_id", "doc_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")).select("chunk_id", "doc_id", "term", "tf", "len")
 
 
-def statistics(chunks: DataFrame) -> DataFrame:
+def statistics(chunks: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """One row: number of chunks and average length."""
-    return chunks.select(F.greatest(F.size(tokens("text")), F.lit(1)).cast("long").alias("len")).agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("len").alias("avg_len"))
+    return said(chunks.select("text"), words).select(F.greatest(F.size("said"), F.lit(1)).cast("long").alias("len")).agg(F.count(F.lit(1)).alias("n_chunks"), F.avg("len").alias("avg_len"))
 
 
 @dataclass
 class Index:
-    """An index of chunks: postings, the document frequency of terms, and one row of statistics."""
+    """An index of chunks: postings, the document frequency of terms, one row of statistics, the most a term gives in a document (``blocks``), and the dictionary that cut its texts, if any."""
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    blocks: DataFrame
+    words: DataFrame | None = None
 
     @staticmethod
-    def build(chunks: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, label: df) -> Index:
+    def build(chunks: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, label: df, words: DataFrame | None = None) -> Index:
         """``keep`` writes each table, so that searches tokenise no chunk again; postings are sorted by term, for files to be skipped."""
-        made = keep(postings(chunks).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"), "postings")
-        return Index(made, keep(made.groupBy("term").agg(F.count(F.lit(1)).alias("df")), "terms"), keep(statistics(chunks), "statistics"))
+        made = keep(postings(chunks, words).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"), "postings")
+        stats = keep(statistics(chunks, words), "statistics")
+        part = made.crossJoin(F.broadcast(stats.select("avg_len"))).select("term", "doc_id", _saturation().alias("top"))
+        blocks = keep(part.groupBy("term", "doc_id").agg(F.max("top").alias("top"), F.count(F.lit(1)).alias("n")).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "blocks")
+        terms = keep(blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("top").alias("top")), "terms")
+        return Index(made, terms, stats, blocks, words)
 
 
 def _index(source: Index | DataFrame) -> Index:
@@ -79,9 +96,9 @@ def document_frequency(source: Index | DataFrame) -> DataFrame:
     return index.terms.crossJoin(F.broadcast(index.stats.select("n_chunks"))).select("term", "df", idf(F.col("n_chunks"), F.col("df")).alias("idf"))
 
 
-def query_weights(queries: DataFrame) -> DataFrame:
+def query_weights(queries: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """query_id, term, weight: repeats add, single characters count little."""
-    each = queries.select("query_id", F.explode(tokens("text")).alias("term"))
+    each = said(queries.select("query_id", "text"), words).select("query_id", F.explode("said").alias("term"))
     weight = F.when(F.length("term") == 1, WEIGHTS["single_char"]).otherwise(1.0)
     return each.groupBy("query_id", "term").agg(F.sum(weight).alias("weight"))
 
@@ -102,7 +119,8 @@ def bm25_parts(weights: DataFrame, source: Index | DataFrame) -> DataFrame:
 
 def bm25(queries: DataFrame, source: Index | DataFrame) -> DataFrame:
     """Score of each chunk for each query, rounded to four places, so that ranks do not hang on the order of sums."""
-    parts = bm25_parts(query_weights(queries), source)
+    index = _index(source)
+    parts = bm25_parts(query_weights(queries, index.words), index)
     return parts.groupBy("query_id", "doc_id", "chunk_id").agg(F.round(F.sum("part"), 4).alias("score"))
 
 
@@ -188,6 +206,50 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def top_chunks(queries: DataFrame, source: Index | DataFrame, k: int) -> DataFrame:
+    """The rows of ``top_k(best_chunks(with_prior(bm25(queries, source))), k)``, without a score for every chunk: query_id, doc_id, chunk_id, score, rank.
+
+    A document ranks by its best chunk, which no sum of its ``blocks`` falls short of. Each question's rarest terms, with half of what its terms
+    can give, propose 4k documents; the k-th best of these, scored in full, is a threshold that the first k reach. Terms that together stay under
+    it need not be looked up: a document without any other term cannot reach it. Of the others, those whose bound, with all that
+    the left-out terms could add, reaches the threshold are scored in full. Nothing is lost, ties included.
+    """
+    index = _index(source)
+    given = query_weights(queries, index.words)
+    small = few(given, BROADCAST_TERMS)
+    side = (lambda df: F.broadcast(df)) if small else (lambda df: df.hint("merge"))
+    known = given.join(document_frequency(index).join(index.terms.select("term", "top").hint("merge"), "term").hint("merge"), "term")
+    known = written(known.select("query_id", "term", "idf", "weight", (F.col("idf") * F.col("weight")).alias("w"), (F.col("idf") * F.col("weight") * F.col("top")).alias("bound")), "query-terms")
+    mine, margin = Window.partitionBy("query_id"), 0.001
+
+    def bounds(terms: DataFrame) -> DataFrame:
+        met = index.blocks.join(side(terms), "term")
+        return met.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("top")).alias("bound"))
+
+    def best(pairs: DataFrame) -> DataFrame:
+        """The best chunk of each pair of a query and a document, scored in full."""
+        pairs = written(pairs.select("query_id", "doc_id"), "pairs")
+        asked = pairs.join(known.select("query_id", "term", "idf", "weight").hint("merge"), "query_id")
+        asked = F.broadcast(asked) if few(asked, BROADCAST_TERMS) else asked.hint("merge")
+        hits = index.postings.join(asked, ["term", "doc_id"]).crossJoin(F.broadcast(index.stats.select("avg_len")))
+        part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+        scores = hits.groupBy("query_id", "doc_id", "chunk_id").agg(F.round(F.sum(part * F.col("weight")), 4).alias("score"))
+        return scores.groupBy("query_id", "doc_id").agg(F.min_by(F.struct("score", "chunk_id"), F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("b")).select("query_id", "doc_id", "b.*")
+
+    before = F.sum("bound").over(mine.orderBy(F.desc("w"), "term").rowsBetween(Window.unboundedPreceding, -1))
+    rare = known.withColumn("before", F.coalesce(before, F.lit(0.0))).withColumn("all", F.sum("bound").over(mine)).where("before < all / 2").select("query_id", "term", "w")
+    guess = bounds(rare).withColumn("r", F.row_number().over(mine.orderBy(F.desc("bound"), "doc_id"))).where(F.col("r") <= 4 * k)
+    kth = best(guess).withColumn("r", F.row_number().over(mine.orderBy(F.desc("score")))).where(F.col("r") == k).select("query_id", (F.col("score") - margin).alias("threshold"))
+    judged = known.join(kth.hint("merge"), "query_id", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.0)))
+    judged = judged.withColumn("under", F.sum("bound").over(mine.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)))
+    judged = written(judged.withColumn("left_out", F.when(F.col("under") < F.col("threshold"), F.col("bound"))), "judged-terms")
+    slack = judged.groupBy("query_id").agg(F.max("threshold").alias("threshold"), F.coalesce(F.sum("left_out"), F.lit(0.0)).alias("slack"))
+    reach = bounds(judged.where("left_out is null").select("query_id", "term", "w")).join(side(slack), "query_id").where(F.col("bound") + F.col("slack") >= F.col("threshold"))
+    whole = F.round(F.col("score") * 10000).cast("long")
+    ranked = best(reach).withColumn("score", (100 * whole + int(100 * WEIGHTS["prior"]) * whole) / 1000000.0)
+    return top_k(ranked, k)
+
+
 def relative_score(scores: DataFrame) -> DataFrame:
     """The square root of the score over the query's best."""
     return scores.withColumn("relative", F.round(F.sqrt(F.col("score") / F.max("score").over(Window.partitionBy("query_id"))), 4))
@@ -253,31 +315,38 @@ def distinctive_tokens(aliases: DataFrame) -> DataFrame:
     return each.groupBy("token").agg(F.min("canonical").alias("canonical"), F.max("canonical").alias("_m")).where("canonical = _m").drop("_m")
 
 
+def _named(texts: DataFrame, table: DataFrame) -> DataFrame:
+    """text_id, canonical, name, pos, word_pos for a table of canonical and name."""
+    low = table.select("canonical", F.lower("name").alias("name")).distinct()
+    return contained(texts.select("text_id", "text"), low).join(low.hint("merge"), "name")
+
+
 def mentions(texts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """text_id, canonical, first position for aliases contained in a text.
+    """text_id, canonical, first position for aliases contained in a text, also inside a longer word."""
+    met = _named(texts, aliases.select("canonical", F.col("alias").alias("name")))
+    return met.groupBy("text_id", "canonical").agg(F.min("pos").alias("pos"))
 
-    Texts and aliases meet on a shared token first, so no text is held against every alias.
-    """
-    keyed = aliases.withColumn("token", F.get(tokens("alias"), F.lit(0))).where("token is not null")
-    by_token = texts.select("text_id", "text", F.explode(F.array_distinct(tokens("text"))).alias("token"))
-    met = by_token.join(keyed.hint("merge"), "token").withColumn("pos", F.instr(F.lower("text"), F.lower("alias"))).where("pos > 0")
-    return met.groupBy("text_id", "canonical").agg(F.min("pos").cast("long").alias("pos"))
+
+def strict_mentions(texts: DataFrame, aliases: DataFrame) -> DataFrame:
+    """text_id, canonical for documents: Latin aliases of three or more characters and distinctive tokens as whole words, other aliases wherever they stand."""
+    long = F.length(F.replace("alias", F.lit(" "), F.lit(""))) >= 3
+    names = aliases.where(long | ~F.lower("alias").rlike(WORDLIKE)).select("canonical", F.col("alias").alias("name"))
+    tokens_of = distinctive_tokens(aliases).where("token rlike '^[a-z0-9]+$'").select("canonical", F.col("token").alias("name"))
+    return _named(texts, names.unionByName(tokens_of)).where("word_pos is not null").select("text_id", "canonical").distinct()
 
 
 def partial_mentions(texts: DataFrame, aliases: DataFrame, least: float = 0.6) -> DataFrame:
     """text_id, canonical where a text holds at least ``least`` of an alias's tokens, or a prefix of it of three or more characters, short of the whole.
 
-    A text that holds such a prefix holds its first three characters: texts and aliases meet on those.
+    A text that holds such a prefix holds its first three characters: those are looked for.
     """
     own = aliases.select("canonical", "alias", F.array_distinct(tokens("alias")).alias("tokens")).withColumn("n", F.size("tokens"))
     each = own.where("n > 0").select("canonical", "alias", "n", F.explode("tokens").alias("token"))
     said = texts.select("text_id", F.explode(F.array_distinct(tokens("text"))).alias("token"))
     share = said.join(each.hint("merge"), "token").groupBy("text_id", "canonical", "alias", "n").agg(F.count(F.lit(1)).alias("k"))
     by_share = share.where(F.col("k") / F.col("n") >= least).select("text_id", "canonical")
-    low = F.lower("text")
-    grams = F.when(F.length(low) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(low) - 2), lambda i: F.substring(low, i, F.lit(3)))))
-    heads = aliases.where("length(alias) > 3").select("canonical", F.substring(F.lower("alias"), 1, 3).alias("gram")).distinct()
-    by_prefix = texts.select("text_id", F.explode(grams).alias("gram")).join(heads.hint("merge"), "gram").select("text_id", "canonical")
+    heads = aliases.where("length(alias) > 3").select("canonical", F.substring("alias", 1, 3).alias("name"))
+    by_prefix = _named(texts, heads).select("text_id", "canonical")
     return by_share.unionByName(by_prefix).distinct()
 
 
@@ -289,8 +358,8 @@ def expand_query(queries: DataFrame, aliases: DataFrame) -> DataFrame:
 
 
 def expanded_tokens(chunks: DataFrame, aliases: DataFrame) -> DataFrame:
-    """chunk_id, tokens: a chunk's tokens, and those of the canonicals it names."""
-    named = mentions(chunks.select(F.col("chunk_id").alias("text_id"), "text"), aliases)
+    """chunk_id, tokens: a chunk's tokens, and those of the canonicals it names in the strict sense."""
+    named = strict_mentions(chunks.select(F.col("chunk_id").alias("text_id"), "text"), aliases)
     more = named.groupBy("text_id").agg(F.flatten(F.sort_array(F.collect_list(tokens("canonical")))).alias("more"))
     joined = chunks.join(more.hint("merge"), F.col("chunk_id") == F.col("text_id"), "left")
     return joined.select("chunk_id", F.concat(tokens("text"), F.coalesce("more", F.array().cast("array<string>"))).alias("tokens"))

@@ -94,20 +94,35 @@ def e04(spark, d):
     return E.allowed_numbers(a, e)
 
 
-_COVERS_SQL = f"(SELECT DISTINCT a.id, a.value, receipt_id {_NEAR})"
+#: A customer's turn: the quantities of its returned lines are to be shown; each of its orders is a data call that brings four numbers a line.
+_CALLS_SQL = """SELECT o_custkey AS turn_id, 'D' || o_orderkey AS receipt_id, CASE WHEN any_value(o_orderpriority) LIKE '1%' THEN 2 ELSE 0 END + CASE WHEN any_value(o_orderstatus) = 'F' THEN 1 ELSE 0 END AS scope,
+  least(count(DISTINCT l_suppkey), 3) AS specific, 4 * count(*) AS size FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_custkey, o_orderkey"""
 
 
 @query(
     "E03_minimal_evidence",
-    f"WITH c AS {_COVERS_SQL}, n AS (SELECT id, receipt_id, count(*) AS n FROM c GROUP BY ALL), o AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY n DESC, receipt_id) AS r FROM n), "
-    "f AS (SELECT c.id, o.receipt_id, o.r, c.value, min(o.r) OVER (PARTITION BY c.id, c.value) AS first FROM c JOIN o ON c.id = o.id AND c.receipt_id = o.receipt_id), k AS (SELECT DISTINCT id, receipt_id, r FROM f WHERE r = first) "
-    "SELECT id AS turn_id, receipt_id, CAST(row_number() OVER (PARTITION BY id ORDER BY r) AS INTEGER) AS pick FROM k UNION ALL "
-    f"SELECT id, receipt_id, CAST(row_number() OVER (PARTITION BY id ORDER BY receipt_id) AS INTEGER) FROM (SELECT DISTINCT id, receipt_id FROM ({_EVIDENCE_SQL}) WHERE id NOT IN (SELECT id FROM c)) QUALIFY row_number() OVER (PARTITION BY id ORDER BY receipt_id) <= 3",
+    f"""WITH RECURSIVE calls AS ({_CALLS_SQL}), said AS (SELECT DISTINCT o_custkey AS turn_id, CAST(l_quantity AS DOUBLE) AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE l_returnflag = 'R'),
+  has AS (SELECT turn_id, receipt_id, list(value) AS v FROM (SELECT DISTINCT o_custkey AS turn_id, 'D' || o_orderkey AS receipt_id, CAST(l_quantity AS DOUBLE) AS value FROM orders JOIN lineitem ON l_orderkey = o_orderkey) SEMI JOIN said USING (turn_id, value) GROUP BY ALL),
+  known AS (SELECT calls.*, coalesce(v, []) AS v FROM calls LEFT JOIN has USING (turn_id, receipt_id)),
+  queue AS (SELECT *, row_number() OVER (PARTITION BY turn_id ORDER BY len(v) DESC, scope DESC, specific DESC, size, receipt_id) AS place, row_number() OVER (PARTITION BY turn_id ORDER BY scope DESC, specific DESC, size, receipt_id) AS other FROM known),
+  fold AS (SELECT DISTINCT turn_id, CAST(0 AS BIGINT) AS place, []::DOUBLE[] AS taken, CAST(60 AS BIGINT) AS room, NULL::VARCHAR AS receipt_id FROM calls UNION ALL
+    SELECT turn_id, place, CASE WHEN ok THEN list_concat(taken, v) ELSE taken END, CASE WHEN ok THEN room - size ELSE room END, CASE WHEN ok THEN receipt_id END
+    FROM (SELECT q.*, f.taken, f.room, q.size <= f.room AND len(list_filter(q.v, lambda x: NOT list_contains(f.taken, x))) > 0 AS ok FROM fold f JOIN queue q ON q.turn_id = f.turn_id AND q.place = f.place + 1)),
+  needed AS (SELECT turn_id, receipt_id, place FROM fold WHERE receipt_id IS NOT NULL),
+  spare AS (SELECT DISTINCT turn_id, CAST(0 AS BIGINT) AS place, CAST(60 AS BIGINT) AS room, NULL::VARCHAR AS receipt_id FROM calls ANTI JOIN needed USING (turn_id) UNION ALL
+    SELECT turn_id, other, CASE WHEN size <= room THEN room - size ELSE room END, CASE WHEN size <= room THEN receipt_id END FROM (SELECT q.*, s.room FROM spare s JOIN queue q ON q.turn_id = s.turn_id AND q.other = s.place + 1 AND q.other <= 3))
+  SELECT turn_id, receipt_id, CAST(row_number() OVER (PARTITION BY turn_id ORDER BY place) AS INTEGER) AS pick FROM (SELECT * FROM needed UNION ALL SELECT turn_id, receipt_id, place FROM spare WHERE receipt_id IS NOT NULL)""",
 )
 def e03(spark, d):
-    covers = E.supported(_values(spark, d), _evidence(spark, d), ["id"])
-    receipts = _evidence(spark, d).select(F.col("id").alias("turn_id"), "receipt_id").distinct().withColumns({"scope": F.lit(0), "specific": F.lit(0), "size": F.lit(1)})
-    return E.minimal_evidence(receipts, covers.withColumnRenamed("id", "turn_id"))
+    o, lines = spark.read.parquet(f"{d}/orders.parquet"), spark.read.parquet(f"{d}/lineitem.parquet")
+    sold = lines.join(o, F.col("l_orderkey") == F.col("o_orderkey"))
+    keys = [F.col("o_custkey").alias("turn_id"), F.concat(F.lit("D"), "o_orderkey").alias("receipt_id")]
+    brought = sold.select(*keys, "o_orderpriority", "o_orderstatus", "l_suppkey", "l_returnflag", F.col("l_quantity").cast("double").alias("value"))
+    scope = F.when(F.first("o_orderpriority").startswith("1"), 2).otherwise(0) + F.when(F.first("o_orderstatus") == "F", 1).otherwise(0)
+    calls = brought.groupBy("turn_id", "receipt_id").agg(scope.alias("scope"), F.least(F.count_distinct("l_suppkey"), F.lit(3)).alias("specific"), (4 * F.count(F.lit(1))).alias("size"))
+    said = brought.where("l_returnflag = 'R'").select("turn_id", "value").distinct()
+    covers = E.supported(said, brought.select("turn_id", "receipt_id", "value").distinct(), ["turn_id"])
+    return E.minimal_evidence(calls, covers)
 
 
 @query("E01_receipts", "SELECT conv_id AS turn_id, turn AS seq, CASE WHEN role = 'user' THEN 'D' ELSE 'K' END || row_number() OVER (PARTITION BY conv_id, role = 'user' ORDER BY turn) AS receipt_id FROM conversations")

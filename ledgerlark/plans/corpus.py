@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus as C
 from ..operators import search as R
-from ..sources.scratch import built_once, written
+from ..sources.scratch import built_once, files_state
 from .registry import query
 
 _TYPES = ["通知", "政策", "周报", "手册", "总表", "报告", "会议纪要", "名录"]
@@ -45,18 +45,8 @@ def line_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 def index_of(spark: SparkSession, d: str) -> R.Index:
     """The index of all line chunks, written at its first use."""
-    files = tuple(spark.read.parquet(f"{d}/documents.parquet").inputFiles())
-    made: list[R.Index] = []
-
-    def table(name: str) -> DataFrame:
-        def build() -> DataFrame:
-            if not made:
-                made.append(R.Index.build(line_chunks(spark, d), written))
-            return getattr(made[0], name)
-
-        return built_once(spark, (name, d, files), build)
-
-    return R.Index(table("postings"), table("terms"), table("stats"))
+    state = files_state(spark, [f"{d}/documents.parquet"])
+    return R.Index.build(line_chunks(spark, d), lambda df, label: built_once(spark, (label, d), state, lambda: df))
 
 
 def questions(spark: SparkSession, d: str) -> DataFrame:
@@ -83,7 +73,7 @@ top AS (SELECT query_id, doc_id, chunk_id, score, rank FROM (SELECT *, CAST(row_
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_k(R.best_chunks(R.with_prior(R.bm25(questions(spark, d), index_of(spark, d)))), 5)
+    return R.top_chunks(questions(spark, d), index_of(spark, d), 5)
 
 
 @query("S07_T20_front_matter_metadata", f"SELECT doc_id, title, doc_type, status, CAST(effective_from AS VARCHAR) AS effective_from, superseded_by, stores, stores_explicit FROM ({META_SQL})")
@@ -215,7 +205,7 @@ def _aliases(spark, d):
 
 
 ALIAS_SQL = "SELECT DISTINCT lower(string_split(text, ' ')[1]) AS canonical, lower(string_split(text, ' ')[2]) AS alias FROM benchmark WHERE regexp_full_match(lower(string_split(text, ' ')[2]), '[a-z0-9]+')"
-_MENTIONS = f"SELECT doc_id AS text_id, canonical, CAST(min(instr(lower(text), alias)) AS BIGINT) AS pos FROM documents JOIN ({ALIAS_SQL}) a ON list_contains({TOKENS}, alias) GROUP BY ALL"
+_MENTIONS = f"SELECT doc_id AS text_id, canonical, CAST(min(instr(lower(text), alias)) AS BIGINT) AS pos FROM documents JOIN ({ALIAS_SQL}) a ON contains(lower(text), alias) GROUP BY ALL"
 
 
 @query("J11_U06_alias_mentions", _MENTIONS)
@@ -234,12 +224,16 @@ def t13(spark, d):
     return R.partial_mentions(questions(spark, d).select(F.col("query_id").alias("text_id"), "text"), aliases)
 
 
-@query("U02_query_expansion", f"SELECT DISTINCT query_id, b.alias AS variant FROM ({QUESTIONS_SQL}) q JOIN ({ALIAS_SQL}) a ON list_contains({TOKENS}, a.alias) JOIN ({ALIAS_SQL}) b ON a.canonical = b.canonical WHERE instr(lower(q.text), b.alias) = 0")
+@query("U02_query_expansion", f"SELECT DISTINCT query_id, b.alias AS variant FROM ({QUESTIONS_SQL}) q JOIN ({ALIAS_SQL}) a ON contains(lower(q.text), a.alias) JOIN ({ALIAS_SQL}) b ON a.canonical = b.canonical WHERE instr(lower(q.text), b.alias) = 0")
 def u02(spark, d):
     return R.expand_query(questions(spark, d), _aliases(spark, d))
 
 
-@query("T14_expanded_tokens", f"SELECT q.query_id AS chunk_id, array_to_string(list_concat({TOKENS}, coalesce(more, [])), ' ') AS tokens FROM ({QUESTIONS_SQL}) q LEFT JOIN (SELECT query_id, flatten(list(m ORDER BY m)) AS more FROM (SELECT DISTINCT query_id, canonical, regexp_extract_all(canonical, '[a-z0-9]+') AS m FROM ({QUESTIONS_SQL}) q JOIN ({ALIAS_SQL}) a ON list_contains({TOKENS}, alias)) GROUP BY query_id) x ON q.query_id = x.query_id")
+#: Aliases of three or more characters, and tokens of four or more that one canonical alone owns.
+_STRICT_SQL = f"SELECT canonical, alias AS name FROM ({ALIAS_SQL}) WHERE length(alias) >= 3 UNION SELECT min(canonical), alias FROM ({ALIAS_SQL}) WHERE length(alias) >= 4 GROUP BY alias HAVING min(canonical) = max(canonical)"
+
+
+@query("T14_expanded_tokens", f"SELECT q.query_id AS chunk_id, array_to_string(list_concat({TOKENS}, coalesce(more, [])), ' ') AS tokens FROM ({QUESTIONS_SQL}) q LEFT JOIN (SELECT query_id, flatten(list(m ORDER BY m)) AS more FROM (SELECT DISTINCT query_id, canonical, regexp_extract_all(canonical, '[a-z0-9]+') AS m FROM ({QUESTIONS_SQL}) q JOIN ({_STRICT_SQL}) a ON list_contains({TOKENS}, name)) GROUP BY query_id) x ON q.query_id = x.query_id")
 def t14(spark, d):
     got = R.expanded_tokens(questions(spark, d).withColumnRenamed("query_id", "chunk_id"), _aliases(spark, d))
     return got.select("chunk_id", F.array_join("tokens", " ").alias("tokens"))
@@ -290,7 +284,7 @@ def a22(spark, d):
     return R.vocabulary_coverage(questions(spark, d), index_of(spark, d))
 
 
-@query("A20_concept_scores", INDEX_SQL + f", a AS ({ALIAS_SQL}), named AS (SELECT DISTINCT query_id, canonical FROM questions JOIN a ON list_contains({TOKENS}, alias)), v AS (SELECT DISTINCT n.query_id, n.canonical, a.alias FROM named n JOIN a ON n.canonical = a.canonical), s AS (SELECT alias, p.chunk_id, round(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len)), 4) AS score FROM (SELECT DISTINCT alias FROM v) x JOIN postings p ON p.term = x.alias JOIN terms t ON t.term = p.term JOIN lengths l ON l.chunk_id = p.chunk_id, stats) SELECT query_id, chunk_id, round(sum(score), 4) AS concept_score FROM (SELECT query_id, canonical, chunk_id, max(score) AS score FROM v JOIN s ON v.alias = s.alias GROUP BY ALL) GROUP BY ALL")
+@query("A20_concept_scores", INDEX_SQL + f", a AS ({ALIAS_SQL}), named AS (SELECT DISTINCT query_id, canonical FROM questions JOIN a ON contains(lower(text), alias)), v AS (SELECT DISTINCT n.query_id, n.canonical, a.alias FROM named n JOIN a ON n.canonical = a.canonical), s AS (SELECT alias, p.chunk_id, round(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len)), 4) AS score FROM (SELECT DISTINCT alias FROM v) x JOIN postings p ON p.term = x.alias JOIN terms t ON t.term = p.term JOIN lengths l ON l.chunk_id = p.chunk_id, stats) SELECT query_id, chunk_id, round(sum(score), 4) AS concept_score FROM (SELECT query_id, canonical, chunk_id, max(score) AS score FROM v JOIN s ON v.alias = s.alias GROUP BY ALL) GROUP BY ALL")
 def a20(spark, d):
     return R.concept_scores(questions(spark, d), index_of(spark, d), _aliases(spark, d))
 

@@ -53,12 +53,12 @@ SHAPE_SQL = f"net_cents / 100.0 AS net_revenue, refund_cents / 100.0 AS refund_a
 
 def flagged_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parsed and flagged lines, written at their first use: every field is parsed once a session."""
-    return built_once(spark, ("flagged", sf_dir, S.files(spark, sf_dir)), lambda: C.flag(S.raw_sales(spark, sf_dir), S.stores(spark, sf_dir), S.products(spark, sf_dir)))
+    return built_once(spark, ("flagged", sf_dir), S.state(spark, sf_dir), lambda: C.flag(S.raw_sales(spark, sf_dir), S.stores(spark, sf_dir), S.products(spark, sf_dir)))
 
 
 def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clean table (S10), written at its first use; the metrics read it."""
-    return built_once(spark, ("lines", sf_dir, S.files(spark, sf_dir)), lambda: C.clean_flagged(flagged_of(spark, sf_dir)))
+    return built_once(spark, ("lines", sf_dir), S.state(spark, sf_dir), lambda: C.clean_flagged(flagged_of(spark, sf_dir)))
 
 
 @query("S01_raw_sales", f"SELECT * FROM ({S.RAW_SALES_SQL})")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .scratch import files_state
+
 FACTS = ["order_id", "date", "store_id", "product_id", "qty", "amount", "payment"]
 FACT_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in FACTS])
 
@@ -41,9 +43,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def files(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
-    """The files behind the facts and dimensions."""
-    return tuple(sorted(f for t in ("lineitem", "orders", "supplier", "nation", "region", "part") for f in _table(spark, sf_dir, t).inputFiles()))
+def state(spark: SparkSession, sf_dir: str) -> str:
+    """A name of the files behind the facts and dimensions, as they are now."""
+    return files_state(spark, [f"{sf_dir}/{t}.parquet" for t in ("lineitem", "orders", "supplier", "nation", "region", "part")])
 
 
 def read_facts(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

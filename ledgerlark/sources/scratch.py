@@ -8,8 +8,10 @@ from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-_BUILT: dict[tuple, tuple[str, object]] = {}
+_BUILT: dict[tuple, tuple[str, str, StructType]] = {}
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -30,18 +32,32 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def built_once(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    """The written table of ``build``, made at its first use in a session; ``key`` names its inputs, files included."""
+def files_state(spark: SparkSession, paths: list[str]) -> str:
+    """A name of the files under some paths as they are now: their places, lengths and times of change. No content is read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    one = F.xxhash64("path", "length", "modificationTime").cast("decimal(20,0)")
+    n, size, mark = listed.select(F.col("length"), one.alias("h")).agg(F.count(F.lit(1)), F.sum("length"), F.sum("h")).first()
+    return f"{n}-{size}-{mark}"
+
+
+def built_once(spark: SparkSession, key: tuple, state: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The written table of ``build``, made at its first use in a session and again when its inputs have changed.
+
+    ``key`` names the table, ``state`` its inputs (see ``files_state``). A table that is made again
+    leaves the one before it empty, so that it no longer takes room.
+    """
     key = (spark.sparkContext.applicationId, *key)
-    if key in _BUILT:
-        path, schema = _BUILT[key]
+    before = _BUILT.get(key)
+    if before and before[0] == state:
         try:
-            return spark.read.schema(schema).parquet(path)
+            return spark.read.schema(before[2]).parquet(before[1])
         except AnalysisException:
-            del _BUILT[key]  # the folder was cleared
+            before = None  # the folder was cleared
     df, path = build(), scratch_path(spark, str(key[1]))
     df.write.parquet(path)
-    _BUILT[key] = path, df.schema
+    _BUILT[key] = state, path, df.schema
+    if before:
+        spark.createDataFrame([], before[2]).write.mode("overwrite").parquet(before[1])
     return spark.read.schema(df.schema).parquet(path)
 
 
