@@ -17,6 +17,8 @@ K1, B = 1.5, 0.75
 BROADCAST_TERMS = 500_000
 #: Scopes judged at once; more are judged in several passes.
 SCOPES = 1_000
+#: Terms are left out of a search while all they can give stays under this part of the threshold.
+LEFT_OUT = 0.5
 #: The weights of the ranking.
 WEIGHTS = {"single_char": 0.3, "year": 0.25, "future": 0.6, "store": 1.15, "window": 1.8, "prior": 0.35, "alias_doc": 0.5, "estimate": 0.7, "notice": 1.2, "reference": 0.7, "superseded": 1.6, "current": 0.8}
 STOP = ["the", "a", "an", "of", "and", "or", "to", "in", "is", "it", "for", "on", "的", "了", "在", "是", "和", "吗", "呢"]
@@ -209,44 +211,59 @@ def top_k(scores: DataFrame, k: int) -> DataFrame:
 def top_chunks(queries: DataFrame, source: Index | DataFrame, k: int) -> DataFrame:
     """The rows of ``top_k(best_chunks(with_prior(bm25(queries, source))), k)``, without a score for every chunk: query_id, doc_id, chunk_id, score, rank.
 
-    A document ranks by its best chunk, which no sum of its ``blocks`` falls short of. Each question's rarest terms, with half of what its terms
-    can give, propose 4k documents; the k-th best of these, scored in full, is a threshold that the first k reach. Terms that together stay under
-    it need not be looked up: a document without any other term cannot reach it. Of the others, those whose bound, with all that
-    the left-out terms could add, reaches the threshold are scored in full. Nothing is lost, ties included.
+    A document ranks by its best chunk. Each question's rarest terms, with half of what its terms can give, propose 4k documents by the most that each term
+    gives in them (``blocks``); the k-th best of these is a threshold that the first k reach. Terms that together stay under a part of it are
+    left out at first: the others are summed by chunk, and only chunks that reach the threshold with all that the left-out terms can add go on.
+    The best of these raise the threshold once more; what still reaches it gets what the left-out terms give. Nothing is lost, ties included.
     """
     index = _index(source)
     given = query_weights(queries, index.words)
     small = few(given, BROADCAST_TERMS)
     side = (lambda df: F.broadcast(df)) if small else (lambda df: df.hint("merge"))
+    mine, margin, length = Window.partitionBy("query_id"), 0.001, index.stats.select("avg_len")
     known = given.join(document_frequency(index).join(index.terms.select("term", "top").hint("merge"), "term").hint("merge"), "term")
-    known = written(known.select("query_id", "term", "idf", "weight", (F.col("idf") * F.col("weight")).alias("w"), (F.col("idf") * F.col("weight") * F.col("top")).alias("bound")), "query-terms")
-    mine, margin = Window.partitionBy("query_id"), 0.001
-
-    def bounds(terms: DataFrame) -> DataFrame:
-        met = index.blocks.join(side(terms), "term")
-        return met.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("top")).alias("bound"))
+    known = known.select("query_id", "term", "idf", "weight", (F.col("idf") * F.col("weight")).alias("w"), (F.col("idf") * F.col("weight") * F.col("top")).alias("bound"))
+    before = F.sum("bound").over(mine.orderBy(F.desc("w"), "term").rowsBetween(Window.unboundedPreceding, -1))
+    known = written(known.withColumn("rare", F.coalesce(before, F.lit(0.0)) < F.sum("bound").over(mine) / 2), "query-terms")
 
-    def best(pairs: DataFrame) -> DataFrame:
-        """The best chunk of each pair of a query and a document, scored in full."""
-        pairs = written(pairs.select("query_id", "doc_id"), "pairs")
-        asked = pairs.join(known.select("query_id", "term", "idf", "weight").hint("merge"), "query_id")
+    def given_by(pairs: DataFrame, key: str, terms: DataFrame) -> DataFrame:
+        """query_id, doc_id, chunk_id, more: what terms give to the chunks of pairs of a query and a document or chunk."""
+        asked = pairs.select("query_id", key).join(terms.select("query_id", "term", "idf", "weight").hint("merge"), "query_id")
         asked = F.broadcast(asked) if few(asked, BROADCAST_TERMS) else asked.hint("merge")
-        hits = index.postings.join(asked, ["term", "doc_id"]).crossJoin(F.broadcast(index.stats.select("avg_len")))
-        part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-        scores = hits.groupBy("query_id", "doc_id", "chunk_id").agg(F.round(F.sum(part * F.col("weight")), 4).alias("score"))
-        return scores.groupBy("query_id", "doc_id").agg(F.min_by(F.struct("score", "chunk_id"), F.struct((-F.col("score")).alias("s"), "chunk_id")).alias("b")).select("query_id", "doc_id", "b.*")
-
-    before = F.sum("bound").over(mine.orderBy(F.desc("w"), "term").rowsBetween(Window.unboundedPreceding, -1))
-    rare = known.withColumn("before", F.coalesce(before, F.lit(0.0))).withColumn("all", F.sum("bound").over(mine)).where("before < all / 2").select("query_id", "term", "w")
-    guess = bounds(rare).withColumn("r", F.row_number().over(mine.orderBy(F.desc("bound"), "doc_id"))).where(F.col("r") <= 4 * k)
-    kth = best(guess).withColumn("r", F.row_number().over(mine.orderBy(F.desc("score")))).where(F.col("r") == k).select("query_id", (F.col("score") - margin).alias("threshold"))
-    judged = known.join(kth.hint("merge"), "query_id", "left").withColumn("threshold", F.coalesce("threshold", F.lit(0.0)))
-    judged = judged.withColumn("under", F.sum("bound").over(mine.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0)))
-    judged = written(judged.withColumn("left_out", F.when(F.col("under") < F.col("threshold"), F.col("bound"))), "judged-terms")
-    slack = judged.groupBy("query_id").agg(F.max("threshold").alias("threshold"), F.coalesce(F.sum("left_out"), F.lit(0.0)).alias("slack"))
-    reach = bounds(judged.where("left_out is null").select("query_id", "term", "w")).join(side(slack), "query_id").where(F.col("bound") + F.col("slack") >= F.col("threshold"))
-    whole = F.round(F.col("score") * 10000).cast("long")
-    ranked = best(reach).withColumn("score", (100 * whole + int(100 * WEIGHTS["prior"]) * whole) / 1000000.0)
+        hits = index.postings.join(asked, ["term", key]).crossJoin(F.broadcast(length))
+        return hits.groupBy("query_id", "doc_id", "chunk_id").agg(F.sum(F.col("idf") * _saturation() * F.col("weight")).alias("more"))
+
+    def best(scores: DataFrame) -> DataFrame:
+        first = F.min_by(F.struct("score", "chunk_id"), F.struct((-F.col("score")).alias("s"), "chunk_id"))
+        return scores.groupBy("query_id", "doc_id").agg(first.alias("b")).select("query_id", "doc_id", "b.*")
+
+    def kth(scores: DataFrame) -> DataFrame:
+        last = best(scores).withColumn("r", F.row_number().over(mine.orderBy(F.desc("score")))).where(F.col("r") == k)
+        return last.select("query_id", (F.col("score") - margin).alias("threshold"))
+
+    def first_rows(rows: DataFrame, by: str, tie: str) -> DataFrame:
+        return rows.withColumn("r", F.row_number().over(mine.orderBy(F.desc(by), tie))).where(F.col("r") <= 4 * k).drop("r")
+
+    guess = index.blocks.join(side(known.where("rare").select("query_id", "term", "w")), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("top")).alias("bound"))
+    guess = written(first_rows(guess, "bound", "doc_id").select("query_id", "doc_id"), "guess")
+    judged = known.join(kth(given_by(guess, "doc_id", known).withColumnRenamed("more", "score")).hint("merge"), "query_id", "left")
+    under = F.sum("bound").over(mine.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0))
+    judged = judged.withColumn("left_out", F.coalesce(under < LEFT_OUT * F.col("threshold"), F.lit(False)))
+    slack = F.coalesce(F.sum(F.when(F.col("left_out"), F.col("bound"))).over(mine), F.lit(0.0))
+    judged = written(judged.withColumn("slack", slack).withColumn("need", F.coalesce("threshold", F.lit(0.0)) - slack), "judged-terms")
+    sought, rest = judged.where("NOT left_out"), judged.where("left_out")
+    met = index.postings.join(side(sought.select("query_id", "term", "w", "need", "slack")), "term").crossJoin(F.broadcast(length))
+    sums = met.groupBy("query_id", "chunk_id").agg(F.first("doc_id").alias("doc_id"), F.sum(F.col("w") * _saturation()).alias("sum"), F.first("need").alias("need"), F.first("slack").alias("slack"))
+    held = written(sums.where("sum >= need").select("query_id", "doc_id", "chunk_id", "sum", "slack"), "held")
+
+    def whole(rows: DataFrame) -> DataFrame:
+        more = given_by(rows, "chunk_id", rest).select("query_id", "chunk_id", "more")
+        return rows.join(more.hint("merge"), ["query_id", "chunk_id"], "left").withColumn("score", F.round(F.col("sum") + F.coalesce("more", F.lit(0.0)), 4))
+
+    sure = kth(whole(written(first_rows(held, "sum", "chunk_id"), "first")))
+    left = held.join(sure.hint("merge"), "query_id", "left").where(F.col("threshold").isNull() | (F.col("sum") + F.col("slack") >= F.col("threshold"))).drop("threshold")
+    cents = F.round(F.col("score") * 10000).cast("long")
+    ranked = best(whole(written(left, "left"))).withColumn("score", (100 * cents + int(100 * WEIGHTS["prior"]) * cents) / 1000000.0)
     return top_k(ranked, k)
 
 

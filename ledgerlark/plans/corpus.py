@@ -73,7 +73,7 @@ top AS (SELECT query_id, doc_id, chunk_id, score, rank FROM (SELECT *, CAST(row_
 
 
 def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    return R.top_chunks(questions(spark, d), index_of(spark, d), 5)
+    return R.top_k(R.best_chunks(R.with_prior(R.bm25(questions(spark, d), index_of(spark, d)))), 5)
 
 
 @query("S07_T20_front_matter_metadata", f"SELECT doc_id, title, doc_type, status, CAST(effective_from AS VARCHAR) AS effective_from, superseded_by, stores, stores_explicit FROM ({META_SQL})")
@@ -269,6 +269,11 @@ def k03(spark, d):
     return _ranked(spark, d).select("query_id", "doc_id", "chunk_id", "score", "rank")
 
 
+@query("K03_bounded_top_chunks", INDEX_SQL + "SELECT * FROM top")
+def k03_bounded(spark, d):
+    return R.top_chunks(questions(spark, d), index_of(spark, d), 5).select("query_id", "doc_id", "chunk_id", "score", "rank")
+
+
 @query("W05_relative_scores", INDEX_SQL + "SELECT query_id, chunk_id, round(sqrt(score / max(score) OVER (PARTITION BY query_id)), 4) AS relative FROM top")
 def w05(spark, d):
     return R.relative_score(_ranked(spark, d)).select("query_id", "chunk_id", "relative")
