@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .evidence import numbers
@@ -113,6 +113,18 @@ def category_scores(questions: DataFrame) -> DataFrame:
     return got.withColumn("ratio", F.round(F.col("earned") / F.col("points"), 4))
 
 
+def failed_checks(questions: DataFrame, checks: DataFrame, n: int = 20) -> DataFrame:
+    """Category, failed: the names of checks (question_id, name, passed) that some question of the category failed, sorted; the first ``n``.
+
+    Names are made distinct before they are ranked, so a list is bounded by ``n``.
+    """
+    names = checks.where("NOT passed").join(questions.select("question_id", "category").hint("merge"), "question_id").select("category", "name").distinct()
+    first = names.withColumn("r", F.row_number().over(Window.partitionBy("category").orderBy("name"))).where(F.col("r") <= n)
+    lists = first.groupBy("category").agg(F.sort_array(F.collect_list("name")).alias("failed"))
+    every = questions.select("category").distinct()
+    return every.join(lists.hint("merge"), "category", "left").select("category", F.coalesce("failed", F.array().cast("array<string>")).alias("failed"))
+
+
 def latency(rows: DataFrame, by: list[str], column: str) -> DataFrame:
     """Exact median, maximum and total."""
     return rows.groupBy(*by).agg(F.median(column).alias("median"), F.max(column).alias("max"), F.round(F.sum(column), 4).alias("total"))
