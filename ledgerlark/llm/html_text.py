@@ -32,6 +32,12 @@ FURNITURE = frozenset("nav footer aside form header menu button dialog search fi
 BODY = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ITEMS = frozenset("li td th dt dd".split())
+#: What holds so much of a page's own words is no furniture if its name leaves room for doubt: the share, and the least number of words.
+MOST, LEAST = 0.5, 60
+#: Names of reader comments, which may well outgrow the article.
+COMMENT_WORDS = frozenset("comment comments disqus reply replies respond".split())
+_RIGHTS = re.compile(r"^\W*(?:copyright\b|©|\(c\)\s)|\ball rights reserved\b|版权所有|著作权", re.I)
+_CJK = re.compile(r"[\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af]")
 #: Words of class, id and role attributes that name furniture, those that name the article, and those that take a name back.
 FURNITURE_WORDS = frozenset("ad ads advert adverts advertisement banner sponsor sponsored promo promotion nav navbar navigation menu sidebar side widget widgets footer header masthead topbar breadcrumb breadcrumbs cookie cookies consent gdpr notice alert popup modal overlay newsletter subscribe signup login share sharing social related recommended comment comments disqus reply replies respond tags pagination pager toolbar copyright legal complementary contentinfo search".split())
 BODY_WORDS = frozenset("article content post entry story main body text".split())
@@ -66,11 +72,27 @@ def place_of(value: str) -> tuple[bool, bool]:
     return furniture and not plain, body
 
 
+def count_words(text: str) -> int:
+    """Words between blanks; where a script is written without blanks, two of its characters count as one."""
+    wide = len(_CJK.findall(text))
+    return len(text.split()) + wide // 2
+
+
+class Wrapper:
+    """An element that is named as furniture: whether its name is firm (nothing but furniture) or of comments, and what it holds."""
+
+    __slots__ = ("body", "comments", "firm", "kept", "outer", "words")
+
+    def __init__(self, outer: Wrapper | None, firm: bool, comments: bool) -> None:
+        self.outer, self.firm, self.comments, self.words, self.body, self.kept = outer, firm, comments, 0, False, True
+
+
 class Block:
-    __slots__ = ("furniture", "heading", "item", "link_words", "main", "paragraph", "parts", "words")
+    __slots__ = ("furniture", "heading", "item", "link_words", "main", "paragraph", "parts", "words", "wrapper")
 
-    def __init__(self, furniture: bool, main: bool, heading: bool, paragraph: bool, item: bool) -> None:
-        self.furniture, self.main, self.heading, self.paragraph, self.item = furniture, main, heading, paragraph, item
+    def __init__(self, wrapper: Wrapper | None, main: bool, heading: bool, paragraph: bool, item: bool) -> None:
+        self.wrapper, self.main, self.heading, self.paragraph, self.item = wrapper, main, heading, paragraph, item
+        self.furniture = wrapper is not None
         self.parts: list[str] = []
         self.words = self.link_words = 0
 
@@ -137,6 +159,31 @@ class _Tags:
                     yield at, at, "", False, ""
 
 
+def _settle(found: list[tuple[Block, str]], wrappers: list[Wrapper], bodies: int) -> None:
+    """Take the name furniture back from wrappers of doubtful names that hold most of a page's own words, and give it to lines about rights at its end, outside of any article.
+
+    An article or main element outside a wrapper says where the text is, so then the wrapper keeps its name. If no words at all would be left,
+    doubtful names of comments are taken back as well. ``wrappers`` are in the order of their tags, outer ones first.
+    """
+    own = [b.words - min(b.words, b.link_words) for b, _ in found]
+    total = sum(own)
+    for (b, _), n in zip(found, own, strict=True):
+        if b.wrapper:
+            b.wrapper.words += n
+    for w in reversed(wrappers):
+        if w.outer:
+            w.outer.words += w.words
+            w.outer.body |= w.body
+    for comments in (False, True):
+        for w in wrappers:
+            free = not w.firm and w.words >= max(LEAST, MOST * total) and (comments or not w.comments) and (w.body or not bodies)
+            w.kept = not free or (w.outer is not None and w.outer.kept)
+        if any(n for (b, _), n in zip(found, own, strict=True) if not (b.wrapper and b.wrapper.kept)):
+            break
+    for i, (b, text) in enumerate(found):
+        b.furniture = (b.wrapper is not None and b.wrapper.kept) or (i >= len(found) - 3 and i > 0 and b.words <= 30 and not (b.main or b.heading) and bool(_RIGHTS.search(text)))
+
+
 def blocks(page: str) -> list[tuple[Block, str]]:
     """Flat blocks of a page with their text, white space turned into one space."""
     found: list[tuple[Block, str]] = []
@@ -145,13 +192,17 @@ def blocks(page: str) -> list[tuple[Block, str]]:
     opened: Counter[str] = Counter()
     tally = [0] * 7
     now: Block | None = None
+    # Open wrappers, those of the whole page, and article and main elements outside any wrapper.
+    around: list[Wrapper] = []
+    wrappers: list[Wrapper] = []
+    bodies = 0
 
     def close() -> None:
         nonlocal now
         if now is not None:
             text = _GAP.sub(" ", "".join(now.parts)).strip()
             if text:
-                now.words = len(text.split(" "))
+                now.words = count_words(text)
                 found.append((now, text))
         now = None
 
@@ -163,16 +214,18 @@ def blocks(page: str) -> list[tuple[Block, str]]:
         if now is None:
             if not text.strip():
                 return
-            now = Block(tally[2] > 0, tally[3] > 0, tally[4] > 0, tally[5] > 0, tally[6] > 0)
+            now = Block(around[-1] if around else None, tally[3] > 0, tally[4] > 0, tally[5] > 0, tally[6] > 0)
         now.parts.append(text)
         if tally[0]:
-            now.link_words += len(text.split())
+            now.link_words += count_words(text)
 
     def leave() -> str:
         name, marks = stack.pop()
         opened[name] -= 1
         for i, mark in enumerate(marks):
             tally[i] -= mark
+        if marks[2]:
+            around.pop()
         return name
 
     at, raw = 0, False
@@ -193,7 +246,9 @@ def blocks(page: str) -> list[tuple[Block, str]]:
             continue
         if name in VOID or attributes.endswith("/"):
             continue
-        furniture, main, unseen = name in FURNITURE, name in BODY, name in HIDDEN
+        furniture, main, unseen, comments = name in FURNITURE, name in BODY, name in HIDDEN, False
+        # A form may hold a whole page.
+        firm = furniture and name != "form"
         if name == "header" and tally[3]:
             furniture = False
         if attributes:
@@ -203,6 +258,9 @@ def blocks(page: str) -> list[tuple[Block, str]]:
                     unseen = True
                 elif key in ("class", "id", "role") and name not in ("body", "html"):
                     named, body = place_of(value)
+                    words = {x.lower() for x in _PARTS.split(value.replace(" ", "-")) if x}
+                    firm |= named and words <= FURNITURE_WORDS
+                    comments |= named and not COMMENT_WORDS.isdisjoint(words)
                     furniture, main = furniture or (named and name not in BODY), main or body
         if name in ("p", "li", "a") and stack and stack[-1][0] == name:
             leave()
@@ -211,9 +269,17 @@ def blocks(page: str) -> list[tuple[Block, str]]:
             tally[i] += mark
         stack.append((name, marks))
         opened[name] += 1
+        if name in BODY or name == "h1":
+            if around:
+                around[-1].body = True
+            bodies += name in BODY and not around
+        if furniture:
+            around.append(Wrapper(around[-1] if around else None, firm, comments))
+            wrappers.append(around[-1])
     if not raw:
         add(page[at:])
     close()
+    _settle(found, wrappers, bodies)
     return found
 
 

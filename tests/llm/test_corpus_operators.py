@@ -245,6 +245,39 @@ def test_names_are_whole_tokens(name):
     assert html_text.main_text(page.replace(f"<div class='{name}'", "<div class='cookie-notice'")) == ""
 
 
+_LONG = ["".join(R.choice(VOCABULARY[:40]) + " " for _ in range(60)).strip() for _ in range(3)]
+
+
+@pytest.mark.parametrize("name", ["post-share-content", "article-body header-visible", "menu-recipes content-page", "notice-board post-body", "page related-content-off", "layout-sidebar-right", "story-promo-free", "comments-open page"])
+@pytest.mark.parametrize("tag", ["div class='{}'", "section id='{}'", "form class='{}'", "article class='{}'"])
+def test_a_name_around_the_whole_article_does_not_empty_it(name, tag):
+    opened = tag.format(name)
+    body = f"<h1>A title here</h1><p>{_LONG[0]}</p><p>{_LONG[1]} <a href='/x'>more</a></p><p>{_LONG[2]}</p>"
+    page = f"<nav><a>x</a></nav><div class='ad'>Buy this now or never</div><{opened}>{body}</{opened.split()[0]}><footer>bye</footer>"
+    assert html_text.main_text(page) == "\n".join(["A title here", _LONG[0], f"{_LONG[1]} more", _LONG[2]])
+
+
+def test_furniture_may_hold_more_words_than_a_named_article():
+    page = f"<div class='sidebar'><p>{_LONG[0]}</p><p>{_LONG[1]}</p></div><article><h1>Short one</h1><p>Few words.</p></article><div id='comments'><p>{_LONG[2]}</p><p>{_LONG[1]}</p></div>"
+    assert html_text.main_text(page) == "Short one\nFew words."
+    page = f"<div><h1>Short one here</h1><p>{_LONG[0]}</p></div><div id='comments'><p>{_LONG[2]}</p><p>{_LONG[1]}</p><p>{_LONG[1]}</p></div>"
+    assert html_text.main_text(page) == f"Short one here\n{_LONG[0]}"
+
+
+@pytest.mark.parametrize("line", ["Copyright 2024 The Site. All rights reserved.", "© 2024 站点 版权所有", "(c) 2020 Someone", "The Site. All rights reserved."])
+def test_a_line_about_rights_at_the_end_is_no_article(line):
+    body = f"<h1>A title here</h1><p>{_LONG[0]}</p><p>Copyright law changed, all rights reserved or not, says {_LONG[1]}</p><p>{_LONG[2]}</p>"
+    want = html_text.main_text(f"<div>{body}</div>")
+    assert html_text.main_text(f"<div>{body}</div><div>{line}</div>") == want and len(want.split("\n")) == 4
+
+
+def test_words_without_blanks_are_counted():
+    para = "这家店今天的三文鱼断供了所以很多顾客只好点别的东西，" * 4
+    page = f"<ul><li><a>首页</a></li><li><a>新闻</a></li></ul><div><p>{para}</p><p>{para}</p></div><ul><li><a>上一篇</a></li><li><a>下一篇</a></li></ul>"
+    assert html_text.main_text(page) == f"{para}\n{para}"
+    assert html_text.count_words(para) > 40 and html_text.count_words("two words") == 2 and html_text.count_words("") == 0
+
+
 @pytest.mark.parametrize("part", ['<p a="', "<div>", "<", "<!--", "<script>", '<a href="x ', "<b><p></b>", "<p class='a ", "&", "</", '<p "', "<title"])
 def test_broken_pages_take_linear_time(part):
     import time
