@@ -65,23 +65,61 @@ def statistics(chunks: DataFrame, words: DataFrame | None = None) -> DataFrame:
 
 @dataclass
 class Index:
-    """An index of chunks: postings, the document frequency of terms, one row of statistics, the most a term gives in a document (``blocks``), and the dictionary that cut its texts, if any."""
+    """An index of chunks, and the dictionary that cut its texts, if any.
+
+    ``postings`` (chunk_id, doc_id, term, tf, len), ``terms`` (term, df), ``stats`` (n_chunks, avg_len: one row); for each term and document ``blocks`` has its
+    chunks n, their greatest tf and least len, ``terms`` the same over all documents; ``docs`` has a fingerprint, the chunks and the length of each
+    document.
+    """
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
     blocks: DataFrame
+    docs: DataFrame
     words: DataFrame | None = None
 
     @staticmethod
     def build(chunks: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, label: df, words: DataFrame | None = None) -> Index:
         """``keep`` writes each table, so that searches tokenise no chunk again; postings are sorted by term, for files to be skipped."""
-        made = keep(postings(chunks, words).repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"), "postings")
-        stats = keep(statistics(chunks, words), "statistics")
-        part = made.crossJoin(F.broadcast(stats.select("avg_len"))).select("term", "doc_id", _saturation().alias("top"))
-        blocks = keep(part.groupBy("term", "doc_id").agg(F.max("top").alias("top"), F.count(F.lit(1)).alias("n")).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id"), "blocks")
-        terms = keep(blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("top").alias("top")), "terms")
-        return Index(made, terms, stats, blocks, words)
+        made = keep(_sorted(postings(chunks, words)), "postings")
+        extent = [F.max("tf").alias("tf"), F.min("len").alias("len")]
+        blocks = keep(made.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("n"), *extent), "blocks")
+        lengths = said(chunks.select("doc_id", "chunk_id", "text"), words).select("doc_id", _print(), F.greatest(F.size("said"), F.lit(1)).cast("long").alias("len"))
+        docs = keep(lengths.groupBy("doc_id").agg(F.bit_xor("print").alias("print"), F.count(F.lit(1)).alias("chunks"), F.sum("len").alias("len")), "indexed-docs")
+        return Index(made, keep(_terms(blocks), "terms"), keep(_stats(docs), "statistics"), blocks, docs, words)
+
+    def refreshed(self, chunks: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, label: df) -> Index:
+        """The index of ``chunks``, made from this one: only documents whose fingerprint has changed are tokenised.
+
+        Documents that are gone or changed drop out of the tables by an anti join, those that are new or changed come in as a segment of their own, and
+        document frequencies and lengths are summed again from the tables by document. The result has the rows of ``build``.
+        """
+        now = chunks.groupBy("doc_id").agg(F.bit_xor(_print()).alias("print"))
+        same = self.docs.select("doc_id", "print").join(now.hint("merge"), ["doc_id", "print"]).select("doc_id")
+        same = written(same, "unchanged")
+        fresh = Index.build(chunks.join(same.hint("merge"), "doc_id", "left_anti"), words=self.words)
+        stay = lambda df: df.join(same.hint("merge"), "doc_id", "left_semi")
+        made = keep(_sorted(stay(self.postings).unionByName(fresh.postings)), "postings")
+        blocks = keep(stay(self.blocks).unionByName(fresh.blocks), "blocks")
+        docs = keep(stay(self.docs).unionByName(fresh.docs), "indexed-docs")
+        return Index(made, keep(_terms(blocks), "terms"), keep(_stats(docs), "statistics"), blocks, docs, self.words)
+
+
+def _sorted(rows: DataFrame) -> DataFrame:
+    return rows.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+
+
+def _print() -> Column:
+    return F.xxhash64("chunk_id", "text").alias("print")
+
+
+def _terms(blocks: DataFrame) -> DataFrame:
+    return blocks.groupBy("term").agg(F.sum("n").alias("df"), F.max("tf").alias("tf"), F.min("len").alias("len"))
+
+
+def _stats(docs: DataFrame) -> DataFrame:
+    return docs.agg(F.coalesce(F.sum("chunks"), F.lit(0)).alias("n_chunks"), (F.sum("len").cast("double") / F.sum("chunks")).alias("avg_len"))
 
 
 def _index(source: Index | DataFrame) -> Index:
@@ -212,7 +250,7 @@ def top_chunks(queries: DataFrame, source: Index | DataFrame, k: int) -> DataFra
     """The rows of ``top_k(best_chunks(with_prior(bm25(queries, source))), k)``, without a score for every chunk: query_id, doc_id, chunk_id, score, rank.
 
     A document ranks by its best chunk. Each question's rarest terms, with half of what its terms can give, propose 4k documents by the most that each term
-    gives in them (``blocks``); the k-th best of these is a threshold that the first k reach. Terms that together stay under a part of it are
+    may give in them (the greatest tf and the least length of its ``blocks``); the k-th best of these is a threshold that the first k reach. Terms that together stay under a part of it are
     left out at first: the others are summed by chunk, and only chunks that reach the threshold with all that the left-out terms can add go on.
     The best of these raise the threshold once more; what still reaches it gets what the left-out terms give. Nothing is lost, ties included.
     """
@@ -221,7 +259,8 @@ def top_chunks(queries: DataFrame, source: Index | DataFrame, k: int) -> DataFra
     small = few(given, BROADCAST_TERMS)
     side = (lambda df: F.broadcast(df)) if small else (lambda df: df.hint("merge"))
     mine, margin, length = Window.partitionBy("query_id"), 0.001, index.stats.select("avg_len")
-    known = given.join(document_frequency(index).join(index.terms.select("term", "top").hint("merge"), "term").hint("merge"), "term")
+    extent = index.terms.crossJoin(F.broadcast(length)).select("term", _saturation().alias("top"))
+    known = given.join(document_frequency(index).join(extent.hint("merge"), "term").hint("merge"), "term")
     known = known.select("query_id", "term", "idf", "weight", (F.col("idf") * F.col("weight")).alias("w"), (F.col("idf") * F.col("weight") * F.col("top")).alias("bound"))
     before = F.sum("bound").over(mine.orderBy(F.desc("w"), "term").rowsBetween(Window.unboundedPreceding, -1))
     known = written(known.withColumn("rare", F.coalesce(before, F.lit(0.0)) < F.sum("bound").over(mine) / 2), "query-terms")
@@ -244,7 +283,8 @@ def top_chunks(queries: DataFrame, source: Index | DataFrame, k: int) -> DataFra
     def first_rows(rows: DataFrame, by: str, tie: str) -> DataFrame:
         return rows.withColumn("r", F.row_number().over(mine.orderBy(F.desc(by), tie))).where(F.col("r") <= 4 * k).drop("r")
 
-    guess = index.blocks.join(side(known.where("rare").select("query_id", "term", "w")), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("top")).alias("bound"))
+    guess = index.blocks.join(side(known.where("rare").select("query_id", "term", "w")), "term").crossJoin(F.broadcast(length))
+    guess = guess.groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * _saturation()).alias("bound"))
     guess = written(first_rows(guess, "bound", "doc_id").select("query_id", "doc_id"), "guess")
     judged = known.join(kth(given_by(guess, "doc_id", known).withColumnRenamed("more", "score")).hint("merge"), "query_id", "left")
     under = F.sum("bound").over(mine.orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0))

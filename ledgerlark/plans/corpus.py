@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import corpus as C
 from ..operators import search as R
-from ..sources.scratch import built_once, files_state
+from ..sources.scratch import built_once, files_state, written
 from .registry import query
 
 _TYPES = ["通知", "政策", "周报", "手册", "总表", "报告", "会议纪要", "名录"]
@@ -254,6 +254,19 @@ def s12(spark, d):
     return R.postings(line_chunks(spark, d)).select("chunk_id", "doc_id", "term", "tf")
 
 
+@query("S12_refreshed_index", INDEX_SQL + "SELECT t.term, t.df, round(t.idf, 6) AS idf, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS tf, any_value(n_chunks) AS n_chunks, round(any_value(avg_len), 6) AS avg_len FROM terms t JOIN postings p ON p.term = t.term, stats GROUP BY ALL")
+def s12_refreshed(spark, d):
+    # An index of an older table, in which some documents were other, some longer and some not there yet, brought up to date.
+    now, k = line_chunks(spark, d), F.pmod(F.xxhash64("doc_id"), F.lit(100))
+    older = now.where(k != 1).withColumn("text", F.when(k == 2, F.upper(F.reverse("text"))).otherwise(F.col("text")))
+    gone = older.where(k == 3).select((-F.col("doc_id") - 1).alias("doc_id"), F.concat(F.lit("-"), "chunk_id").alias("chunk_id"), "text")
+    longer = older.where(k == 4).select("doc_id", F.concat("chunk_id", F.lit("+")).alias("chunk_id"), "text")
+    index = R.Index.build(older.unionByName(gone).unionByName(longer), written).refreshed(now, written)
+    sums = index.postings.groupBy("term").agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("tf"))
+    whole = R.document_frequency(index).join(sums.hint("merge"), "term").crossJoin(F.broadcast(index.stats))
+    return whole.select("term", "df", F.round("idf", 6).alias("idf"), "postings", "tf", "n_chunks", F.round("avg_len", 6).alias("avg_len"))
+
+
 @query("A28_corpus_counts", INDEX_SQL + "SELECT count(DISTINCT doc_id) AS documents, count(*) AS chunks FROM chunks")
 def a28(spark, d):
     return line_chunks(spark, d).agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("chunks"))

@@ -113,3 +113,20 @@ def test_top_chunks_lose_nothing(spark):
         columns = ["query_id", "doc_id", "chunk_id", "score", "rank"]
         got = R.top_chunks(questions, index, k).select(*columns).collect()
         assert sorted(got) == sorted(want.select(*columns).collect()) and len(got) > 55 * k
+
+
+def test_a_refreshed_index_equals_a_new_one(spark):
+    rng = random.Random(9)
+    line = lambda: " ".join(f"w{int(rng.paretovariate(0.8))}" for _ in range(rng.randrange(0, 9)))
+    before = [(f"{d}#{i}", d, line()) for d in range(200) for i in range(rng.randrange(1, 4))]
+    after = [(c, d, line() if d % 50 == 1 else t) for c, d, t in before if d % 40 != 2] + [("900#0", 900, "new words here"), ("7#9", 7, "one more chunk")]
+    schema = "chunk_id string, doc_id long, text string"
+    old, now = spark.createDataFrame(before, schema), spark.createDataFrame(after, schema)
+    got, want = R.Index.build(old).refreshed(now), R.Index.build(now)
+    for table in ("postings", "terms", "stats", "blocks", "docs"):
+        a, b = getattr(got, table), getattr(want, table)
+        assert sorted(map(tuple, a.select(*b.columns).collect())) == sorted(map(tuple, b.collect())), table
+    # Only changed documents are tokenised: where nothing changed, a dictionary that would fail is never used.
+    broken = R.Index(want.postings, want.terms, want.stats, want.blocks, want.docs, spark.createDataFrame([("w", 0.0)], "word string, weight double"))
+    assert broken.refreshed(now).postings.count() == want.postings.count()
+    assert R.Index.build(old).refreshed(now.limit(0)).postings.count() == 0
