@@ -663,10 +663,12 @@ def a23_failed(spark, d):
     return G.failed_checks(questions, checks).select("category", F.array_join("failed", ",").alias("failed"))
 
 
-@query("J21_score_regression", f"SELECT category, round(earned * 0.9, 4) AS before, earned AS now, false AS regressed FROM ({_SCORES_SQL}) WHERE category <> 'c0' UNION ALL SELECT category, 0.0, earned, false FROM ({_SCORES_SQL}) WHERE category = 'c0'")
+@query("J21_score_regression", f"SELECT category, CASE WHEN category = 'c0' THEN 0.0 ELSE b END AS before, earned AS now, category <> 'c0' AND earned < b AS regressed FROM (SELECT *, round(earned * CASE WHEN passed % 2 = 0 THEN 1.1 ELSE 0.9 END, 4) AS b FROM ({_SCORES_SQL})) UNION ALL SELECT 'gone', 7.5, 0.0, true")
 def j21(spark, d):
+    # Before, a category had a tenth more or less, c0 was not yet there, and one that is gone was.
     now = G.category_scores(G.question_scores(_turn_scores(spark, d)))
-    return G.regression(now, now.where("category <> 'c0'").select("category", F.round(F.col("earned") * 0.9, 4).alias("earned")))
+    before = now.where("category <> 'c0'").select("category", F.round(F.col("earned") * F.when(F.col("passed") % 2 == 0, 1.1).otherwise(0.9), 4).alias("earned"))
+    return G.regression(now, before.unionByName(spark.createDataFrame([("gone", 7.5)], before.schema)))
 
 
 @query("A24_latency", "SELECT event_type, median(value) AS median, max(value) AS max, round(sum(value), 4) AS total FROM events GROUP BY event_type")
