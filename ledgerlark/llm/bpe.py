@@ -512,7 +512,11 @@ def round_trip(docs: DataFrame, path: str, lexicon: str | None = None) -> DataFr
 
 
 def op1_bpe(spark, sf_dir: str) -> DataFrame:
-    """Round trip of every document through byte_bpe_50k."""
+    """Round trip of every document through byte_bpe_50k.
+
+    A null text is encoded as an empty one (no tokens); repeated rows, and rows without an id, are each returned; other columns of
+    documents are ignored; an empty table gives no rows.
+    """
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")

@@ -188,7 +188,11 @@ def held_out() -> Column:
 
 
 def op9_factorisation_machine(spark, sf_dir: str) -> DataFrame:
-    """Quality score of every document, learnt from the labelled rows outside the held-out fold."""
+    """Quality score of every document, learnt from the labelled rows outside the held-out fold.
+
+    A null or empty text is scored too; repeated rows are each scored alike; rows without an id have a score and are never learnt from; an empty
+    table gives no rows; without labels every score is that of an untrained model.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "n_chars")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     machine = fit(docs, labels.where(~held_out()))

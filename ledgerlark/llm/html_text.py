@@ -469,7 +469,11 @@ def extract(pages: DataFrame) -> DataFrame:
 
 
 def op4_html_extraction(spark, sf_dir: str) -> DataFrame:
-    """Main text of every page."""
+    """Main text of every page.
+
+    A null, empty or hopelessly broken page has an empty text; repeated rows, and rows without an id, are each returned; a column
+    text of pages is ignored; an empty table gives no rows.
+    """
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     return extract(pages).select("carried.page_id", "carried.url", "text", F.length("text").cast("long").alias("n_chars"))
 

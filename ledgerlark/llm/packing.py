@@ -214,7 +214,11 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> D
 
 
 def op2_best_fit_packing(spark, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its sequence and offset, 2048 tokens a sequence."""
+    """Every piece of every document with its sequence and offset, 2048 tokens a sequence.
+
+    A null or empty text is one piece of its closing token; repeated rows, and rows without an id, are each packed; other columns are
+    ignored; an empty table gives no rows.
+    """
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -164,7 +164,11 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = 300) -> DataFra
 
 
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
-    """Counts and spans of secrets in every document."""
+    """Counts and spans of secrets in every document.
+
+    A null or empty text has none, and the digest of the empty string; repeated rows, and rows without an id, are each returned; other
+    columns are ignored; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     keyed = docs.select("doc_id", _doc_key().alias("doc_key"))
     found = spans(docs.select(_doc_key().alias("doc_key"), "text").where("text is not null"))

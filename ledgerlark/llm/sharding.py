@@ -226,7 +226,11 @@ def pack_shards(docs: DataFrame, shards: int | None = None, capacity: int | None
 
 
 def op8_sharding(spark, sf_dir: str) -> DataFrame:
-    """Forty shards of near equal bytes."""
+    """Forty shards of near equal bytes.
+
+    A null text counts 16 bytes, as an empty one does; repeated rows, and rows without an id, each have a slot, equal texts the same shard where
+    they fit; other columns are ignored; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return pack_shards(docs, shards=40).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 

@@ -165,7 +165,11 @@ def rows_at(docs: DataFrame, stays: DataFrame) -> DataFrame:
 
 
 def op6_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:
-    """Fingerprint and near-duplicate component of every document."""
+    """Fingerprint and near-duplicate component of every document.
+
+    Null, empty and blank texts have the fingerprint zero and link like any other; repeated rows are each returned with one component; a
+    component whose rows all lack an id has a null name; other columns are ignored; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return near_groups(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 

@@ -299,7 +299,11 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    """Kept words of every document after the removal of windows of 20 words that start earlier elsewhere."""
+    """Kept words of every document after the removal of windows of 20 words that start earlier elsewhere.
+
+    A null or empty text has no words and the digest of the empty string; rows that repeat an id, or have none, are documents of their own;
+    an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return cut_repeats(docs).select("carried.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
