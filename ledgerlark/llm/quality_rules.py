@@ -210,14 +210,18 @@ def judge(docs: DataFrame, keep_text: bool = True, least: int = 200, coverage: f
     own; repeated rows are judged alike; an empty table gives an empty result.
     """
     names_in = docs.columns
-    # One scan: what is returned of a row is written beside its statistics, and the estimates read only these.
-    kept_names = [c for c in names_in if keep_text or c != "text"]
-    both = docs.select(F.col("text"), F.struct(*(F.col(f"`{c}`") for c in kept_names)).alias("row"), F.struct("lang", "source").alias("of"))
-    stats = with_features(text_stats(both))
-    first, second = group_of(stats, "carried.of.lang", "carried.of.source")
-    rows = materialize(stats.select(F.col("carried.row").alias("row"), *NAMES, *FEATURES, "base_failed", first.alias("lang_source"), second.alias("lang_only")), "stats")
+
+    def stats_of(names: list[str]) -> DataFrame:
+        both = docs.select(F.col("text"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.struct("lang", "source").alias("of"))
+        stats = with_features(text_stats(both))
+        first, second = group_of(stats, "carried.of.lang", "carried.of.source")
+        return stats.select(F.col("carried.row").alias("row"), *NAMES, *FEATURES, "base_failed", first.alias("lang_source"), second.alias("lang_only"))
+
+    rows = materialize(stats_of([c for c in names_in if c != "text"]), "stats")
     names, estimate, groups = fit_estimates(rows, least, coverage)
     own = names.select(F.col("lang_source").alias("_name"), "own").join(estimate.hint("merge"), F.col("own") == F.col("grp")).select(F.col("_name").alias("grp"), "mean", "inverse")
+    # Texts that are to be returned are scanned once more: writing them beside their statistics would take their size on disk.
+    rows = stats_of(names_in) if keep_text else rows
     near = _with_estimate(rows.withColumn("grp", F.col("lang_source")), materialize(own, "judges"), groups)
     far = _distance()
     kept = ~F.col("base_failed") & F.coalesce(far <= chi2_quantile(1 - tail, _D), F.lit(True))
@@ -225,7 +229,11 @@ def judge(docs: DataFrame, keep_text: bool = True, least: int = 200, coverage: f
 
 
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
-    """Statistics and verdict of every document."""
+    """Statistics and verdict of every document.
+
+    A null or empty text has zeros and fails the base; null languages and sources are groups of their own; repeated rows, and rows
+    without an id, are each judged; an empty table gives no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     judged = judge(docs, keep_text=False)
     return judged.select("row.doc_id", *NAMES, "base_failed", "kept", "distance")
