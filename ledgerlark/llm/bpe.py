@@ -382,7 +382,12 @@ def encoder(path: str, lexicon: str | None) -> Encoder:
 # ---- operators -------------------------------------------------------------
 
 
+#: Longer words, in bytes, are no candidates for a lexicon: texts without blanks are not words. They are merged like any unseen word.
+LONGEST = 256
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of words of at most LONGEST bytes; a task holds ``_CACHE`` of them, so some 100 MB, before it hands them on."""
     counts: Counter[bytes] = Counter()
 
     def rows() -> pa.RecordBatch:
@@ -390,7 +395,10 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for _, _, data, _ in text_slices(batch):
-            counts.update(data.tobytes().split())
+            words = data.tobytes().split()
+            if max(map(len, words), default=0) > LONGEST:
+                words = [w for w in words if len(w) <= LONGEST]
+            counts.update(words)
             if len(counts) > _CACHE:
                 yield rows()
                 counts.clear()
@@ -398,7 +406,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, limit: int = 1 << 16) -> list[bytes]:
-    """The most frequent words between white space, ``limit`` at most, counted over all rows.
+    """The most frequent words between white space of at most LONGEST bytes, ``limit`` at most, counted over all rows.
 
     Counts are bucketed by their logarithm (under 400 buckets), and whole buckets are taken from
     the top while they fit, so no task sends the driver more than what is kept.
@@ -419,7 +427,7 @@ def frequent_words(docs: DataFrame, limit: int = 1 << 16) -> list[bytes]:
 def build_lexicon(spark: SparkSession, docs: DataFrame, path: str, limit: int = 1 << 16) -> str:
     """Compile the pieces of the most frequent words and hand the file to every executor; returns its name.
 
-    The driver holds ``limit`` words at most, however large the corpus. The file goes to the
+    The driver holds ``limit`` words of LONGEST bytes at most, however large the corpus. The file goes to the
     shared scratch folder through Spark's file system, and from there to executors, late ones too.
     """
     split = regex.compile(PATTERN).findall

@@ -59,6 +59,17 @@ def test_bpe_round_trip(spark, docs_of, rows, tokenizer):
     assert bpe.encode(docs.limit(0), PATH, name).count() == 0
 
 
+def test_texts_without_blanks_enter_no_lexicon(spark, docs_of, tokenizer):
+    wall = "".join(R.choice("abcdefgh") for _ in range(300_000))
+    texts = {0: wall, 1: wall, 2: f"{wall} word", 3: "word " * 5 + "b" * 256 + " " + "c" * 257, 4: "c" * 257}
+    docs = docs_of(list(texts.items()))
+    words = bpe.frequent_words(docs)
+    assert set(words) == {b"word", b"b" * 256}
+    coded = bpe.encode(docs, PATH, bpe.build_lexicon(spark, docs, PATH)).select("carried.doc_id", "ids")
+    for r in coded.collect():
+        assert r.ids == tokenizer.encode(texts[r.doc_id], add_special_tokens=False).ids
+
+
 def test_transducer_is_minimal_and_exact(tmp_path):
     merges = bpe.merges(PATH)
     lexicon = [w.encode() for w in ("nation", "station", "ration", "stations", " the", "é")]
