@@ -74,8 +74,8 @@ def place_of(value: str) -> tuple[bool, bool]:
 
 def count_words(text: str) -> int:
     """Words between blanks; where a script is written without blanks, two of its characters count as one."""
-    wide = len(_CJK.findall(text))
-    return len(text.split()) + wide // 2
+    n = len(text.split())
+    return n if text.isascii() or not _CJK.search(text) else n + len(_CJK.findall(text)) // 2
 
 
 class Wrapper:
