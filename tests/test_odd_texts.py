@@ -23,3 +23,10 @@ def test_references_without_semicolon(spark, tmp_path, title):
     pages = spark.createDataFrame([(1, "u", f"<html><title>{title}</title><body>{title}<p>x</body></html>")], "page_id long, url string, html string")
     got, want = both(spark, tmp_path, "S08_visible_text", {"pages": pages})
     assert got == want and len(got) == 1
+
+
+@pytest.mark.parametrize("text, ranking", [("die bestä sch", False), ("best", True), ("äbest of", False), ("the (best) one", True), ("not the best", False), ("nötnot äbest, most", True), ("“best”", True), ("最高", True), ("是best的", False)])
+def test_rank_words_beside_other_letters(spark, tmp_path, text, ranking):
+    turns = spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn int, role string, text string")
+    got, want = both(spark, tmp_path, "Q02_ranking_intent", {"conversations": turns})
+    assert got == want == [(1, 0, ranking)]
