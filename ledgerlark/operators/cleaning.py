@@ -1,8 +1,8 @@
 """Cleaning of sales facts under ordered rules.
 
-Rules 1 to 5 are one projection over two left joins; only rows that pass them enter the
-shuffle of rule 6, so rejected rows, which share few keys, cannot skew it. ``clean`` reads
-``flagged`` lines twice: give it a written table and fields are parsed once.
+Rules 1 to 5 are one projection over two left joins; of the rows that pass them only those whose
+key stands twice enter the shuffle of rule 6. ``clean`` reads ``flagged`` lines four times: give it
+a written table and fields are parsed once.
 """
 
 from __future__ import annotations
@@ -11,11 +11,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.normalize import amount_status, backfill_cents, norm_id, parse_amount_cents, parse_date, parse_qty, refund_flag
-from ..sources.scratch import few
+from ..sources.scratch import few, written
 
 #: The reject codes, in the order of the rules.
 RULES = ["1_unparseable_date", "2_empty_amount", "3_qty_le_zero", "4_store_not_in_stores", "5_product_not_in_products", "6_duplicate_row", "7_zero_amount"]
 V2_REFUND = "v2_refund_excluded"
+#: Names of keys that stand twice or more (some 50 bytes each): up to so many are broadcast to the lines.
+BROADCAST_NAMES = 4_000_000
 #: Dimensions of up to so many rows (some 100 bytes each) are broadcast; larger ones are joined by a shuffle.
 BROADCAST_ROWS = 200_000
 DUP_KEY = ["order_id", "date", "store_id", "product_id", "qty", "amount_cents", "payment"]
@@ -57,9 +59,18 @@ def first_reject() -> Column:
 
 
 def number_copies(passed: DataFrame) -> DataFrame:
-    """The copy number of each row among rows with equal key, and a stable name of the key."""
+    """The copy number of each row among rows with equal key, and a stable name of the key.
+
+    Names of keys are counted first, and only rows whose name stands twice or more meet by their whole keys: the others are first copies where they lie.
+    ``passed`` is read twice more for it: give rows that are written, or cheap.
+    """
+    named = passed.withColumn("dup_group", F.xxhash64(*DUP_KEY))
+    again = written(named.groupBy("dup_group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("dup_group"), "repeated")
+    again = F.broadcast(again) if few(again, BROADCAST_NAMES) else again.hint("merge")
     order = Window.partitionBy(*DUP_KEY).orderBy("raw_date", "raw_qty", "raw_amount")
-    return passed.withColumn("copy", F.row_number().over(order)).withColumn("dup_group", F.xxhash64(*DUP_KEY))
+    alone = named.join(again, "dup_group", "left_anti").withColumn("copy", F.lit(1))
+    several = named.join(again, "dup_group", "left_semi").withColumn("copy", F.row_number().over(order))
+    return alone.select(*passed.columns, "copy", "dup_group").unionByName(several.select(*passed.columns, "copy", "dup_group"))
 
 
 def flag(raw: DataFrame, stores: DataFrame, products: DataFrame) -> DataFrame:
