@@ -31,14 +31,17 @@ def clean_stream(facts: DataFrame, stores: DataFrame, products: DataFrame, delay
     return timed.dropDuplicatesWithinWatermark(DUP_KEY).withColumn("reject_v3", F.when(F.col("amount_cents") == 0, RULES[6])).where("reject_v3 is null")
 
 
-def daily_stream(lines: DataFrame, delay: str = "7 days") -> DataFrame:
+def daily_stream(lines: DataFrame, delay: str = "7 days", parts: int = 64) -> DataFrame:
     """Date, orders and net_revenue by day, from kept lines (order_id, is_refund, amount_cents, ts).
 
-    The lines of an order and day are summed first, then the orders of a day, so distinct orders
-    need no list. Exact within the watermark; rows later than it are left out.
+    A day is dealt over ``parts`` by the order; a part's state is one row, the set of its orders that sold and its sum, so that
+    neither keys nor rows are kept for each order. A part is written again in each batch that brings lines of its day.
+    Exact within the watermark; rows later than it are left out.
     """
-    by_order = lines.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), "order_id").agg(F.sum("amount_cents").alias("cents"), F.max((F.col("is_refund") == 0).cast("long")).alias("sold"))
-    by_day = by_order.groupBy(F.window(F.window_time("window"), "1 day").alias("day")).agg(F.sum("sold").alias("orders"), F.sum("cents").alias("cents"))
+    sold, part = F.col("is_refund") == 0, F.pmod(F.xxhash64("order_id"), F.lit(parts)).cast("int").alias("part")
+    unnamed = F.max((sold & F.col("order_id").isNull()).cast("long"))  # lines without an order are one order, and no element of a set
+    by_part = lines.withWatermark("ts", delay).groupBy(F.window("ts", "1 day"), part).agg(F.sum("amount_cents").alias("cents"), F.collect_set(F.when(sold, F.col("order_id"))).alias("ids"), unnamed.alias("unnamed"))
+    by_day = by_part.groupBy(F.window(F.window_time("window"), "1 day").alias("day")).agg(F.sum(F.size("ids") + F.coalesce("unnamed", F.lit(0))).alias("orders"), F.sum("cents").alias("cents"))
     return by_day.select(F.to_date("day.start").alias("date"), "orders", (F.col("cents") / 100.0).alias("net_revenue"))
 
 
