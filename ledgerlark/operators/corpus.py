@@ -304,6 +304,8 @@ def sanitize(docs: DataFrame) -> DataFrame:
 
 
 HARD_SIZE, MERGE_BELOW = 500, 120
+#: A task hands on its chunks after so many characters of text, and takes so many documents at once, so its memory does not grow with the table.
+BATCH_CHARS, BATCH_ROWS = 1 << 20, 500
 
 
 def _pieces(text: str) -> list[str]:
@@ -329,28 +331,38 @@ def _pieces(text: str) -> list[str]:
     return out
 
 
+def _chunk_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "pos", "start", "end", "heading", "kind", "table_header", "text"]
+    for pdf in batches:
+        rows, held = [], 0
+        for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            at = 0
+            for pos, piece in enumerate(_pieces(text or "")):
+                head = re.match(r"#{1,6} +([^\n]*)", piece)
+                piped = [x.strip() for x in piece.splitlines() if x.strip().startswith("|")]
+                named = next((x for x in piped if x.strip("|-: \t")), "")
+                header = [c.strip() for c in named.strip("|").split("|")] if named else []
+                rows.append((doc_id, pos, at, at + len(piece), head[1].strip() if head else None, "table" if len(piped) > 1 else "text", header, piece))
+                at += len(piece)
+            held += at
+            if held >= BATCH_CHARS:
+                yield pd.DataFrame(rows, columns=names)
+                rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+
 def chunks(docs: DataFrame) -> DataFrame:
     """doc_id, pos, start, end, heading, kind, table_header, text; the chunks of a document concatenate to its text.
 
     A chunk of two or more lines that open with a pipe is a table; its header is the first such line that is more than a rule.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for doc_id, text in zip(pdf["doc_id"], pdf["text"], strict=True):
-                at = 0
-                for pos, piece in enumerate(_pieces(text or "")):
-                    head = re.match(r"#{1,6} +([^\n]*)", piece)
-                    piped = [x.strip() for x in piece.splitlines() if x.strip().startswith("|")]
-                    named = next((x for x in piped if x.strip("|-: \t")), "")
-                    header = [c.strip() for c in named.strip("|").split("|")] if named else []
-                    rows.append((doc_id, pos, at, at + len(piece), head[1].strip() if head else None, "table" if len(piped) > 1 else "text", header, piece))
-                    at += len(piece)
-            yield pd.DataFrame(rows, columns=["doc_id", "pos", "start", "end", "heading", "kind", "table_header", "text"])
-
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(docs.sparkSession.conf.get(batch)) <= BATCH_ROWS:
+        docs.sparkSession.conf.set(batch, str(BATCH_ROWS))  # left so: Spark reads it when the plan runs
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {kind}, pos int, start long, end long, heading string, kind string, table_header array<string>, text string")
+    return docs.select("doc_id", "text").mapInPandas(_chunk_rows, f"doc_id {kind}, pos int, start long, end long, heading string, kind string, table_header array<string>, text string")
 
 
 def heading_path(docs: DataFrame) -> DataFrame:
