@@ -266,7 +266,7 @@ class Lexicon:
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of the words it has met, within ``_CACHE_BYTES``."""
+    """Encodes texts; keeps the ids of the words it has met, within ``_CACHE_BYTES``: when they are full, those met often stay."""
 
     def __init__(self, path: str, lexicon: Lexicon | None) -> None:
         self.merges, self.lexicon = merges(path), lexicon
@@ -279,11 +279,35 @@ class Encoder:
         # Numbers of pieces, and of units (a piece of text between spaces, with the space before it); both point into one table of ids.
         self.pieces: dict[str, int] = {}
         self.units: dict[str, int] = {}
-        self.flat, self.offsets = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+        self.flat, self.offsets, self.uses = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.rows, self.held = 0, 0
         for special, i in self.merges.special.items():
             self.pieces["\0" + special] = self._add(np.array([i], np.int32), np.ones(1, np.int64))
 
+    def _shrink(self) -> None:
+        """Start afresh with the words met most often since the last time, in half of the room at most."""
+        old, flat, offsets, uses = (self.pieces, self.units), self.flat, self.offsets, self.uses[: self.rows]
+        names = [list(table) for table in old]
+        rows = [np.fromiter(table.values(), np.int64, len(table)) for table in old]
+        every = np.concatenate(rows)
+        cost = 4 * (offsets[every + 1] - offsets[every]) + _ENTRY_BYTES + np.array([len(w) for w in chain(*names)])
+        often = np.argsort(-uses[every], kind="stable")
+        stays = np.zeros(len(every), bool)
+        stays[often[np.cumsum(cost[often]) <= _CACHE_BYTES // 2]] = True
+        stays &= uses[every] > 1
+        self._reset()
+        fixed = len(self.pieces)
+        for table, words, at, keep in zip((self.pieces, self.units), names, rows, np.split(stays, [len(rows[0])]), strict=True):
+            if table is self.pieces:
+                keep[:fixed] = False  # the special tokens are there again
+            at = at[keep]
+            sizes = offsets[at + 1] - offsets[at]
+            base = self._add(flat[span_index(offsets[at], sizes)], sizes)
+            kept = [words[i] for i in np.flatnonzero(keep).tolist()]
+            table.update(zip(kept, range(base, base + len(kept))))
+            self.uses[base : base + len(kept)] = uses[at] // 2
+            self.held += sum(map(len, kept))
+
     def _add(self, flat: np.ndarray, sizes: np.ndarray) -> int:
         """Append lists of ids, in arrays that double; returns the number of the first."""
         base, used = self.rows, int(self.offsets[self.rows])
@@ -291,30 +315,42 @@ class Encoder:
         if used + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat[:used], np.zeros(max(len(flat), len(self.flat)), np.int32)])
         if self.rows >= len(self.offsets):
-            self.offsets = np.concatenate([self.offsets[: base + 1], np.zeros(max(len(sizes), len(self.offsets)), np.int64)])
+            more = np.zeros(max(len(sizes), len(self.offsets)), np.int64)
+            self.offsets, self.uses = np.concatenate([self.offsets[: base + 1], more]), np.concatenate([self.uses[: base + 1], more])
         self.flat[used : used + len(flat)] = flat
         self.offsets[base + 1 : self.rows + 1] = used + np.cumsum(sizes)
         self.held += 4 * len(flat) + _ENTRY_BYTES * len(sizes)
         return base
 
     def _ids(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        self.uses[: self.rows] += np.bincount(at, minlength=self.rows)
         sizes = self.offsets[at + 1] - self.offsets[at]
         return self.flat[span_index(self.offsets[at], sizes)], sizes
 
-    def _learn_pieces(self, new: list[str]) -> None:
-        raw = [w.encode() for w in new]
+    def _merge(self, raw: list[bytes]) -> np.ndarray:
+        """Add the ids of pieces; returns the number of each."""
         self.held += sum(map(len, raw))
-        place = self.lexicon.find(raw) if self.lexicon else np.full(len(new), -1)
+        numbers = np.zeros(len(raw), np.int64)
+        place = self.lexicon.find(raw) if self.lexicon else np.full(len(raw), -1)
         known, other = np.flatnonzero(place >= 0), np.flatnonzero(place < 0)
         if len(known):
             begins, ends = (np.asarray(self.lexicon.offsets[place[known] + k]).astype(np.int64) for k in (0, 1))
-            base = self._add(np.asarray(self.lexicon.ids)[span_index(begins, ends - begins)], ends - begins)
-            self.pieces.update((new[i], base + k) for k, i in enumerate(known.tolist()))
+            numbers[known] = self._add(np.asarray(self.lexicon.ids)[span_index(begins, ends - begins)], ends - begins) + np.arange(len(known))
         if len(other):
-            base = self._add(*self.merges.words([raw[i] for i in other.tolist()]))
-            self.pieces.update((new[i], base + k) for k, i in enumerate(other.tolist()))
+            numbers[other] = self._add(*self.merges.words([raw[i] for i in other.tolist()] if len(known) else raw)) + np.arange(len(other))
+        return numbers
+
+    def _learn_pieces(self, new: list[str]) -> None:
+        self.pieces.update(zip(new, self._merge([w.encode() for w in new]).tolist(), strict=True))
 
     def _learn_units(self, new: list[str]) -> None:
+        # A unit of letters alone is one piece with its space, whatever the splitting pattern's other parts.
+        alone = [u for u in new if u.isalpha()]
+        if alone:
+            self.units.update(zip(alone, self._merge([b" " + u.encode() for u in alone]).tolist(), strict=True))
+            new = [u for u in new if not u.isalpha()]
+            if not new:
+                return
         # Units never join, so one split serves all; their lengths tell where each ends.
         split = self.split(" " + " ".join(new))
         missing = list(set(split).difference(self.pieces))
@@ -326,7 +362,7 @@ class Encoder:
         total = np.concatenate([[0], np.cumsum(sizes)])
         edge = np.concatenate([[0], np.searchsorted(ends, units) + 1])
         base = self._add(ids, np.diff(total[edge]))
-        self.units.update((u, base + k) for k, u in enumerate(new))
+        self.units.update(zip(new, range(base, base + len(new)), strict=True))
         self.held += sum(map(len, new))
 
     def _pieces(self, text: str) -> list[str]:
@@ -344,7 +380,7 @@ class Encoder:
         splitting pattern never joins, so whole units are looked up. Other texts are split in pieces.
         """
         if self.held > _CACHE_BYTES:
-            self._reset()
+            self._shrink()
         heads: list[list[str]] = []
         tails: list[list[str]] = []
         for text in texts:

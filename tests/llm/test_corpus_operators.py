@@ -702,3 +702,22 @@ def test_substrings_of_few_words(docs_of, seed):
     rows = [(i, " ".join(r.choice("ab") for _ in range(r.randrange(0, 60)))) for i in range(40)]
     got = substring_dedup.cut_repeats(docs_of(rows), window=8).collect()
     assert {x["carried"]["doc_id"]: (x.n_words, x.n_removed, x.kept_text) for x in got} == brute_cut(rows, 8)
+
+
+def test_a_full_encoder_keeps_the_words_it_meets_often(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    monkeypatch.setattr(bpe, "_CACHE_BYTES", 40_000)
+    coder = bpe.Encoder(path, None)
+    for round_ in range(12):
+        texts = [f"often w{round_}x{i} Straße st.\nIeä {'y' * (i % 60)}z{round_} often, end" for i in range(60)] + ["<|endoftext|> a  b", None, " edge "]
+        ids, sizes = coder.encode(texts)
+        got = [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])]
+        assert got == [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        if coder.held > 40_000:
+            coder._shrink()
+            assert coder.held <= 40_000
+            assert "Straße" in coder.units and "end" in coder.units and f"w{round_}x1" not in coder.units
