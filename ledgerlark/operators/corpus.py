@@ -7,7 +7,9 @@ import re
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -306,6 +308,7 @@ def sanitize(docs: DataFrame) -> DataFrame:
 HARD_SIZE, MERGE_BELOW = 500, 120
 #: A task hands on its chunks after so many characters of text, and takes so many documents at once, so its memory does not grow with the table.
 BATCH_CHARS, BATCH_ROWS = 1 << 20, 500
+_CHUNK = pa.schema({"pos": pa.int32(), "start": pa.int64(), "end": pa.int64(), "heading": pa.string(), "kind": pa.string(), "table_header": pa.list_(pa.string()), "text": pa.string()})
 
 
 def _pieces(text: str) -> list[str]:
@@ -352,17 +355,51 @@ def _chunk_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame(rows, columns=names)
 
 
+def _chunk_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) as (doc_id, chunks), each beside its own chunks; ids pass as they are."""
+    names = [f.name for f in _CHUNK]
+    for batch in batches:
+        ids, texts = (batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "text"))
+
+        def part(lo: int, hi: int, rows: pd.DataFrame, ids=ids, texts=texts) -> pa.RecordBatch:
+            ends = np.cumsum(np.bincount(rows["doc_id"].to_numpy(np.int64) - lo, minlength=hi - lo))
+            values = pa.StructArray.from_arrays([pa.array(rows[f.name].tolist(), f.type) for f in _CHUNK], names)
+            lists = pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), values, mask=texts[lo:hi].is_null())
+            return pa.record_batch([ids[lo:hi], lists], names=["doc_id", "chunks"])
+
+        # Each row is its place here: ids may be missing or stand twice.
+        placed = pd.DataFrame({"doc_id": np.arange(len(texts)), "text": pd.Series(texts.to_pylist(), dtype=object)})
+        lo = 0
+        for rows in _chunk_rows(iter([placed])):
+            hi = int(rows["doc_id"].iloc[-1]) + 1
+            yield part(lo, hi, rows)
+            lo = hi
+        if lo < len(texts):  # the last texts have no chunks
+            yield part(lo, len(texts), pd.DataFrame([], columns=["doc_id", *names]))
+
+
+def chunk_lists(docs: DataFrame) -> DataFrame:
+    """doc_id and chunks of every row: an array of pos, start, end, heading, kind, table_header, text; empty for an empty text, null for a null one."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(docs.sparkSession.conf.get(batch)) <= BATCH_ROWS:
+        docs.sparkSession.conf.set(batch, str(BATCH_ROWS))  # left so: Spark reads it when the plan runs
+    chunk = "array<struct<pos: int, start: bigint, end: bigint, heading: string, kind: string, table_header: array<string>, text: string>>"
+    return docs.select("doc_id", "text").mapInArrow(_chunk_lists, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, chunks {chunk}")
+
+
 def chunks(docs: DataFrame) -> DataFrame:
     """doc_id, pos, start, end, heading, kind, table_header, text; the chunks of a document concatenate to its text.
 
     A chunk of two or more lines that open with a pipe is a table; its header is the first such line that is more than a rule.
     """
+    return chunk_lists(docs).select("doc_id", F.inline("chunks"))
 
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(docs.sparkSession.conf.get(batch)) <= BATCH_ROWS:
-        docs.sparkSession.conf.set(batch, str(BATCH_ROWS))  # left so: Spark reads it when the plan runs
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInPandas(_chunk_rows, f"doc_id {kind}, pos int, start long, end long, heading string, kind string, table_header array<string>, text string")
+
+def rejoined(docs: DataFrame) -> DataFrame:
+    """doc_id, the text that a row's chunks concatenate to, and where the last one ends. Rows that repeat an id, or have none, are documents of their own."""
+    pieces = F.sort_array(F.transform("chunks", lambda c: F.struct(c["pos"], c["text"])))
+    end = F.coalesce(F.array_max(F.transform("chunks", lambda c: c["end"])), F.when(F.col("chunks").isNotNull(), F.lit(0)))
+    return chunk_lists(docs).select("doc_id", F.array_join(F.transform(pieces, lambda p: p["text"]), "").alias("joined"), end.alias("n"))
 
 
 def heading_path(docs: DataFrame) -> DataFrame:
