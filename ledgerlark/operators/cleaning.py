@@ -1,8 +1,9 @@
 """Cleaning of sales facts under ordered rules.
 
-Rules 1 to 5 are one projection over two left joins; of the rows that pass them only those whose
-key stands twice enter the shuffle of rule 6. ``clean`` reads ``flagged`` lines four times: give it
-a written table and fields are parsed once.
+Whole lines are not shuffled for the dimensions: their ids are counted, those that no dimension has are
+marked on the lines, and only lines of rule 2 meet the list prices. Of the rows that pass rules 1 to 5
+only those whose key stands twice enter the shuffle of rule 6. ``flag`` and ``clean_flagged`` read their
+lines several times: give them written tables and fields are parsed once.
 """
 
 from __future__ import annotations
@@ -58,43 +59,72 @@ def first_reject() -> Column:
     return out
 
 
-def number_copies(passed: DataFrame) -> DataFrame:
-    """The copy number of each row among rows with equal key, and a stable name of the key.
+def unknown_ids(lines: DataFrame, stores: DataFrame, products: DataFrame) -> DataFrame:
+    """Kind (store, product), id and the number n of parsed lines with it, of every id that its dimension lacks.
+
+    Lines are counted by id before they meet a dimension: one unknown id may have very many.
+    """
+    n = lambda c: lines.groupBy(F.col(c).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    known = lambda ids: ids.withColumn("_known", F.lit(True)).hint("merge")
+    # An anti join would be put below the counting where a dimension is small, and shuffle the lines.
+    s = n("store_id").join(known(stores.select(F.col("store_id").alias("id"))), "id", "left").where("_known is null")
+    p = n("product_id").join(known(products.select(F.col("product_id").alias("id"))), "id", "left").where("_known is null")
+    return s.select(F.lit("store").alias("kind"), "id", "n").unionByName(p.select(F.lit("product").alias("kind"), "id", "n"))
+
+
+def flag_unknown(lines: DataFrame, unknown: DataFrame) -> DataFrame:
+    """Whether the store and the product of each line exist, from the rows of ``unknown_ids``, which is read twice or more: give it written."""
+    out, hint = lines, "broadcast" if few(unknown, BROADCAST_ROWS) else "merge"
+    for kind in ("store", "product"):
+        ids = unknown.where(F.col("kind") == kind).select(F.col("id").alias(f"{kind}_id"), F.lit(True).alias("_unknown"))
+        out = out.join(ids.hint(hint), f"{kind}_id", "left").withColumn(f"known_{kind}", F.col("_unknown").isNull()).drop("_unknown")
+    return out
+
+
+def with_prices(lines: DataFrame, products: DataFrame) -> DataFrame:
+    """The list price of each line's product."""
+    p = products.groupBy("product_id").agg(F.max("unit_price").alias("unit_price"))
+    return lines.join(F.broadcast(p) if few(p, BROADCAST_ROWS) else p.hint("merge"), "product_id", "left")
+
+
+def number_copies(passed: DataFrame, among: Column | None = None) -> DataFrame:
+    """The copy number of each row among rows with equal key, and a stable name of the key; null for rows that are not ``among`` them.
 
     Names of keys are counted first, and only rows whose name stands twice or more meet by their whole keys: the others are first copies where they lie.
     ``passed`` is read twice more for it: give rows that are written, or cheap.
     """
-    named = passed.withColumn("dup_group", F.xxhash64(*DUP_KEY))
-    again = written(named.groupBy("dup_group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("dup_group"), "repeated")
+    among = F.lit(True) if among is None else among
+    named = passed.withColumn("dup_group", F.when(among, F.xxhash64(*DUP_KEY)))
+    again = written(named.where(among).groupBy("dup_group").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("dup_group"), "repeated")
     again = F.broadcast(again) if few(again, BROADCAST_NAMES) else again.hint("merge")
     order = Window.partitionBy(*DUP_KEY).orderBy("raw_date", "raw_qty", "raw_amount")
-    alone = named.join(again, "dup_group", "left_anti").withColumn("copy", F.lit(1))
+    alone = named.join(again, "dup_group", "left_anti").withColumn("copy", F.when(among, F.lit(1)))
     several = named.join(again, "dup_group", "left_semi").withColumn("copy", F.row_number().over(order))
     return alone.select(*passed.columns, "copy", "dup_group").unionByName(several.select(*passed.columns, "copy", "dup_group"))
 
 
-def flag(raw: DataFrame, stores: DataFrame, products: DataFrame) -> DataFrame:
-    """Parsed rows with ``reject``, the first of rules 1 to 5 that each breaks: one scan, no shuffle where the dimensions are small."""
-    return flag_foreign_keys(parse_lines(raw), stores, products).withColumn("reject", first_reject())
+def flag(lines: DataFrame, unknown: DataFrame) -> DataFrame:
+    """Parsed lines with ``reject``, the first of rules 1 to 5 that each breaks; ``unknown`` has the rows of ``unknown_ids``. No shuffle where they are few."""
+    return flag_unknown(lines, unknown).withColumn("reject", first_reject())
 
 
 def clean(raw: DataFrame, stores: DataFrame, products: DataFrame) -> DataFrame:
     """All rows, kept and rejected (U01), with reject_v3, reject_v2, backfilled_cents and dup_group."""
-    return clean_flagged(flag(raw, stores, products))
+    lines = parse_lines(raw)
+    return clean_flagged(flag(lines, written(unknown_ids(lines, stores, products), "unknown")), products)
 
 
-def clean_flagged(flagged: DataFrame) -> DataFrame:
+def clean_flagged(flagged: DataFrame, products: DataFrame) -> DataFrame:
     """``clean`` from the rows of ``flag``."""
-    passed = number_copies(flagged.where("reject is null"))
+    empty = F.coalesce(F.col("reject") == RULES[1], F.lit(False))
+    lines = number_copies(flagged.where(~empty), F.col("reject").isNull()).withColumn("backfilled_cents", F.lit(None).cast("long"))
     # rule 6 takes later copies, rule 7 a first copy of amount zero.
-    passed = passed.withColumn("reject", F.when(F.col("copy") > 1, RULES[5]).when(F.col("amount_cents") == 0, RULES[6]))
-    failed = flagged.where("reject is not null").withColumn("copy", F.lit(None).cast("int")).withColumn("dup_group", F.lit(None).cast("long"))
-    lines = passed.unionByName(failed).withColumnRenamed("reject", "reject_v3")
-    empty = F.col("reject_v3") == RULES[1]
-    lines = lines.withColumn("backfilled_cents", F.when(empty, backfill_cents(F.col("qty"), F.col("unit_price"))))
+    lines = lines.withColumn("reject", F.coalesce("reject", F.when(F.col("copy") > 1, RULES[5]).when((F.col("copy") == 1) & (F.col("amount_cents") == 0), RULES[6])))
+    filled = with_prices(flagged.where(empty), products).withColumn("backfilled_cents", backfill_cents(F.col("qty"), F.col("unit_price"))).withColumn("dup_group", F.lit(None).cast("long"))
+    lines = lines.drop("copy").unionByName(filled.drop("unit_price")).withColumnRenamed("reject", "reject_v3").drop("known_store", "known_product")
     # v2 keeps rows it can fill, and leaves refunds out.
-    v2 = F.when(empty & F.col("backfilled_cents").isNotNull(), F.lit(None)).when(F.col("reject_v3").isNotNull(), F.col("reject_v3"))
-    return lines.withColumn("reject_v2", F.coalesce(v2, F.when(F.col("is_refund") == 1, V2_REFUND))).drop("known_store", "known_product", "unit_price", "copy")
+    v2 = F.when(F.col("backfilled_cents").isNull(), F.col("reject_v3"))
+    return lines.withColumn("reject_v2", F.coalesce(v2, F.when(F.col("is_refund") == 1, V2_REFUND)))
 
 
 def kept(lines: DataFrame, caliber: str = "v3") -> DataFrame:

@@ -51,14 +51,29 @@ AOV_SQL = "CASE WHEN orders > 0 THEN sign(net_cents) * ((2 * abs(net_cents) + or
 SHAPE_SQL = f"net_cents / 100.0 AS net_revenue, refund_cents / 100.0 AS refund_amount, orders, {AOV_SQL} AS aov, qty"
 
 
+def parsed_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed lines, written at their first use: every field is parsed once a session."""
+    return built_once(spark, ("parsed", sf_dir), S.state(spark, sf_dir), lambda: C.parse_lines(S.raw_sales(spark, sf_dir)), "zstd")
+
+
+def unknown_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of lines that no dimension has, written at their first use."""
+    return built_once(spark, ("unknown", sf_dir), S.state(spark, sf_dir), lambda: C.unknown_ids(parsed_of(spark, sf_dir), S.stores(spark, sf_dir), S.products(spark, sf_dir)))
+
+
 def flagged_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parsed and flagged lines, written at their first use: every field is parsed once a session."""
-    return built_once(spark, ("flagged", sf_dir), S.state(spark, sf_dir), lambda: C.flag(S.raw_sales(spark, sf_dir), S.stores(spark, sf_dir), S.products(spark, sf_dir)))
+    """Parsed and flagged lines."""
+    return C.flag(parsed_of(spark, sf_dir), unknown_of(spark, sf_dir))
+
+
+def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clean table (S10) from the flagged lines, not written."""
+    return C.clean_flagged(flagged_of(spark, sf_dir), S.products(spark, sf_dir))
 
 
 def lines_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The clean table (S10), written at its first use; the metrics read it."""
-    return built_once(spark, ("lines", sf_dir), S.state(spark, sf_dir), lambda: C.clean_flagged(flagged_of(spark, sf_dir)))
+    return built_once(spark, ("lines", sf_dir), S.state(spark, sf_dir), lambda: cleaned(spark, sf_dir), "zstd")
 
 
 @query("S01_raw_sales", f"SELECT * FROM ({S.RAW_SALES_SQL})")
@@ -77,7 +92,7 @@ def s02(spark, d):
     BASE_SQL + "SELECT order_id, CAST(date AS VARCHAR) AS date, store_id, product_id, CAST(qty AS DOUBLE) AS qty, CAST(amount_cents AS DOUBLE) AS amount_cents, payment, is_refund, amount_status, amount_cents / 100.0 AS yuan, CAST(CASE WHEN qty > 0 AND unit_price IS NOT NULL THEN CAST(unit_price * 100 AS BIGINT) * qty END AS DOUBLE) AS list_cents FROM flagged",
 )
 def p01(spark, d):
-    lines = flagged_of(spark, d)
+    lines = C.with_prices(parsed_of(spark, d), S.products(spark, d))
     return lines.select("order_id", F.col("date").cast("string").alias("date"), "store_id", "product_id", F.col("qty").cast("double").alias("qty"), F.col("amount_cents").cast("double").alias("amount_cents"), "payment", "is_refund", "amount_status", N.yuan("amount_cents").alias("yuan"), N.backfill_cents(F.col("qty"), F.col("unit_price")).cast("double").alias("list_cents"))
 
 
@@ -101,7 +116,8 @@ _LINES = "order_id, CAST(date AS VARCHAR) AS date, store_id, product_id, CAST(qt
 
 @query("S10_U01_clean_lines", BASE_SQL + f"SELECT {_LINES} FROM lines")
 def s10(spark, d):
-    return lines_of(spark, d).selectExpr(*[c.strip().replace("VARCHAR", "STRING") for c in _LINES.split(",")])
+    # The result is the clean table itself: it is not written beside it.
+    return cleaned(spark, d).selectExpr(*[c.strip().replace("VARCHAR", "STRING") for c in _LINES.split(",")])
 
 
 @query("F05_F06_reject_codes", BASE_SQL + "SELECT reject_v3, reject_v2, count(*) AS n, CAST(sum(amount_cents) AS DOUBLE) AS cents FROM lines GROUP BY ALL")
@@ -111,12 +127,7 @@ def f05(spark, d):
 
 @query("J01_J02_unknown_keys", BASE_SQL + "SELECT 'store' AS kind, store_id AS id, count(*) AS n FROM parsed WHERE store_id NOT IN (SELECT store_id FROM stores) GROUP BY store_id UNION ALL SELECT 'product', product_id, count(*) FROM parsed WHERE product_id NOT IN (SELECT product_id FROM products) GROUP BY product_id")
 def j01(spark, d):
-    # Lines are counted by id before they meet the dimensions: one unknown id may have very many.
-    lines = flagged_of(spark, d)
-    n = lambda c: lines.groupBy(F.col(c).alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    s = n("store_id").join(S.stores(spark, d).select(F.col("store_id").alias("id")).hint("merge"), "id", "left_anti")
-    p = n("product_id").join(S.products(spark, d).select(F.col("product_id").alias("id")).hint("merge"), "id", "left_anti")
-    return s.select(F.lit("store").alias("kind"), "id", "n").unionByName(p.select(F.lit("product").alias("kind"), "id", "n"))
+    return unknown_of(spark, d)
 
 
 @query("J03_price_backfill", BASE_SQL + "SELECT order_id, product_id, backfilled_cents FROM lines WHERE backfilled_cents IS NOT NULL")

@@ -1,12 +1,16 @@
 """Steps whose cost must not grow faster than their input."""
 
 import datetime
+import shutil
 
+import duckdb
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from ledgerlark.functions import normalize
-from ledgerlark.operators import corpus, evidence
+from ledgerlark.operators import cleaning, corpus, evidence
 
 
 def test_documents_stay_in_their_tasks_where_windows_are_few(spark):
@@ -40,3 +44,23 @@ def test_chunks_are_handed_on_in_small_frames(spark):
     assert every.groupby("doc_id")["text"].agg("".join).tolist() == [text] * 12
     corpus.chunks(spark.createDataFrame([(1, "a")], "doc_id long, text string"))
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= corpus.BATCH_ROWS
+
+
+@pytest.mark.parametrize("rows", [3, 1])
+def test_lines_are_not_shuffled_for_their_dimensions(spark, sf_dir, tmp_path, monkeypatch, rows):
+    """Each dimension has more rows than may be broadcast; the unknown ids are two, so with one allowed they are joined."""
+    monkeypatch.setattr(cleaning, "BROADCAST_ROWS", rows)
+    con = duckdb.connect()
+    for t in ("lineitem", "orders", "supplier", "nation", "region", "part"):
+        shutil.copy(f"{sf_dir}/{t}.parquet", tmp_path)
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    store, sc = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext
+    stages = lambda: store.stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    shuffled = lambda: sum(stages().apply(i).shuffleWriteRecords() for i in range(stages().size()))
+    before = shuffled()
+    query = entry.queries()["S10_U01_clean_lines"](spark, str(tmp_path))
+    got = sorted(map(tuple, query.collect()), key=str)
+    moved = shuffled() - before
+    want = con.execute(f"SELECT {', '.join(query.columns)} FROM ({entry.oracle_sql()['S10_U01_clean_lines']})").fetchall()
+    assert got == sorted(want, key=str)
+    assert rows == 1 or 0 < moved < 1.5 * len(got)  # the names of their keys, and lines without an amount
